@@ -86,7 +86,7 @@ def normalized_articles(spark, sf):
 
 @query
 def store_schemas(spark, sf):
-    return reports.store_profile(S.all_tables(spark, sf))
+    return reports.store_profile(S.Stored(spark, sf).tables())
 
 
 @query
@@ -97,9 +97,8 @@ def append_articles(spark, sf):
 
 @query
 def append_briefs(spark, sf):
-    incoming = S.candidate_briefs(spark, sf)
-    stored = retention.retain_briefs(S.briefs(spark, sf), S.AS_OF)
-    fate = admit(incoming, stored, BRIEFS, "id")
+    news = S.Stored(spark, sf)
+    fate = admit(news.candidates, retention.retain_briefs(news.briefs, S.AS_OF), BRIEFS, "id")
     return fate.select("id", "accepted", "reject_reason")
 
 
@@ -107,8 +106,9 @@ def append_briefs(spark, sf):
 def append_translations(spark, sf):
     """Both Odia versions come under one id, so the older one is written and the other refused."""
     order = F.concat_ws("/", F.col("translated_at").cast("string"), "own_id")
-    incoming = S.candidate_translations(spark, sf).withColumns({"id": F.col("own_id"), "seq": order})
-    stored = S.translations(spark, sf).filter(F.col("language") == "hi")
+    news = S.Stored(spark, sf)
+    incoming = news.versions.withColumns({"id": F.col("own_id"), "seq": order})
+    stored = news.translations.filter(F.col("language") == "hi")
     fate = admit(incoming, stored, TRANSLATIONS, "seq")
     return fate.select("id", "translated_at", "accepted", "reject_reason")
 
@@ -126,13 +126,13 @@ def article_by_id(spark, sf):
 
 @query
 def brief_by_id(spark, sf):
-    rows = S.briefs(spark, sf)
+    rows = S.Stored(spark, sf).briefs
     return lookups.by_id(rows, _first_id(rows))
 
 
 @query
 def translation_by_id(spark, sf):
-    rows = S.translations(spark, sf)
+    rows = S.Stored(spark, sf).translations
     return lookups.by_id(rows, _first_id(rows))
 
 
@@ -148,8 +148,9 @@ def retain_briefs(spark, sf):
 
 @query
 def retain_translations(spark, sf):
-    kept = retention.retain_briefs(S.briefs(spark, sf), S.AS_OF)
-    return retention.retain_translations(S.translations(spark, sf), kept).select("id", "brief_id")
+    news = S.Stored(spark, sf)
+    kept = retention.retain_briefs(news.briefs, S.AS_OF)
+    return retention.retain_translations(news.translations, kept).select("id", "brief_id")
 
 
 @query
@@ -172,11 +173,12 @@ def content_hash(spark, sf):
 
 @query
 def constraint_rejects(spark, sf):
+    news = S.Stored(spark, sf)
     return validation.constraint_rejects(
         {
-            "articles": S.articles(spark, sf),
-            "briefs": S.candidate_briefs(spark, sf),
-            "translations": S.translations(spark, sf),
+            "articles": news.articles,
+            "briefs": news.candidates,
+            "translations": news.translations,
             "api_logs": S.candidate_logs(spark, sf),
         }
     )
@@ -240,16 +242,15 @@ def unprocessed_articles(spark, sf):
 
 @query
 def untranslated_briefs(spark, sf):
-    return lookups.untranslated_briefs(
-        S.briefs(spark, sf), S.translations(spark, sf), "hi", limit=12
-    ).select("id", "title", "processed_at")
+    news = S.Stored(spark, sf)
+    return lookups.untranslated_briefs(news.briefs, news.translations, "hi", limit=12).select("id", "title", "processed_at")
 
 
 @query
 def translations_for_briefs(spark, sf):
     """Asks for a brief of every stored article, most of which have none."""
     ids = S.store(spark, sf).select(F.concat(F.lit("brief_"), "id").alias("brief_id"))
-    hindi = S.translations(spark, sf).filter(F.col("language") == "hi")
+    hindi = S.Stored(spark, sf).translations.filter(F.col("language") == "hi")
     return lookups.translations_for_briefs(ids, hindi).select(
         "brief_id", "id", "language", "title", "translated_at"
     )
@@ -258,19 +259,21 @@ def translations_for_briefs(spark, sf):
 @query
 def orphan_rows(spark, sf):
     """After the articles were cleaned up alone, which takes the parents of many briefs away."""
-    kept = retention.retain_briefs(S.briefs(spark, sf), S.AS_OF)
+    news = S.Stored(spark, sf)
+    news.publish()
     return validation.orphan_rows(
-        S.kept_articles(spark, sf),
-        kept,
-        S.translations(spark, sf),
-        S.all_publications(spark, sf),
-        S.stories(spark, sf),
+        retention.retain_articles(news.articles, S.AS_OF),
+        retention.retain_briefs(news.briefs, S.AS_OF),
+        news.translations,
+        news.publications,
+        news.stories,
     )
 
 
 @query
 def brief_sources(spark, sf):
-    return lookups.brief_sources(S.briefs(spark, sf), S.articles(spark, sf))
+    news = S.Stored(spark, sf)
+    return lookups.brief_sources(news.briefs, news.articles)
 
 
 # --- counts and reports ----------------------------------------------------------------
@@ -293,12 +296,12 @@ def brief_count(spark, sf):
 
 @query
 def translations_by_language(spark, sf):
-    return reports.translations_by_language(S.translations(spark, sf))
+    return reports.translations_by_language(S.Stored(spark, sf).translations)
 
 
 @query
 def table_health(spark, sf):
-    return reports.table_health(S.all_tables(spark, sf))
+    return reports.table_health(S.Stored(spark, sf).tables())
 
 
 @query
@@ -316,16 +319,17 @@ def selection_stats(spark, sf):
     return selection.selection_stats(selection.high_quality(_stored_scored(spark, sf)), 20)
 
 
-def _parsed(spark, sf, fields, id_column="article_id"):
-    return inference.parse_responses(S.responses(spark, sf, fields, id_column), fields)
+def _parsed(labelled, fields, id_column="article_id"):
+    return inference.parse_responses(S.responses(labelled, fields, id_column), fields)
 
 
 @query
 def batch_outcomes(spark, sf):
+    labelled = S.Stored(spark, sf).labelled
     jobs = {
-        "summarize": _parsed(spark, sf, SUMMARY_FIELDS),
-        "translate": _parsed(spark, sf, TRANSLATION_FIELDS),
-        "combined": _parsed(spark, sf, combined_fields()),
+        "summarize": _parsed(labelled, SUMMARY_FIELDS),
+        "translate": _parsed(labelled, TRANSLATION_FIELDS),
+        "combined": _parsed(labelled, combined_fields()),
     }
     parts = [
         parsed.select(F.lit(job).alias("job"), F.col("reject_reason").isNull().alias("success"))
@@ -353,7 +357,8 @@ def api_usage(spark, sf):
 @query
 def processing_progress(spark, sf):
     midway = S.AS_OF.replace(day=1)
-    return reports.processing_progress(S.articles(spark, sf), S.briefs(spark, sf), midway)
+    news = S.Stored(spark, sf)
+    return reports.processing_progress(news.articles, news.briefs, midway)
 
 
 # --- windows ---------------------------------------------------------------------------
@@ -367,12 +372,15 @@ def mark_duplicates(spark, sf):
 
 @query
 def daily_publication(spark, sf):
-    return S.stories(spark, sf)
+    news = S.Stored(spark, sf)
+    return publication.daily_stories(news.translations, news.briefs)
 
 
 @query
 def daily_publications(spark, sf):
-    return S.all_publications(spark, sf).select("id", "date", "language", "publish_status", "stories")
+    news = S.Stored(spark, sf)
+    news.publish()
+    return news.publications.select("id", "date", "language", "publish_status", "stories")
 
 
 @query
@@ -392,19 +400,19 @@ def recent_articles(spark, sf):
 
 @query
 def recent_briefs(spark, sf):
-    return lookups.recent_briefs(S.briefs(spark, sf)).select("id", "title", "summary_30", "processed_at")
+    return lookups.recent_briefs(S.Stored(spark, sf).briefs).select("id", "title", "summary_30", "processed_at")
 
 
 @query
 def recent_translations(spark, sf):
-    return lookups.recent_translations(S.translations(spark, sf), "or").select(
+    return lookups.recent_translations(S.Stored(spark, sf).translations, "or").select(
         "id", "brief_id", "title", "translated_at"
     )
 
 
 @query
 def brief_translations(spark, sf):
-    rows = S.translations(spark, sf)
+    rows = S.Stored(spark, sf).translations
     brief = rows.agg(F.min("brief_id")).first()[0]
     return lookups.brief_translations(rows, brief).select("id", "brief_id", "language", "translated_at")
 
@@ -467,28 +475,28 @@ def complete_batch(spark, sf):
 
 @query
 def parsed_summaries(spark, sf):
-    return _parsed(spark, sf, SUMMARY_FIELDS)
+    return _parsed(S.labelled_briefs(spark, sf), SUMMARY_FIELDS)
 
 
 @query
 def parsed_translations(spark, sf):
-    return _parsed(spark, sf, TRANSLATION_FIELDS, "id")
+    return _parsed(S.labelled_briefs(spark, sf), TRANSLATION_FIELDS, "id")
 
 
 @query
 def parsed_combined(spark, sf):
-    return _parsed(spark, sf, combined_fields())
+    return _parsed(S.labelled_briefs(spark, sf), combined_fields())
 
 
 @query
 def briefs_from_summaries(spark, sf):
-    parsed = _parsed(spark, sf, SUMMARY_FIELDS)
+    parsed = _parsed(S.labelled_briefs(spark, sf), SUMMARY_FIELDS)
     return inference.briefs_from_summaries(parsed, S.MODEL, S.AS_OF)
 
 
 @query
 def translations_from_briefs(spark, sf):
-    parsed = _parsed(spark, sf, TRANSLATION_FIELDS, "id")
+    parsed = _parsed(S.labelled_briefs(spark, sf), TRANSLATION_FIELDS, "id")
     return inference.translations_from_briefs(parsed, "hi", S.MODEL, S.AS_OF)
 
 
@@ -508,7 +516,7 @@ def _pair(outputs: DataFrame) -> DataFrame:
 
 @query
 def combined_outputs(spark, sf):
-    parsed = _parsed(spark, sf, combined_fields())
+    parsed = _parsed(S.labelled_briefs(spark, sf), combined_fields())
     return _pair(inference.combined_outputs(parsed, "or", S.MODEL, S.AS_OF))
 
 
@@ -519,7 +527,8 @@ def summary_length_check(spark, sf):
 
 @query
 def glossary_retention(spark, sf):
-    return publication.glossary_retention(S.briefs(spark, sf), S.translations(spark, sf))
+    news = S.Stored(spark, sf)
+    return publication.glossary_retention(news.briefs, news.translations)
 
 
 # --- whole jobs ------------------------------------------------------------------------
@@ -527,34 +536,32 @@ def glossary_retention(spark, sf):
 
 @query
 def article_feed(spark, sf):
-    return feed.flat_feed(
-        feed.article_feed(
-            S.articles(spark, sf), S.briefs(spark, sf), S.translations(spark, sf), limit=20
-        )
-    )
+    news = S.Stored(spark, sf)
+    page = feed.article_feed(news.articles, news.briefs, news.translations, limit=20)
+    return feed.flat_feed(page)
 
 
 @query
 def raw_article_feed(spark, sf):
     """No brief is left in the table, so the feed falls back to the articles."""
-    none_left = S.briefs(spark, sf).filter(F.col("processed_at") > F.lit("2027-01-01").cast("timestamp_ntz"))
-    page = feed.article_feed(S.articles(spark, sf), none_left, S.translations(spark, sf), limit=100)
+    news = S.Stored(spark, sf)
+    none_left = news.briefs.filter(F.col("processed_at") > F.lit("2027-01-01").cast("timestamp_ntz"))
+    page = feed.article_feed(news.articles, none_left, news.translations, limit=100)
     return feed.flat_feed(page)
 
 
 @query
 def feed_metadata(spark, sf):
-    page = feed.article_feed(
-        S.articles(spark, sf), S.briefs(spark, sf), S.translations(spark, sf), limit=100
-    )
+    news = S.Stored(spark, sf)
+    page = feed.article_feed(news.articles, news.briefs, news.translations, limit=100)
     return feed.feed_metadata(page, S.AS_OF)
 
 
 @query
 def article_detail(spark, sf):
-    briefs = S.briefs(spark, sf)
+    news = S.Stored(spark, sf)
     return feed.flat_feed(
-        feed.article_detail(briefs, S.translations(spark, sf), _first_id(briefs))
+        feed.article_detail(news.briefs, news.translations, _first_id(news.briefs))
     )
 
 
@@ -597,8 +604,9 @@ def stub_summary_or_translation(prompt: str) -> str:
 
 @query
 def fill_missing_translations(spark, sf):
+    news = S.Stored(spark, sf)
     return editorial.fill_missing_translations(
-        S.briefs(spark, sf), S.translations(spark, sf), stub.translate, S.AS_OF, S.MODEL, "hi", **_QUICK
+        news.briefs, news.translations, stub.translate, S.AS_OF, S.MODEL, "hi", **_QUICK
     )
 
 

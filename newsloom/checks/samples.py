@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_id, content_hash, ntz
 from newsloom.operators.publication import daily_stories, publications
-from newsloom.operators.retention import retain_articles
 from newsloom.operators.validation import valid_rows
 from newsloom.plans.article_feed import article_excerpts
 from newsloom.reference_data import DEFAULT_CATEGORY, PLACEHOLDER_QUALITY, SOURCES, TITLE_CHARS
 from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TRANSLATIONS
+from newsloom.sources.store import staged
 
 AS_OF = datetime(2026, 7, 4, 12, 0, 0)
 MODEL = "extract-1"
@@ -68,10 +68,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Stands in for the stored flag.
         (F.col("n_chars") <= SHORT_TEXT).alias("is_duplicate"),
     )
+    # Declared never null, which spares a second computation just to test for it.
     return base.withColumns(
         {
-            "id": article_id(F.col("source_url"), F.col("published_at")),
-            "content_hash": content_hash(F.col("content")),
+            "id": F.coalesce(article_id(F.col("source_url"), F.col("published_at")), F.lit("")),
+            "content_hash": F.coalesce(content_hash(F.col("content")), F.lit("")),
             "created_at": F.col("fetched_at"),
         }
     )
@@ -118,17 +119,17 @@ def labelled_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.join(labels, "doc_id")
 
 
-def candidate_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled_briefs(spark, sf_dir).select(*BRIEFS.required)
+def valid_briefs(labelled: DataFrame) -> DataFrame:
+    return valid_rows(labelled, BRIEFS)
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid_rows(candidate_briefs(spark, sf_dir), BRIEFS)
+    return valid_briefs(labelled_briefs(spark, sf_dir)).select(*BRIEFS.required)
 
 
-def candidate_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def translation_versions(labelled: DataFrame) -> DataFrame:
     """Odia for every brief, Hindi for the good ones, and a second, older Odia one for the others."""
-    made = valid_rows(labelled_briefs(spark, sf_dir), BRIEFS)
+    made = valid_briefs(labelled)
     good = F.col("quality") == 1
 
     def variant(language: str, suffix: str, minutes: int) -> Column:
@@ -146,9 +147,10 @@ def candidate_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = made.withColumn("_v", F.explode(variants)).select("*", "_v.*")
     tag = F.concat(F.lit("["), "language", F.lit("] "))
     after = F.make_dt_interval(F.lit(0), F.lit(0), F.col("after"))
+    own_id = F.concat(F.lit("trans_"), "id", F.lit("_"), "language")
     return each.select(
-        F.concat(F.lit("trans_"), "id", F.lit("_"), "language").alias("own_id"),
-        "suffix",
+        own_id.alias("own_id"),
+        F.concat(own_id, "suffix").alias("id"),
         F.col("id").alias("brief_id"),
         "language",
         F.concat(tag, F.replace("title", F.lit("NATO"), F.lit("ନାଟୋ"))).alias("title"),
@@ -159,16 +161,40 @@ def candidate_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidate_translations(spark, sf_dir)
-    return rows.withColumn("id", F.concat("own_id", "suffix")).select(*TRANSLATIONS.required)
+    return translation_versions(labelled_briefs(spark, sf_dir)).select(*TRANSLATIONS.required)
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_stories(translations(spark, sf_dir), briefs(spark, sf_dir))
+class Stored:
+    """The tables for queries that read some of them more than once.
 
+    The candidate briefs are written out first; everything else is a projection of them or
+    of a given table, or a small result of both.
+    """
 
-def all_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publications(stories(spark, sf_dir), AS_OF)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.labelled = staged(labelled_briefs(spark, sf_dir))
+        self.candidates = self.labelled.select(*BRIEFS.required)
+        self.briefs = valid_briefs(self.labelled).select(*BRIEFS.required)
+        self.versions = translation_versions(self.labelled)
+        self.translations = self.versions.select(*TRANSLATIONS.required)
+        self.articles = articles(spark, sf_dir)
+        self.api_logs = api_logs(spark, sf_dir)
+
+    def publish(self) -> None:
+        """Make the daily publications as well; they are few rows per day and language."""
+        self.stories = staged(daily_stories(self.translations, self.briefs))
+        self.publications = publications(self.stories, AS_OF)
+
+    def tables(self) -> dict[str, DataFrame]:
+        self.publish()
+        return {
+            "articles": self.articles,
+            "briefs": self.briefs,
+            "translations": self.translations,
+            "publications": self.publications,
+            "publication_stories": self.stories,
+            "api_logs": self.api_logs,
+        }
 
 
 def candidate_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,21 +224,6 @@ def api_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_rows(candidate_logs(spark, sf_dir), API_LOGS)
 
 
-def kept_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retain_articles(articles(spark, sf_dir), AS_OF)
-
-
-def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "articles": articles(spark, sf_dir),
-        "briefs": briefs(spark, sf_dir),
-        "translations": translations(spark, sf_dir),
-        "publications": all_publications(spark, sf_dir),
-        "publication_stories": stories(spark, sf_dir),
-        "api_logs": api_logs(spark, sf_dir),
-    }
-
-
 # --- feed payloads ---------------------------------------------------------------------
 
 
@@ -271,13 +282,12 @@ def payload_order() -> Column:
 # --- model responses --------------------------------------------------------------------
 
 
-def responses(spark: SparkSession, sf_dir: str, fields: list[str], id_column: str) -> DataFrame:
+def responses(labelled: DataFrame, fields: list[str], id_column: str) -> DataFrame:
     """A response per labelled document holding ``fields``, in all the shapes a model gives.
 
     The shape follows from the language, the labels and the length: bare, fenced, wrapped in
     prose, cut off, without an object, not JSON, with a field missing or not a string.
     """
-    rows = labelled_briefs(spark, sf_dir)
     source = {f: F.col(_summary_for(f)) for f in fields}
     whole = F.to_json(F.struct(*[c.alias(f) for f, c in source.items()]))
     short = F.to_json(F.struct(*[source[f].alias(f) for f in fields[:-1]]))
@@ -294,7 +304,7 @@ def responses(spark: SparkSession, sf_dir: str, fields: list[str], id_column: st
         .when(lang == "es", _cat("Here it is: ", whole, " Regards."))
         .otherwise(whole)
     )
-    return rows.select(F.col(id_column).alias("id"), shape.alias("response"))
+    return labelled.select(F.col(id_column).alias("id"), shape.alias("response"))
 
 
 def _summary_for(field: str) -> str:

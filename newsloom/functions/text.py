@@ -49,7 +49,9 @@ def article_id(url: Column, published_at: Column) -> Column:
 
 
 def age_hours(published_at: Column, as_of: datetime | Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", published_at, ntz(as_of)) / F.lit(3.6e9)
+    """Hours between two zone-less times. ``timestampdiff`` would go through the session's zone."""
+    seconds = (ntz(as_of) - published_at).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("long") / F.lit(3.6e9)
 
 
 def words(text: Column, at_most: int | None = None) -> Column:

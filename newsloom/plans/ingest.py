@@ -10,6 +10,7 @@ from newsloom.operators.keyed_append import constraint_reason, decide
 from newsloom.operators.validation import check
 from newsloom.schemas import ARTICLES
 from newsloom.sources.feeds import feed_entries, normalized_articles
+from newsloom.sources.store import staged
 
 
 def collect_articles(payloads: DataFrame, registry: DataFrame, as_of: datetime) -> DataFrame:
@@ -31,9 +32,8 @@ def ingest(
     feeds are parsed once, and the steps that decide read ids and hashes without the texts.
     Only the last join moves whole articles.
     """
-    articles.write.mode("overwrite").parquet(staging)
-    staged = articles.sparkSession.read.schema(articles.schema).parquet(staging)
-    narrow = check(staged, ARTICLES).select(seq, "id", "content_hash", "broken_rules")
+    collected = staged(articles, staging)
+    narrow = check(collected, ARTICLES).select(seq, "id", "content_hash", "broken_rules")
     marked = mark_duplicates(narrow, store, seq)
     fresh = decide(marked.filter(~F.col("is_duplicate")), store, ARTICLES, seq)
     fate = marked.join(fresh.withColumn("_fresh", F.lit(True)), seq, "left").select(
@@ -44,7 +44,7 @@ def ingest(
         .when(F.col("_fresh").isNull(), F.lit("id_exists"))
         .alias("reject_reason"),
     )
-    bodies = staged.drop("is_duplicate")
+    bodies = collected.drop("is_duplicate")
     return bodies.join(fate, seq).withColumn("accepted", F.col("reject_reason").isNull())
 
 

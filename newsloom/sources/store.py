@@ -26,6 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/newsloom-{uuid4().hex}"
 
 
+def staged(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Write rows that several later steps read, and go on from the written table.
+
+    Unlike a cached frame it survives the loss of executors, and each reader takes only
+    the columns it needs.
+    """
+    spark = rows.sparkSession
+    path = path or f"{shared_folder(spark)}/rows"
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def create_store(spark: SparkSession, root: str) -> None:
     """Make all six tables; those that exist keep their rows."""
     for table in TABLES.values():
