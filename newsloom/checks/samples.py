@@ -16,7 +16,7 @@ from newsloom.operators.validation import valid_rows
 from newsloom.plans.article_feed import article_excerpts
 from newsloom.reference_data import DEFAULT_CATEGORY, PLACEHOLDER_QUALITY, SOURCES, TITLE_CHARS
 from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TRANSLATIONS
-from newsloom.sources.store import staged
+from newsloom.sources.store import spread, staged
 
 AS_OF = datetime(2026, 7, 4, 12, 0, 0)
 MODEL = "extract-1"
@@ -55,7 +55,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as articles, with ``doc_id`` and ``lang`` beside the table's columns."""
     n = F.col("doc_id")
     ahead = ntz(AS_OF) + F.make_dt_interval(F.lit(0), F.lit(3))
-    base = _read(spark, sf_dir, "documents").select(
+    base = spread(_read(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         "lang",
         F.concat(F.lit("https://news.example.com/a/"), n.cast("string")).alias("source_url"),
