@@ -154,23 +154,29 @@ def parse_responses(responses: DataFrame, fields: list[str]) -> DataFrame:
     rest = [c for c in responses.columns if c != "response"]
     text = F.col("_text")
     cleaned = settle(responses, rest, _text=unfenced(F.col("response")))
-    parsed = settle(
-        cleaned,
-        rest,
-        _flaw=F.when(text.isNull(), "no_response")
+    flaw = (
+        F.when(text.isNull(), "no_response")
         .when(~text.contains("{"), "no_opening_brace")
-        .when(~text.contains("}"), "no_closing_brace"),
-        _json=F.try_parse_json(outermost_braces(text)),
+        .when(~text.contains("}"), "no_closing_brace")
     )
-    found = {f: F.try_variant_get("_json", f"$.{f}", "variant") for f in fields}
+    located = settle(cleaned, rest, _flaw=flaw, _body=outermost_braces(text))
+    # The parser stops after the first value, so "{..} and {..}" would pass. As the first of
+    # two items it cannot: what follows the object has to be the second item and then the end.
+    size = F.length("_body")
+    framed = F.concat(F.lit("["), "_body", F.lit(","), size.cast("string"), F.lit("]"))
+    parsed = settle(located, [*rest, "_flaw"], _size=size, _json=F.try_parse_json(framed))
+    whole = (F.try_variant_get("_json", "$[1]", "int") == F.col("_size")) & F.try_variant_get(
+        "_json", "$[2]", "variant"
+    ).isNull()
+    found = {f: F.try_variant_get("_json", f"$[0].{f}", "variant") for f in fields}
     is_string = {f: F.schema_of_variant(v) == "STRING" for f, v in found.items()}
-    flaw = F.coalesce(F.col("_flaw"), F.when(F.col("_json").isNull(), "invalid_json"))
+    flaw = F.coalesce(F.col("_flaw"), F.when(~F.coalesce(whole, F.lit(False)), "invalid_json"))
     reason = F.when(flaw.isNotNull(), flaw)
     for f in fields:
         reason = reason.when(found[f].isNull(), f"missing:{f}")
     for f in fields:
         reason = reason.when(~is_string[f], f"not_string:{f}")
-    values = {f: F.when(is_string[f], F.try_variant_get("_json", f"$.{f}", "string")) for f in fields}
+    values = {f: F.when(whole & is_string[f], F.try_variant_get("_json", f"$[0].{f}", "string")) for f in fields}
     return settle(parsed, rest, **values, reject_reason=reason)
 
 

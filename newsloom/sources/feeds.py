@@ -37,8 +37,8 @@ def feed_time(text: Column) -> Column:
 
 def _with_zone(iso_text: Column) -> Column:
     """ISO text without a zone is UTC, whatever the session's zone is."""
-    zoned = iso_text.rlike(r"(Z|[+-]\d\d:?\d\d)$") & (F.length(iso_text) > 10)
-    return F.when(zoned, iso_text).otherwise(F.concat(iso_text, F.lit("Z")))
+    timed = F.when(F.length(iso_text) == 10, F.concat(iso_text, F.lit("T00:00:00"))).otherwise(iso_text)
+    return F.when(timed.rlike(r"(Z|[+-]\d\d:?\d\d)$"), timed).otherwise(F.concat(timed, F.lit("Z")))
 
 
 def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
