@@ -413,7 +413,7 @@ ORACLE = {
     "content_hash": sql("SELECT id, content_hash FROM articles"),
     "constraint_rejects": _rejects(),
     "article_excerpts": sql("SELECT id, summary_30, summary_111, summary_250 FROM excerpts"),
-    "source_language_routes": sql(f"SELECT id, source_name, {_ROUTE} AS route FROM articles"),
+    "source_language_route": sql(f"SELECT id, source_name, {_ROUTE} AS route FROM articles"),
     "quality_scores": sql(
         "SELECT id, relevance_points, source_points, completeness_points, freshness_points, quality_score FROM scored"
     ),

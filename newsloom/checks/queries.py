@@ -17,7 +17,7 @@ from newsloom.plans.ingest import collect_articles, ingest
 from newsloom.reference_data import SOURCES, SUMMARY_WORDS, TOP_STORIES
 from newsloom.schemas import ARTICLES, BRIEFS, TRANSLATIONS
 from newsloom.sources import feeds
-from newsloom.sources.registry import active_source_articles, source_language_route, source_registry
+from newsloom.sources import registry as sources
 from newsloom.sources.store import shared_folder
 from newsloom.streaming.incremental import (
     create_stream_store,
@@ -40,7 +40,7 @@ def query(fn: Query) -> Query:
 
 @query
 def active_sources(spark, sf):
-    return active_source_articles(source_registry(spark), S.articles(spark, sf))
+    return sources.active_source_articles(sources.source_registry(spark), S.articles(spark, sf))
 
 
 @query
@@ -65,7 +65,7 @@ def feed_report(spark, sf):
 
 
 def _collected(spark, sf):
-    registry = source_registry(spark)
+    registry = sources.source_registry(spark)
     return collect_articles(S.feed_payloads(spark, sf), registry, S.AS_OF)
 
 
@@ -190,8 +190,8 @@ def article_excerpts(spark, sf):
 
 
 @query
-def source_language_routes(spark, sf):
-    return source_language_route(S.articles(spark, sf)).select("id", "source_name", "route")
+def source_language_route(spark, sf):
+    return sources.source_language_route(S.articles(spark, sf)).select("id", "source_name", "route")
 
 
 def _scored(spark, sf):
@@ -566,7 +566,7 @@ def article_detail(spark, sf):
 
 
 def _ingested(spark, sf):
-    registry = source_registry(spark)
+    registry = sources.source_registry(spark)
     collected = collect_articles(S.feed_payloads(spark, sf), registry, S.AS_OF)
     staging = f"{shared_folder(spark)}/collected"
     return ingest(collected.withColumn("batch_seq", S.payload_order()), S.store(spark, sf), staging)

@@ -97,13 +97,16 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate brief per labelled document, with the labels and the language beside it.
 
-    The excerpts are cut before the join, so that it moves them and not the whole texts.
+    The excerpts together are about as long as a text, so nothing is gained by cutting
+    them before the join; after it, only labelled documents are cut.
     """
     labels = _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     n = F.col("doc_id")
-    cut = article_excerpts(documents(spark, sf_dir)).select(
+    return article_excerpts(documents(spark, sf_dir).join(labels, "doc_id")).select(
         "doc_id",
         "lang",
+        "quality",
+        "toxic",
         F.length("content").alias("n_chars"),
         F.concat(F.lit("brief_"), "id").alias("id"),
         F.col("id").alias("article_id"),
@@ -116,7 +119,6 @@ def labelled_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(MODEL).alias("model_used"),
         _minus(n * 61 % 64800).alias("processed_at"),
     )
-    return cut.join(labels, "doc_id")
 
 
 def valid_briefs(labelled: DataFrame) -> DataFrame:

@@ -51,7 +51,20 @@ def select_stories(
     return top_stories(good, count)
 
 
-def _ask(prompts: DataFrame, fn: Callable[[str], str], answers_path: str | None, **options) -> DataFrame:
+# Calls at a time for a selection; without a repartition the few selected rows would stay
+# strewn over the tasks of the scan, each with a Python worker of its own.
+_PARALLEL_CALLS = 16
+
+
+def _ask(
+    prompts: DataFrame,
+    fn: Callable[[str], str],
+    answers_path: str | None,
+    at_most: int | None,
+    **options,
+) -> DataFrame:
+    if at_most is not None:
+        options.setdefault("parallel_calls", min(at_most, _PARALLEL_CALLS))
     if answers_path is None:
         return complete_batch(prompts, fn, **options)
     return complete_once(prompts, fn, answers_path, **options)
@@ -75,7 +88,7 @@ def combined_run(
     """
     selected = select_stories(articles, as_of, briefs, min_score, count)
     stories = with_bodies(selected.select("id"), articles, ["source_name", *_BODY], count)
-    answers = _ask(combined_prompts(stories, language), fn, answers_path, **options)
+    answers = _ask(combined_prompts(stories, language), fn, answers_path, count, **options)
     return combined_outputs(parsed_combined(answers.filter("success")), language, model, as_of)
 
 
@@ -94,9 +107,9 @@ def summarise_then_translate(
     paths = (None, None) if answers_path is None else (f"{answers_path}/s", f"{answers_path}/t")
     selected = select_stories(articles, as_of, min_score=min_score, count=count)
     stories = with_bodies(selected.select("id"), articles, ["source_name", *_BODY], count)
-    answers = _ask(summary_prompts(stories), fn, paths[0], **options)
+    answers = _ask(summary_prompts(stories), fn, paths[0], count, **options)
     briefs = briefs_from_summaries(parsed_summaries(answers.filter("success")), model, as_of)
-    answers = _ask(translation_prompts(briefs, language), fn, paths[1], **options)
+    answers = _ask(translation_prompts(briefs, language), fn, paths[1], count, **options)
     translations = translations_from_briefs(
         parsed_translations(answers.filter("success")), language, model, as_of
     )
@@ -116,7 +129,7 @@ def fill_missing_translations(
 ) -> DataFrame:
     """Translations for the briefs that lack one; all of them unless ``limit`` is given."""
     open_briefs = untranslated_briefs(briefs, translations, language, limit)
-    answers = _ask(translation_prompts(open_briefs, language), fn, answers_path, **options)
+    answers = _ask(translation_prompts(open_briefs, language), fn, answers_path, limit, **options)
     return translations_from_briefs(
         parsed_translations(answers.filter("success")), language, model, as_of
     )

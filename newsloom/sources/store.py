@@ -19,11 +19,16 @@ DAY_OF = {"articles": "fetched_at", "briefs": "processed_at", "translations": "t
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place the cluster shares; a temporary one only where none is set."""
+    """A new folder in the place all executors share, which ``spark.checkpoint.dir`` names.
+
+    Only a local session may do without the setting; it gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="newsloom-")
-    return f"{base.rstrip('/')}/newsloom-{uuid4().hex}"
+    if base is not None:
+        return f"{base.rstrip('/')}/newsloom-{uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="newsloom-")
 
 
 def staged(rows: DataFrame, path: str | None = None) -> DataFrame:
