@@ -345,7 +345,7 @@ _ROUTE = f"CASE WHEN source_name IN {one_of(GERMAN_SOURCES)} THEN 'transform' EL
 def _routed(transform: str, summarize: str, **values: str) -> str:
     prompt = f"CASE WHEN {_ROUTE} = 'transform' THEN {filled(transform, **values)} ELSE {filled(summarize, **values)} END"
     return sql(f"""
-        SELECT id, route, length(prompt) AS prompt_chars, sha256(prompt) AS prompt_hash
+        SELECT id, route, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt_hash
         FROM (SELECT id, {_ROUTE} AS route, {prompt} AS prompt FROM articles)""")
 
 
@@ -367,7 +367,7 @@ ORACLE = {
     ),
     "feed_entries": sql(
         "SELECT source_name, payload_id, position, title, source_url AS link, published_at, "
-        f"length({trimmed('content')}) AS content_chars FROM delivered"
+        f"CAST(length({trimmed('content')}) AS INTEGER) AS content_chars FROM delivered"
     ),
     "feed_report": sql(
         "SELECT payload_id, CAST(count(*) AS INTEGER) AS entries, false AS malformed FROM delivered GROUP BY payload_id"
@@ -532,7 +532,7 @@ ORACLE = {
     ),
     "summary_prompts": _routed(P.TRANSFORM, P.SUMMARIZE),
     "translation_prompts": sql(f"""
-        SELECT id, length(prompt) AS prompt_chars, sha256(prompt) AS prompt_hash
+        SELECT id, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt_hash
         FROM (SELECT id, {filled(P.TRANSLATE, language=_language('hi'))} AS prompt FROM briefs)"""),
     "combined_prompts": _routed(P.COMBINED_TRANSFORM, P.COMBINED_SUMMARIZE, language=_language("or")),
     "complete_batch": sql("""

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ from newsloom.streaming.incremental import (
     stored_articles,
 )
 
+# The stand-in model travels with its functions, so workers need not be able to import it.
+cloudpickle.register_pickle_by_value(stub)
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 
@@ -593,15 +597,11 @@ def editorial_run(spark, sf):
 @query
 def summarise_then_translate(spark, sf):
     _, translated = editorial.summarise_then_translate(
-        S.articles(spark, sf), stub_summary_or_translation, S.AS_OF, S.MODEL, count=50, **_QUICK
+        S.articles(spark, sf), stub.summarize_or_translate, S.AS_OF, S.MODEL, count=50, **_QUICK
     )
     return translated
 
 
-def stub_summary_or_translation(prompt: str) -> str:
-    return stub.translate(prompt) if "<summary_30>" in prompt else stub.summarize(prompt)
-
-
 @query
 def fill_missing_translations(spark, sf):
     news = S.Stored(spark, sf)

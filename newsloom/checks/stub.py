@@ -38,6 +38,10 @@ def combined(prompt: str) -> str:
     return "```json\n" + json.dumps(answer, ensure_ascii=False) + "\n```"
 
 
+def summarize_or_translate(prompt: str) -> str:
+    return translate(prompt) if "<summary_30>" in prompt else summarize(prompt)
+
+
 def terse(prompt: str) -> str:
     """Refuses texts of fewer than ten words."""
     if len(_content(prompt).split()) < 10:

@@ -28,6 +28,11 @@ def articles_by_source(articles: DataFrame) -> DataFrame:
     )
 
 
+def _with_total(counts: DataFrame, column: str) -> DataFrame:
+    """Add the sum of a grouped count; it is taken from the groups, whose exchange is shared."""
+    return counts.withColumn("total", counts.agg(F.sum(column)).scalar())
+
+
 def brief_count(briefs: DataFrame) -> DataFrame:
     return briefs.agg(F.count("*").alias("briefs"))
 
@@ -35,8 +40,7 @@ def brief_count(briefs: DataFrame) -> DataFrame:
 def translations_by_language(translations: DataFrame) -> DataFrame:
     """Count per language with the overall total beside it."""
     per_language = translations.groupBy("language").agg(F.count("*").alias("translations"))
-    total = translations.agg(F.count("*").alias("total"))
-    return per_language.withColumn("total", total.scalar()).orderBy(
+    return _with_total(per_language, "translations").orderBy(
         F.col("translations").desc(), "language"
     )
 
@@ -91,11 +95,8 @@ def batch_outcomes(results: DataFrame, job: str = "job", ok: str = "success") ->
 
 
 def collected_per_source(articles: DataFrame) -> DataFrame:
-    total = articles.agg(F.count("*").alias("total"))
-    return (
-        articles.groupBy("source_name")
-        .agg(F.count("*").alias("collected"))
-        .withColumn("total", total.scalar())
+    return _with_total(
+        articles.groupBy("source_name").agg(F.count("*").alias("collected")), "collected"
     )
 
 

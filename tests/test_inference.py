@@ -167,11 +167,8 @@ def test_runs_end_to_end(spark, tmp_path):
     made = I.combined_briefs(out).collect()
     assert [b["article_id"] for b in made] == ["a1", "a2"] and len(made[0]["summary_30"].split()) == 30
 
-    def both(prompt):
-        return stub.translate(prompt) if "<summary_30>" in prompt else stub.summarize(prompt)
-
     made, translated = editorial.summarise_then_translate(
-        arts, both, AS_OF, "m", language="hi", answers_path=str(tmp_path / "y"), **QUICK
+        arts, stub.summarize_or_translate, AS_OF, "m", language="hi", answers_path=str(tmp_path / "y"), **QUICK
     )
     assert made.count() == 4
     assert set(values(translated, "id")) == {f"trans_brief_a{i}_hi" for i in range(4)}

@@ -31,7 +31,8 @@ def test_recent_articles(spark):
     assert values(L.recent_articles(df), "id") == ["a2", "a3", "a4", "a1", "a0"]
     assert L.recent_articles(articles(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        L.recent_articles(df, 0)
+        L.recent_articles(df, -1)
+    assert L.recent_articles(df, 0).count() == 0
 
 
 def test_newest_reads_only_recent_files_of_a_stored_table(spark, tmp_path):
