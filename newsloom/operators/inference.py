@@ -129,7 +129,7 @@ def complete_once(
 def as_api_logs(responses: DataFrame, operation: str, model: str, at: datetime) -> DataFrame:
     """Call results in the layout of the usage log; token counts and cost are unknown here."""
     return responses.select(
-        F.concat(F.lit(f"{operation}_"), F.col("id")).alias("id"),
+        F.concat(F.lit(f"{operation}_"), F.col("id"), F.lit(f"_{at:%Y%m%dT%H%M%S}")).alias("id"),
         ntz(at).alias("timestamp"),
         F.lit(model).alias("model_used"),
         F.lit(operation).alias("operation"),

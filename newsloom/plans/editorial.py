@@ -19,7 +19,7 @@ from newsloom.operators.inference import (
     translation_prompts,
     translations_from_briefs,
 )
-from newsloom.operators.lookups import unprocessed_articles, untranslated_briefs
+from newsloom.operators.lookups import recent_articles, unprocessed_articles, untranslated_briefs
 from newsloom.operators.selection import (
     NARROW,
     high_quality,
@@ -28,6 +28,7 @@ from newsloom.operators.selection import (
     with_bodies,
 )
 from newsloom.reference_data import MIN_QUALITY, TOP_STORIES
+from newsloom.sources.store import staged
 
 _BODY = ["title", "content"]
 
@@ -38,13 +39,19 @@ def select_stories(
     briefs: DataFrame | None = None,
     min_score: float = MIN_QUALITY,
     count: int = TOP_STORIES,
+    newest: int | None = None,
 ) -> DataFrame:
     """The best ``count`` articles that are no duplicates and, with ``briefs``, have none yet.
 
+    All articles are considered unless ``newest`` limits them to the most recent ones.
+
     The text is scored where it is read; filtering, joining and ranking then move only ids,
     times and scores.
     """
-    scored = score_articles(articles.filter(~F.col("is_duplicate")), as_of, keep=NARROW)
+    unique = articles.filter(~F.col("is_duplicate"))
+    if newest is not None:
+        unique = recent_articles(articles, newest)
+    scored = score_articles(unique, as_of, keep=NARROW)
     good = high_quality(scored, min_score)
     if briefs is not None:
         good = unprocessed_articles(good, briefs)
@@ -66,7 +73,7 @@ def _ask(
     if at_most is not None:
         options.setdefault("parallel_calls", min(at_most, _PARALLEL_CALLS))
     if answers_path is None:
-        return complete_batch(prompts, fn, **options)
+        return staged(complete_batch(prompts, fn, **options))
     return complete_once(prompts, fn, answers_path, **options)
 
 
@@ -84,7 +91,8 @@ def combined_run(
 ) -> DataFrame:
     """Select, ask once per article, and split each answer into a brief and a translation.
 
-    With ``answers_path`` the answers are kept there; without, read the result only once.
+    The answers are written out before anything reads them. With ``answers_path`` they are
+    kept there, and a later run with the same path asks only for what is missing.
     """
     selected = select_stories(articles, as_of, briefs, min_score, count)
     stories = with_bodies(selected.select("id"), articles, ["source_name", *_BODY], count)

@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.once import settle
 from newsloom.functions.text import article_id, content_hash, normalized_url, ntz
 from newsloom.operators.validation import WEB_URL
 from newsloom.schemas import MAX_URL_CHARS
@@ -41,10 +42,35 @@ def _with_zone(iso_text: Column) -> Column:
     return F.when(timed.rlike(r"(Z|[+-]\d\d:?\d\d)$"), timed).otherwise(F.concat(timed, F.lit("Z")))
 
 
+def _whole_entries(payload: Column) -> Column:
+    """The complete items and entries of a broken payload in a frame of their own.
+
+    Covers the usual faults: a payload that was cut off, and bare ampersands or HTML
+    entities, which become plain text.
+    """
+    escaped = F.regexp_replace(payload, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+    def all_of(tag: str) -> Column:
+        found = F.regexp_extract_all(escaped, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), F.lit(0))
+        return F.array_join(found, "")
+
+    return F.concat(
+        F.lit("<feed><channel>"), all_of("item"), F.lit("</channel>"), all_of("entry"), F.lit("</feed>")
+    )
+
+
 def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add the parsed ``entries`` array and ``parse_error`` to each payload row."""
+    """Add the parsed ``entries`` array and ``parse_error`` to each payload row.
+
+    A payload that is no proper XML is reported and gives the entries that are whole.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = payloads.withColumn("_feed", F.from_xml(payload, _FEED, options))
+    first = settle(payloads, _first=F.from_xml(payload, _FEED, options))
+    broken = F.col("_first").isNull() | F.col("_first._corrupt_record").isNotNull()
+    again = F.when(broken, F.from_xml(_whole_entries(F.col(payload)), _FEED, options))
+    parsed = settle(
+        first, payloads.columns, _broken=broken, _feed=F.when(broken, again).otherwise(F.col("_first"))
+    )
 
     def rss(item: Column) -> Column:
         content = F.transform(item["content:encoded"], lambda v: F.struct(v.alias("value")))
@@ -74,11 +100,10 @@ def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     entries = F.coalesce(
         F.transform(F.col("_feed.channel.item"), rss), F.transform(F.col("_feed.entry"), atom)
     )
-    broken = F.col("_feed").isNull() | F.col("_feed._corrupt_record").isNotNull()
     return parsed.select(
         *payloads.columns,
         entries.alias("entries"),
-        F.when(broken, F.lit("malformed")).alias("parse_error"),
+        F.when(F.col("_broken"), F.lit("malformed")).alias("parse_error"),
     )
 
 
@@ -92,7 +117,7 @@ def feed_entries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def feed_report(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Entries and parse errors per payload; a malformed payload stays visible with none."""
+    """Entries and parse errors per payload; a malformed payload without any stays visible."""
     kept = [c for c in payloads.columns if c != payload]
     entries = F.coalesce(F.size("entries"), F.lit(0))
     return parse_feeds(payloads, payload).select(

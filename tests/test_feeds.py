@@ -108,10 +108,22 @@ def test_malformed_payloads_are_reported_and_cost_only_themselves(spark):
     report = {r["source_name"]: r for r in feeds.feed_report(payloads(spark, *texts)).collect()}
     assert report["s0"]["entries"] == 3 and report["s0"]["parse_error"] is None
     assert [report[f"s{i}"]["entries"] for i in range(1, 6)] == [0] * 5
+    assert report["s5"]["parse_error"] is None  # proper XML, but no feed
     assert [report[f"s{i}"]["parse_error"] for i in range(1, 5)] == ["malformed"] * 4
     assert feeds.feed_entries(payloads(spark, *texts)).count() == 3
 
 
+def test_whole_entries_of_a_broken_payload_are_kept(spark):
+    cut = RSS[: RSS.index("<item><link>https://e.com/3")] + "<item><title>lost"
+    bare = ONE_ITEM.replace("Test Article", "R&D&nbsp;A &amp; B")
+    cut_atom = ATOM[: ATOM.index("<entry><title>E2")]
+    df = payloads(spark, cut, bare, cut_atom)
+    titles = values(feeds.feed_entries(df), "title")
+    assert sorted(titles) == ["A & B", "C", "E1", "R&D&nbsp;A & B"]
+    report = values(feeds.feed_report(df), "entries", "parse_error")
+    assert sorted(report) == [(1, "malformed"), (1, "malformed"), (2, "malformed")]
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
