@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from newsloom.operators.inference import (
     translation_prompts,
     translations_from_briefs,
 )
+from newsloom.operators.keyed_append import admit, append_stats
 from newsloom.operators.lookups import recent_articles, unprocessed_articles, untranslated_briefs
 from newsloom.operators.selection import (
     NARROW,
@@ -28,7 +30,8 @@ from newsloom.operators.selection import (
     with_bodies,
 )
 from newsloom.reference_data import MIN_QUALITY, TOP_STORIES
-from newsloom.sources.store import staged
+from newsloom.schemas import BRIEFS, TRANSLATIONS
+from newsloom.sources.store import append_accepted, read_table, staged
 
 _BODY = ["title", "content"]
 
@@ -141,3 +144,21 @@ def fill_missing_translations(
     return translations_from_briefs(
         parsed_translations(answers.filter("success")), language, model, as_of
     )
+
+
+def save_outputs(
+    root: str, as_of: datetime, briefs: DataFrame | None = None, translations: DataFrame | None = None
+) -> DataFrame:
+    """Append new briefs and translations to the store; returns what was asked and what was written.
+
+    Rows whose id is stored are refused, so a repeated run adds nothing.
+    """
+    stats = []
+    for table, rows in ((BRIEFS, briefs), (TRANSLATIONS, translations)):
+        if rows is not None:
+            spark = rows.sparkSession
+            # Decided in full before the append starts to change what it was decided on.
+            fate = staged(admit(rows, read_table(spark, root, table), table, "id"))
+            append_accepted(fate, root, table, as_of)
+            stats.append(append_stats(fate).withColumn("table_name", F.lit(table.name)))
+    return reduce(DataFrame.unionByName, stats)

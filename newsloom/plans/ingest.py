@@ -10,7 +10,7 @@ from newsloom.operators.keyed_append import constraint_reason, decide
 from newsloom.operators.validation import check
 from newsloom.schemas import ARTICLES
 from newsloom.sources.feeds import feed_entries, normalized_articles
-from newsloom.sources.store import staged
+from newsloom.sources.store import append_accepted, staged
 
 
 def collect_articles(payloads: DataFrame, registry: DataFrame, as_of: datetime) -> DataFrame:
@@ -48,6 +48,13 @@ def ingest(
     return bodies.join(fate, seq).withColumn("accepted", F.col("reject_reason").isNull())
 
 
+def save_ingested(fate: DataFrame, root: str, as_of: datetime) -> DataFrame:
+    """Append the accepted articles to the store; returns the counts of the run."""
+    decided = staged(fate)
+    append_accepted(decided, root, ARTICLES, as_of)
+    return ingest_stats(decided)
+
+
 def ingest_stats(fate: DataFrame) -> DataFrame:
     return fate.agg(
         F.count("*").alias("collected"),

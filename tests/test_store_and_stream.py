@@ -4,9 +4,12 @@ import pytest
 from conftest import AS_OF, article, articles, brief, briefs, translation, translations, values
 from pyspark.sql import functions as F
 
+from newsloom.checks import stub
+from newsloom.operators.inference import combined_briefs, combined_translations
 from newsloom.operators.keyed_append import admit
-from newsloom.operators.reports import store_profile, table_health
-from newsloom.plans.ingest import collect_articles, ingest, ingest_stats
+from newsloom.operators.reports import processing_progress, store_profile, table_health
+from newsloom.plans import editorial
+from newsloom.plans.ingest import collect_articles, ingest, ingest_stats, save_ingested
 from newsloom.schemas import ARTICLES, BRIEFS, TABLES, TRANSLATIONS
 from newsloom.sources import store as S
 from newsloom.sources.registry import source_registry
@@ -145,3 +148,33 @@ def test_stream_stores_what_the_batch_stores(spark, tmp_path, files_per_batch):
     (tmp_path / "feeds" / "source_name=B" / "late.xml").write_text(feed(item(20, "ONE "), item(21, "fresh")))
     X.ingest_stream(X.payload_files(spark, feeds, files_per_batch), store, progress, AS_OF).awaitTermination()
     assert X.stored_articles(spark, store).count() == len(got) + 2
+
+
+def test_a_day_from_feeds_to_stored_translations(spark, tmp_path):
+    root = str(tmp_path / "store")
+    S.create_store(spark, root)
+    text = " ".join(["health"] * 300)
+    df = spark.createDataFrame(
+        [("BBC", feed(*[item(n, f"{text} {n}") for n in range(4)], item(9, "too short to matter")))],
+        "source_name string, payload string",
+    )
+    collected = collect_articles(df, source_registry(spark), AS_OF).withColumn(
+        "batch_seq", F.concat_ws("#", "source_name", F.col("position").cast("string"))
+    )
+    for run, want in ((1, (5, 0, 5, 0)), (2, (5, 5, 0, 0))):
+        fate = ingest(collected, S.read_table(spark, root, ARTICLES), str(tmp_path / f"staging{run}"))
+        assert tuple(save_ingested(fate, root, AS_OF).first()) == want
+    quick = {"attempts": 1, "wait_seconds": (0, 0)}
+    for inserted in (3, 1, 0):
+        arts, made = (S.read_table(spark, root, t) for t in (ARTICLES, BRIEFS))
+        if inserted == 0:
+            assert editorial.select_stories(arts, AS_OF, made, min_score=0.9).count() == 0
+            break
+        out = editorial.combined_run(arts, made, stub.combined, AS_OF, "m", min_score=0.9, count=3, **quick)
+        stats = editorial.save_outputs(root, AS_OF, combined_briefs(out), combined_translations(out))
+        assert values(stats, "inserted") == [inserted, inserted]
+        again = editorial.save_outputs(root, AS_OF, combined_briefs(out))
+        assert tuple(again.select("requested", "inserted", "rejected").first()) == (inserted, 0, inserted)
+    progress = processing_progress(S.read_table(spark, root, ARTICLES), S.read_table(spark, root, BRIEFS)).first()
+    assert (progress["total_articles"], progress["total_processed"], progress["remaining"]) == (5, 4, 1)
+    assert S.read_table(spark, root, TRANSLATIONS).count() == 4
