@@ -79,11 +79,23 @@ def diverse_top_stories(
 BROADCAST_ROWS = 10_000
 
 
-def with_bodies(selected: DataFrame, articles: DataFrame, columns: list[str], at_most: int) -> DataFrame:
+def with_bodies(
+    selected: DataFrame,
+    articles: DataFrame,
+    columns: list[str],
+    at_most: int,
+    within: str | None = None,
+) -> DataFrame:
     """Bring title, text and so on back for the selected articles.
 
-    ``at_most`` is the limit that ``selected`` was cut to and decides on the broadcast.
+    ``at_most`` is the limit that ``selected`` was cut to and decides on the broadcast. With
+    ``within``, a time in both frames, only articles between the selection's first and last
+    time are read. Give it for a selection that is written out, as it is then read twice.
     """
+    if within is not None:
+        first, last = (selected.agg(edge(within)).scalar() for edge in (F.min, F.max))
+        articles = articles.filter(F.col(within).between(first, last))
+        selected = selected.drop(within)
     small = F.broadcast(selected) if at_most <= BROADCAST_ROWS else selected
     return articles.select("id", *columns).join(small, "id")
 

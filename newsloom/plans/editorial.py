@@ -80,6 +80,12 @@ def _ask(
     return complete_once(prompts, fn, answers_path, **options)
 
 
+def _with_texts(selected: DataFrame, articles: DataFrame, count: int) -> DataFrame:
+    """Selected stories with their texts. Written out first, so the articles are scored once."""
+    picked = staged(selected.select("id", "published_at"))
+    return with_bodies(picked, articles, ["source_name", *_BODY], count, within="published_at")
+
+
 def combined_run(
     articles: DataFrame,
     briefs: DataFrame,
@@ -98,7 +104,7 @@ def combined_run(
     kept there, and a later run with the same path asks only for what is missing.
     """
     selected = select_stories(articles, as_of, briefs, min_score, count)
-    stories = with_bodies(selected.select("id"), articles, ["source_name", *_BODY], count)
+    stories = _with_texts(selected, articles, count)
     answers = _ask(combined_prompts(stories, language), fn, answers_path, count, **options)
     return combined_outputs(parsed_combined(answers.filter("success")), language, model, as_of)
 
@@ -117,7 +123,7 @@ def summarise_then_translate(
     """The two-call way: briefs first, then a translation of each brief."""
     paths = (None, None) if answers_path is None else (f"{answers_path}/s", f"{answers_path}/t")
     selected = select_stories(articles, as_of, min_score=min_score, count=count)
-    stories = with_bodies(selected.select("id"), articles, ["source_name", *_BODY], count)
+    stories = _with_texts(selected, articles, count)
     answers = _ask(summary_prompts(stories), fn, paths[0], count, **options)
     briefs = briefs_from_summaries(parsed_summaries(answers.filter("success")), model, as_of)
     answers = _ask(translation_prompts(briefs, language), fn, paths[1], count, **options)

@@ -189,3 +189,16 @@ def test_registry_constraints(spark):
     rows = [("ok", "https://a.b/c", 1, 30, True), ("bad", "https://a.b/c", 5, 0, True)]
     checked = V.check(source_registry(spark, rows), SOURCE_REGISTRY)
     assert dict(values(checked, "name", "broken_rules")) == {"ok": [], "bad": ["range:priority", "range:expected_articles"]}
+
+
+def test_texts_are_fetched_within_the_times_of_the_selection(spark, tmp_path):
+    from newsloom.operators.selection import with_bodies
+
+    write_table(articles(spark, [article(i, published_at=hours(i)) for i in range(9)]), str(tmp_path), ARTICLES)
+    stored = spark.read.parquet(f"{tmp_path}/articles")
+    picked = stored.filter("id in ('a3', 'a5')").select("id", "published_at")
+    df = with_bodies(picked, stored, ["content"], 2, within="published_at")
+    assert sorted(values(df, "id", "content")) == [("a3", "Content 3"), ("a5", "Content 5")]
+    scans = [s for s in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in s]
+    assert any("content" in s and "published_at" in s.split("DataFilters")[1] for s in scans)
+    assert with_bodies(picked.limit(0), stored, ["content"], 2, within="published_at").count() == 0
