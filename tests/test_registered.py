@@ -13,7 +13,8 @@ def db():
 
 
 def test_every_query_has_a_sql_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql()) == set(REGISTERED) == set(ORACLE)
+    assert set(REGISTERED) == set(ORACLE) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", REGISTERED)
