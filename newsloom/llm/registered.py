@@ -7,6 +7,7 @@ from newsloom.llm import oracle
 from newsloom.llm.line_dedup import drop_common_lines
 from newsloom.llm.line_quality import line_first_quality
 from newsloom.llm.mixing import mixed_sizes
+from newsloom.llm.near_dedup import near_duplicates
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(docs).select("doc_id", *counts, "base_failed", "n_lost_words", "kept")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under four-word shingles at 0.8, and whether it stays."""
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the lines that ten documents share."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +42,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_line_quality": op5_line_quality,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLE = {
