@@ -28,6 +28,9 @@ def spread(x: np.ndarray, lane: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[:128] = [not chr(c).isalnum() for c in range(128)]
 _BYTE = mixed(np.arange(256, dtype=np.uint64) + _STEP)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = 0xD1342543DE82EF95
@@ -59,15 +62,18 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
-def words_of(column: pa.Array) -> Words:
-    """The words of a string column without line of its own for each text; null is a text without words."""
+def _bounds(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def words_of(column: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """The words of a string column; null is a text without words. ``between`` marks the bytes that part words."""
     column = column.cast(pa.large_string())
-    _, places, buffer = column.buffers()
-    bounds = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    buffer, bounds = column.buffers()[2], _bounds(column)
     data = np.frombuffer(buffer, np.uint8)[bounds[0] : bounds[-1]] if buffer else np.empty(0, np.uint8)
     bounds = bounds - bounds[0]
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     first = np.zeros(n + 1, bool)
     first[bounds] = True
     first[0] = first[n] = True
@@ -92,18 +98,25 @@ def _at_end(bounds: np.ndarray, n: int) -> np.ndarray:
     return mark
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Pieces of the batches of some ``CHUNK_BYTES`` of text (or one long text) with their words."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of some ``CHUNK_BYTES`` of text, or of one longer text."""
     for batch in batches:
-        column = batch.column(text).cast(pa.large_string())
-        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        bounds = _bounds(batch.column(text).cast(pa.large_string()))
         at = 0
-        while at < len(column):
+        while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
-            yield batch.slice(at, to - at), words_of(column.slice(at, to - at))
+            yield batch.slice(at, to - at)
             at = to
 
 
+def chunks(
+    batches: Iterator[pa.RecordBatch], between: np.ndarray = _SPACE
+) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Pieces of the batches with the words of their texts."""
+    for piece in pieces(batches):
+        yield piece, words_of(piece.column("text"), between)
+
+
 def windows(words: Words, size: int, whole_if_shorter: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words, the word each starts with, and each text's range of windows.
 

@@ -17,3 +17,9 @@ def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is in ``ids``, a written table; with ``left_anti``, the others."""
     return docs.join(bounded(ids), "doc_id", how)
+
+
+def cleared(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns of these names (in any case), which the caller makes itself."""
+    taken = {n.lower() for n in names}
+    return docs.drop(*[c for c in docs.columns if c.lower() in taken])

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import settle
+from newsloom.llm.frames import cleared
 from newsloom.llm.text import lower_ascii, trimmed
 
 MIN_DOCS = 10
@@ -54,9 +55,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     * A null or empty text is one empty line, which has no key and stays.
     * Every row counts as a document of its own, also rows that are equal in all columns.
     * A null ``doc_id`` is an id like any other.
-    * Other columns are passed through; names beginning with an underscore are reserved.
+    * Other columns are passed through, but for those with a name made here, which are replaced or dropped.
     * An empty table gives an empty table.
     """
+    docs = cleared(docs, "kept_text", "n_lines", "n_dropped", "_row_a", "_row_b", "_drop", "_lines")
     common = common_lines(docs, min_docs, min_chars).select("a", "b")
     keyed = _keyed(docs)
     each = keyed.select("_row_a", "_row_b", F.posexplode(F.transform(_lines(), _hashed)).alias("_pos", "_x"))

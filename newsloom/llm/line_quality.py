@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import settle
+from newsloom.llm.frames import cleared
 from newsloom.llm.text import WORD, trimmed, words
 
 SYMBOLS = "[#*$%&|<>]"
@@ -27,6 +28,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_LOST_PERCENT = 50
 WINDOW = 5
+MADE = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed n_lost_words cleaned kept "
+    "_w _l _h _p2 _g _s _p _fails"
+).split()
 
 
 def line_fails(line: Column) -> Column:
@@ -114,9 +119,9 @@ def line_first_quality(docs: DataFrame) -> DataFrame:
 
     * A null or empty text has no word, fails the base test and is not kept; ``cleaned`` is empty.
     * Rows are judged one by one: equal rows give equal results, an empty table an empty one.
-    * Other columns are passed through; names beginning with an underscore and those of the
-      results are reserved.
+    * Other columns are passed through, but for those with a name made here, which are replaced or dropped.
     """
+    docs = cleared(docs, *MADE)
     counted = with_text_counts(docs)
     result = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = settle(counted, [*docs.columns, *result, "_l"], _fails=F.transform("_l", lambda x: line_fails(trimmed(x))))

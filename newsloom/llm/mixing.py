@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.frames import cleared
 from newsloom.llm.text import WORD
 from newsloom.sources.store import staged
 
@@ -11,6 +12,7 @@ WEIGHTS = (1, 2, 3)
 SEED = "mix"
 DIGITS = 3
 LEVELS = 4
+MADE = "size lot source_size target copies taken _source _whole _cut _copy".split()
 
 
 def text_size(text: Column) -> Column:
@@ -143,10 +145,10 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 
     * A null text has size 0 and takes no words; a source without words has target 0 and goes.
     * A null source is a source. Equal rows have one lot and are taken together.
-    * Columns besides ``doc_id, text, source`` are passed through; ``size, lot, source_size, target,
-      copies`` and names beginning with an underscore are reserved.
+    * Other columns are passed through, but for those with a name made here, which are dropped.
     * An empty table gives an empty table.
     """
+    docs = cleared(docs, *MADE)
     lots = staged(sized(docs, seed).select("source", "size", "lot"))
     taken = with_copies(sized(docs, seed), plan_mix(lots, **shares))
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
@@ -155,6 +157,7 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 
 def mixed_sizes(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every row; texts are read once."""
+    docs = cleared(docs, *MADE)
     lots = staged(sized(docs, seed).select("doc_id", "source", "size", "lot"))
     taken = with_copies(lots, plan_mix(lots, **shares)).drop("lot")
     return taken.withColumn("taken", F.col("copies") * F.col("size"))

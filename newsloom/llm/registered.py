@@ -3,17 +3,25 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import oracle
+from newsloom.llm import language_id, oracle
+from newsloom.llm.decontamination import leaks
 from newsloom.llm.line_dedup import drop_common_lines
 from newsloom.llm.line_quality import line_first_quality
 from newsloom.llm.mixing import mixed_sizes
 from newsloom.llm.near_dedup import near_duplicates
+from newsloom.llm.sharding import place
+from newsloom.llm.text import learnable
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and the shard of each document."""
+    return place(_read(spark, sf_dir, "documents").select("doc_id"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix by source weight takes."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -27,6 +35,19 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_quality(docs).select("doc_id", *counts, "base_failed", "n_lost_words", "kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    held_out = ~learnable(F.col("doc_id"), language_id.FOLDS, language_id.HELD_OUT)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which the document holds half or more."""
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document under four-word shingles at 0.8, and whether it stays."""
     return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
@@ -40,8 +61,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_shard_placement": op2_shard_placement,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_quality": op5_line_quality,
+    "op6_language_id": op6_language_id,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
 }

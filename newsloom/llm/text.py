@@ -26,4 +26,4 @@ def trimmed(text: Column) -> Column:
 
 def learnable(doc_id: Column, folds: int, held_out: int) -> Column:
     """Whether a labelled row may be learned from; rows without an id never are."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds != held_out
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds != held_out, F.lit(False))
