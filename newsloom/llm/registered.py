@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import language_id, oracle
+from newsloom.llm import compression_quality, language_id, oracle
 from newsloom.llm.decontamination import leaks
 from newsloom.llm.line_dedup import drop_common_lines
 from newsloom.llm.line_quality import line_first_quality
@@ -11,17 +11,34 @@ from newsloom.llm.mixing import mixed_sizes
 from newsloom.llm.near_dedup import near_duplicates
 from newsloom.llm.sharding import place
 from newsloom.llm.text import learnable
+from newsloom.llm.token_counts import token_counts
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression_quality.train(docs, _read(spark, sf_dir, "labels"))
+    held_out = ~learnable(F.col("doc_id"), compression_quality.FOLDS, compression_quality.HELD_OUT)
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and the shard of each document."""
     return place(_read(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each document, counted in flat token files made of the documents."""
+    return token_counts(_read(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix by source weight takes."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -61,7 +78,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compression_quality": op1_compression_quality,
     "op2_shard_placement": op2_shard_placement,
+    "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_quality": op5_line_quality,
     "op6_language_id": op6_language_id,
