@@ -18,17 +18,19 @@ from newsloom.llm.text import learnable
 FOLDS, HELD_OUT = 5, 0
 PER_LABEL = 1500
 DICTIONARY_TEXT = 4 << 20
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 256 << 10
 LEVEL = 3
 THRESHOLD = 0.3
 # Bytes by which short texts are drawn towards "no difference".
 DAMPING = 48
+# Differences of more than about 1 / STEEP count alike.
+STEEP = 30
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
     """A dictionary of ``DICTIONARY_BYTES``; of too few texts to be trained on, their own bytes."""
     try:
-        return zstd.train_dictionary(DICTIONARY_BYTES, texts, k=512, d=8).as_bytes()
+        return zstd.train_dictionary(DICTIONARY_BYTES, texts, k=128, d=8).as_bytes()
     except zstd.ZstdError:
         return b"".join(texts)[-DICTIONARY_BYTES:]
 
@@ -57,21 +59,36 @@ class Sizes:
         raw, good, bad = np.array(sizes, float).reshape(-1, 3).T
         difference = (bad - good) / (bad + good + DAMPING)
         left = np.log((np.minimum(good, bad) + DAMPING) / (raw + 2 * DAMPING))
-        return np.stack([np.ones(len(raw)), 10 * difference, left, left * left], axis=1)
+        return np.stack([np.ones(len(raw)), np.tanh(STEEP * difference), left, left * left], axis=1)
 
 
-def _calibrated(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve from features to the chance of label 1, by Newton's method with a small ridge."""
+def _calibrated(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Weights of a logistic curve from features to the chance of label 1, by Newton's method.
+
+    Steps are halved until the loss falls; a ridge on the features, taken as multiples of their deviations,
+    keeps the curve finite where the labels are parted without error.
+    """
+    scale = np.r_[1.0, x[:, 1:].std(axis=0) + 1e-9]
+    middle = np.r_[0.0, x[:, 1:].mean(axis=0)]
+    z = (x - middle) / scale
+    hold = ridge * np.r_[0.0, np.ones(x.shape[1] - 1)]
+
+    def loss(w: np.ndarray) -> float:
+        return weight @ (np.logaddexp(0, z @ w) - label * (z @ w)) + (hold * w * w).sum() / 2
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (label - p)) - 1e-2 * w
-        bend = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-2 * np.eye(len(w))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        slope = z.T @ (weight * (label - p)) - hold * w
+        bend = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(hold + 1e-9)
         step = np.linalg.solve(bend, slope)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-10:
+            step /= 2
+        w += step
+        if np.abs(step).max() < 1e-6:
             break
-    return w
+    w = w / scale
+    return np.r_[w[0] - w[1:] @ middle[1:], w[1:]]
 
 
 def train(
