@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import compression_quality, language_id, oracle
+from newsloom.llm import compression_quality, language_id, main_text, oracle
 from newsloom.llm.decontamination import leaks
 from newsloom.llm.line_dedup import drop_common_lines
 from newsloom.llm.line_quality import line_first_quality
@@ -77,6 +77,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    pages = _read(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_shard_placement": op2_shard_placement,
@@ -87,6 +93,7 @@ QUERIES = {
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
+    "op10_main_text": op10_main_text,
 }
 ORACLE = {
     "op4_mix_sources": oracle.OP4,
