@@ -92,7 +92,9 @@ def _leaks_in(batch, words: Words, items: Words, ids, seeds, item_of, least, cov
     item, text, place = item_of[entry], np.repeat(text_of, repeat), np.repeat(at, repeat)
     order = np.lexsort((place, item, text))
     item, text, place = item[order], text[order], place[order]
-    pair = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])]) if len(item) else []
+    if not len(item):
+        return []
+    pair = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])])
     out = []
     for start, end in zip(pair, [*pair[1:], len(item)], strict=True):
         pattern = items.hashes[items.offsets[item[start]] : items.offsets[item[start] + 1]]
