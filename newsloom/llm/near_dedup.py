@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.bytewords import chunks, windows
 from newsloom.llm.components import components
 from newsloom.llm.frames import bounded, of_ids
+from newsloom.llm.prefix_join import prefix_pairs
 from newsloom.llm.superminhash import band_keys, signatures
 from newsloom.operators.keys import attach
 from newsloom.sources.store import staged
@@ -22,6 +23,7 @@ ROWS = 5
 # Of 160 slots, pairs at 0.8 agree in 128 with a deviation of 5; the pretest lets pass what agrees in 102.
 PRETEST = 0.64
 CELL = 256
+SMALL_BUCKET = 32
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
@@ -129,8 +131,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
     * Documents with equal sets are one class and represented by the smallest id.
     * Representatives that share a key in one of 32 bands of five slots are candidates. A pair at 0.8 is missed
       with a chance of 0.000003, if no other path connects it. Each bucket is first compared with one member, then,
-      where it still holds several components, with another one, and at last the members outside its largest component
-      with all others; never all pairs of a bucket. Nothing is capped.
+      where it still holds several components, with another one. What is left in small buckets is compared pair by
+      pair, in larger ones by an exact join on the rarest shingles. Nothing is capped.
     * Candidates are verified on their full sets, taken from the texts again.
     * A text without words, or null, has an empty set and is linked with nothing.
     * A row without an id is linked with nothing, has no component and is kept. Rows that share an id
@@ -162,7 +164,10 @@ def _grouped(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Da
     members = staged(rows.join(shared, "key").withColumn("comp", F.col("rep")))
     links = None
     for step in ("first", "random", "rest"):
-        candidates = _open_pairs(members, step, percent)
+        if step == "rest":
+            candidates = _other_pairs(docs, members, shingle, percent)
+        else:
+            candidates = _star_pairs(members, step, percent)
         if links is not None:
             candidates = candidates.join(tested, ["a", "b"], "left_anti")
         near = staged(_alike(candidates, reps))
@@ -183,22 +188,40 @@ def _grouped(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Da
     return labels
 
 
-def _open_pairs(members: DataFrame, step: str, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of different components to be tested in this step, in buckets with more than one component."""
-    open_keys = members.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-    open_keys = open_keys.filter("_low < _high").select("key")
-    rows = members.join(open_keys, "key")
-    one = F.struct("rep", "n", "comp")
-    if step == "rest":
-        rows = staged(rows)
-        shares = rows.groupBy("key", "comp").agg(F.count("*").alias("_n"))
-        main = shares.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"))
-        chosen = rows.join(main, "key").filter(F.col("comp") != F.col("_main")).select("key", one.alias("x"))
-    else:
-        order = F.col("rep") if step == "first" else F.xxhash64("rep", "key")
-        chosen = rows.groupBy("key").agg(F.min_by(one, order).alias("x"))
+def _in_open_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets with more than one component, with the number of members as ``_n``."""
+    keys = members.groupBy("key").agg(
+        F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n")
+    )
+    return members.join(keys.filter("_low < _high").select("key", "_n"), "key")
+
+
+def _star_pairs(members: DataFrame, step: str, percent: int) -> DataFrame:
+    """Pairs ``a < b``: one member of each open bucket with those of other components."""
+    rows = _in_open_buckets(members)
+    order = F.col("rep") if step == "first" else F.xxhash64("rep", "key")
+    chosen = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp"), order).alias("x"))
+    return _met(chosen, rows, percent)
+
+
+def _other_pairs(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of different components in what buckets are still open.
+
+    In a bucket of up to ``SMALL_BUCKET`` members they are taken as they are. The members of larger ones are held
+    against each other by their rarest shingles instead.
+    """
+    rows = staged(_in_open_buckets(members))
+    small = rows.filter(F.col("_n") <= SMALL_BUCKET)
+    near = _met(small.select("key", F.struct("rep", "n", "comp").alias("x")), small, percent)
+    large = staged(rows.filter(F.col("_n") > SMALL_BUCKET).select(F.col("rep").alias("doc_id"), "comp").distinct())
+    if large.isEmpty():
+        return near
+    return near.union(prefix_pairs(docs, large, lambda batches: _shingle_sets(batches, shingle), percent)).distinct()
+
+
+def _met(chosen: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     met = chosen.join(rows, "key").filter(F.col("x.comp") != F.col("comp"))
-    fits = (F.least("x.n", "n") * 100 >= F.greatest("x.n", "n") * percent)
+    fits = F.least("x.n", "n") * 100 >= F.greatest("x.n", "n") * percent
     low, high = F.least("x.rep", "rep"), F.greatest("x.rep", "rep")
     return met.filter(fits).select(low.alias("a"), high.alias("b")).distinct()
 
