@@ -72,10 +72,14 @@ with base as (
   select r, (count(*) - count(distinct raw))::bigint as n_dup_lines,
     coalesce(sum(n) filter (fails), 0)::bigint as n_lost_words
   from judged group by r
+), placed as (
+  select r, unnest(w) as word, unnest(range(len(w)))::bigint as i from base
 ), starts as (
-  select r, w, unnest(range(0, greatest(len(w) - {q.WINDOW - 1}, 0)))::bigint as i from base
+  select r, i, word, {", ".join(f"lead(word, {k}) over (partition by r order by i) as w{k}" for k in range(1, q.WINDOW))}
+  from placed
 ), windows as (
-  select r, i, count(*) over (partition by r, w[i + 1 : i + {q.WINDOW}]) as times from starts
+  select r, i, count(*) over (partition by r, word, {", ".join(f"w{k}" for k in range(1, q.WINDOW))}) as times
+  from starts where w{q.WINDOW - 1} is not null
 ), twice as (
   select r, i, lead(i) over (partition by r order by i) as next from windows where times > 1
 ), repeated as (

@@ -159,16 +159,16 @@ def scan(tokens: DataFrame, end: int, width: int = 2) -> DataFrame:
     inside = placed.select(
         "file",
         (F.col("docs_run") + F.col("_docs")).alias("_docs"),
-        base.alias("_base"),
+        base.alias("_from"),  # not "_base": within the lambda below, that would mean this column
         previous.alias("_previous"),
         "n",
         F.transform("ends", lambda x: x + base).alias("_ends"),
         (F.col("_final") & F.col("is_last_run")).alias("_final"),
     )
-    stop = F.col("_base") + F.col("n")
+    stop = F.col("_from") + F.col("n")
     open_from = F.coalesce(F.get("_ends", F.size("_ends") - 1), F.col("_previous")) + 1
     ends = F.when(F.col("_final") & (open_from < stop), F.concat("_ends", F.array(stop))).otherwise(F.col("_ends"))
-    inside = inside.select("file", "_docs", "_base", "_previous", "n", "_ends", ends.alias("_stops"))
+    inside = inside.select("file", "_docs", "_previous", "_ends", ends.alias("_stops"))
     each = inside.select("*", F.posexplode("_stops").alias("_k", "_stop"))
     start = F.when(F.col("_k") == 0, F.col("_previous")).otherwise(F.get("_stops", F.col("_k") - 1)) + 1
     return each.select(
