@@ -27,6 +27,12 @@ HEADLINE = [
     "parsed_combined",
     "editorial_run",
     "api_usage",
+    "incremental_ingest",
+    "selection_stats",
+    "dedup_stats",
+    "translations_for_briefs",
+    "orphan_rows",
+    "known_duplicates",
 ]
 WARM_RUNS = 3
 

@@ -1,6 +1,6 @@
 """The same queries in SQL for DuckDB, written from the rules and not from the Spark plans."""
 
-from newsloom.checks.samples import AS_OF, FEED_BLOCK, MODEL, SHORT_TEXT
+from newsloom.checks.samples import AS_OF, FEED_BLOCK, MODEL
 from newsloom.functions import prompts as P
 from newsloom.functions.responses import SUMMARY_FIELDS, TRANSLATION_FIELDS, combined_fields
 from newsloom.functions.text import WHITESPACE
@@ -75,14 +75,15 @@ CTES = {
                text AS content,
                CASE WHEN doc_id % 29 = 0 THEN {NOW} + INTERVAL 3 HOUR
                     ELSE {NOW} - to_minutes(doc_id * 37 % 4320) END AS published_at,
-               {NOW} - to_minutes(doc_id % 15 * 1440) AS fetched_at,
-               n_chars <= {SHORT_TEXT} AS is_duplicate
+               {NOW} - to_minutes(doc_id % 15 * 1440) AS fetched_at
         FROM documents""",
-    "articles": f"""
+    "hashed": f"""
         SELECT *, substr(sha256(source_url || ':' || strftime(published_at, '%Y-%m-%dT%H:%M:%S')), 1, 16) AS id,
                sha256(lower({trimmed('content')})) AS content_hash, fetched_at AS created_at
         FROM docs""",
-    "store": "SELECT * FROM articles WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "articles": """
+        SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 AS is_duplicate FROM hashed""",
+    "store": "SELECT * REPLACE (false AS is_duplicate) FROM articles WHERE doc_id IN (SELECT doc_id FROM labels)",
     "cut": f"SELECT *, {words('content')} AS words FROM articles",
     "excerpts": "SELECT *, " + ", ".join(f"{excerpt(n)} AS {c}" for c, n in SUMMARY_WORDS.items()) + " FROM cut",
     "labelled": f"""
@@ -383,11 +384,11 @@ ORACLE = {
         FROM articles"""),
     "append_briefs": sql(
         f"""
-        SELECT id, reason IS NULL AS accepted, reason AS reject_reason FROM (
-            SELECT id, CASE WHEN NOT ({caps()}) THEN 'constraint:' || concat_ws(',', """
+        SELECT id, copy, reason IS NULL AS accepted, reason AS reject_reason FROM (
+            SELECT id, copy, CASE WHEN NOT ({caps()}) THEN 'constraint:' || concat_ws(',', """
         + ", ".join(f"CASE WHEN length({c}) > {n} THEN 'max_length:{c}' END" for c, n in SUMMARY_MAX_CHARS.items())
-        + f""") WHEN id IN (SELECT id FROM briefs WHERE processed_at >= {NOW} - INTERVAL 30 DAY) THEN 'id_exists' END
-                AS reason FROM labelled)"""
+        + f""") WHEN copy > 0 OR id IN (SELECT id FROM briefs WHERE processed_at >= {NOW} - INTERVAL 30 DAY) THEN 'id_exists' END
+                AS reason FROM labelled, (VALUES (0), (1)) twice(copy) WHERE copy = 0 OR quality = 0)"""
     ),
     "append_translations": sql("""
         SELECT id, translated_at, reason IS NULL AS accepted, reason AS reject_reason FROM (
@@ -432,7 +433,7 @@ ORACLE = {
     "translations_for_briefs": sql("""
         SELECT w.brief_id, t.id, t.language, t.title, t.translated_at
         FROM (SELECT DISTINCT 'brief_' || id AS brief_id FROM store) w
-             LEFT JOIN (SELECT * FROM translations WHERE language = 'hi') t ON t.brief_id = w.brief_id"""),
+             LEFT JOIN translations t ON t.brief_id = w.brief_id"""),
     "orphan_rows": _orphans(),
     "brief_sources": sql(
         "SELECT b.id, b.article_id, coalesce(a.source_name, 'Global News') AS source_name "
@@ -455,7 +456,7 @@ ORACLE = {
         SELECT count(*) AS total, count(*) FILTER (dup_reason IS NULL) AS "unique", count(dup_reason) AS duplicates,
                count(*) FILTER (dup_reason = 'store') AS store_duplicates,
                count(*) FILTER (dup_reason = 'batch') AS batch_duplicates,
-               count(*) FILTER (dup_reason IS NOT NULL AND content = '') AS empty_duplicates
+               count(*) FILTER (dup_reason IS NOT NULL AND content_hash = sha256('')) AS empty_duplicates
         FROM marked"""),
     "quality_filter_stats": sql("""
         SELECT count(*) AS total, count(*) FILTER (quality_score >= 0.7) AS high_quality,
@@ -541,6 +542,12 @@ ORACLE = {
                     WHEN len(words) < 10 THEN 'ValueError: text too short' END AS error_message,
                CASE WHEN len(words) >= 10 THEN 1 ELSE 2 END AS attempts, len(words) >= 10 AS answered
         FROM cut"""),
+    "run_logs": sql(f"""
+        SELECT 'summarize_' || id || '_{AS_OF:%Y%m%dT%H%M%S}' AS id, {NOW} AS timestamp, {text(MODEL)} AS model_used,
+               'summarize' AS operation, len(words) >= 10 AS success,
+               CASE WHEN len(words) = 0 THEN 'ValueError: empty text'
+                    WHEN len(words) < 10 THEN 'ValueError: text too short' END AS error_message
+        FROM cut"""),
     "parsed_summaries": sql("SELECT * FROM parsed", *parsed_ctes(SUMMARY_FIELDS, "article_id")),
     "parsed_translations": sql("SELECT * FROM parsed", *parsed_ctes(TRANSLATION_FIELDS, "id")),
     "parsed_combined": sql("SELECT * FROM parsed", *parsed_ctes(combined_fields(), "article_id")),
@@ -602,7 +609,13 @@ ORACLE = {
                'trans_brief_' || id || '_or' AS translation_id,
                {", ".join(f"'~' || {c} AS translated_{c}" for c in TEXTS)}
         FROM excerpts WHERE id IN (SELECT id FROM chosen) AND {caps()}""",
-        ("chosen", _OPEN_20),
+        ("first", _OPEN_20),
+        ("done", f"SELECT id FROM excerpts WHERE id IN (SELECT id FROM first) AND {caps()}"),
+        (
+            "chosen",
+            "SELECT * FROM good WHERE id NOT IN (SELECT article_id FROM briefs) AND id NOT IN (SELECT id FROM done) "
+            f"{_RANK} LIMIT 20",
+        ),
     ),
     "summarise_then_translate": sql(
         f"""

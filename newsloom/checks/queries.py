@@ -19,7 +19,7 @@ from newsloom.reference_data import SOURCES, SUMMARY_WORDS, TOP_STORIES
 from newsloom.schemas import ARTICLES, BRIEFS, TRANSLATIONS
 from newsloom.sources import feeds
 from newsloom.sources import registry as sources
-from newsloom.sources.store import shared_folder
+from newsloom.sources.store import shared_folder, staged
 from newsloom.streaming.incremental import (
     create_stream_store,
     ingest_stream,
@@ -44,7 +44,7 @@ def query(fn: Query) -> Query:
 
 @query
 def active_sources(spark, sf):
-    return sources.active_source_articles(sources.source_registry(spark), S.articles(spark, sf))
+    return sources.active_source_articles(sources.source_registry(spark), S.stored_columns(spark, sf))
 
 
 @query
@@ -101,9 +101,13 @@ def append_articles(spark, sf):
 
 @query
 def append_briefs(spark, sf):
+    """Briefs of bad texts come twice in the batch; the second one finds its id taken."""
     news = S.Stored(spark, sf)
-    fate = admit(news.candidates, retention.retain_briefs(news.briefs, S.AS_OF), BRIEFS, "id")
-    return fate.select("id", "accepted", "reject_reason")
+    copies = F.sequence(F.lit(0), F.when(F.col("quality") == 0, 1).otherwise(0))
+    incoming = news.labelled.withColumn("copy", F.explode(copies)).withColumn("seq", F.struct("id", "copy"))
+    incoming = incoming.select(*BRIEFS.required, "copy", "seq")
+    fate = admit(incoming, retention.retain_briefs(news.briefs, S.AS_OF), BRIEFS, "seq")
+    return fate.select("id", "copy", "accepted", "reject_reason")
 
 
 @query
@@ -142,7 +146,7 @@ def translation_by_id(spark, sf):
 
 @query
 def retain_articles(spark, sf):
-    return retention.retain_articles(S.articles(spark, sf), S.AS_OF).select("id", "fetched_at")
+    return retention.retain_articles(S.stored_columns(spark, sf), S.AS_OF).select("id", "fetched_at")
 
 
 @query
@@ -159,7 +163,7 @@ def retain_translations(spark, sf):
 
 @query
 def cleanup_all(spark, sf):
-    return retention.cleanup_stats(S.articles(spark, sf), S.briefs(spark, sf), S.AS_OF)
+    return retention.cleanup_stats(S.stored_columns(spark, sf), S.briefs(spark, sf), S.AS_OF)
 
 
 # --- projections and checks ------------------------------------------------------------
@@ -167,12 +171,12 @@ def cleanup_all(spark, sf):
 
 @query
 def article_id(spark, sf):
-    return S.articles(spark, sf).select("source_url", "published_at", "id")
+    return S.stored_columns(spark, sf).select("source_url", "published_at", "id")
 
 
 @query
 def content_hash(spark, sf):
-    return S.articles(spark, sf).select("id", "content_hash")
+    return S.stored_columns(spark, sf).select("id", "content_hash")
 
 
 @query
@@ -190,16 +194,16 @@ def constraint_rejects(spark, sf):
 
 @query
 def article_excerpts(spark, sf):
-    return feed.article_excerpts(S.articles(spark, sf)).select("id", *SUMMARY_WORDS)
+    return feed.article_excerpts(S.stored_columns(spark, sf)).select("id", *SUMMARY_WORDS)
 
 
 @query
 def source_language_route(spark, sf):
-    return sources.source_language_route(S.articles(spark, sf)).select("id", "source_name", "route")
+    return sources.source_language_route(S.stored_columns(spark, sf)).select("id", "source_name", "route")
 
 
 def _scored(spark, sf):
-    return selection.score_articles(S.articles(spark, sf), S.AS_OF, keep=selection.NARROW)
+    return selection.score_articles(S.stored_columns(spark, sf), S.AS_OF, keep=selection.NARROW)
 
 
 def _stored_scored(spark, sf):
@@ -240,7 +244,7 @@ def known_duplicates(spark, sf):
 
 @query
 def unprocessed_articles(spark, sf):
-    narrow = S.articles(spark, sf).select("id", "published_at", "source_name")
+    narrow = S.stored_columns(spark, sf).select("id", "published_at", "source_name")
     return lookups.unprocessed_articles(narrow, S.briefs(spark, sf))
 
 
@@ -254,8 +258,7 @@ def untranslated_briefs(spark, sf):
 def translations_for_briefs(spark, sf):
     """Asks for a brief of every stored article, most of which have none."""
     ids = S.store(spark, sf).select(F.concat(F.lit("brief_"), "id").alias("brief_id"))
-    hindi = S.Stored(spark, sf).translations.filter(F.col("language") == "hi")
-    return lookups.translations_for_briefs(ids, hindi).select(
+    return lookups.translations_for_briefs(ids, S.Stored(spark, sf).translations).select(
         "brief_id", "id", "language", "title", "translated_at"
     )
 
@@ -320,7 +323,7 @@ def quality_filter_stats(spark, sf):
 
 @query
 def selection_stats(spark, sf):
-    return selection.selection_stats(selection.high_quality(_stored_scored(spark, sf)), 20)
+    return selection.selection_stats(staged(selection.high_quality(_stored_scored(spark, sf))), 20)
 
 
 def _parsed(labelled, fields, id_column="article_id"):
@@ -349,7 +352,7 @@ def collected_per_source(spark, sf):
 
 @query
 def source_coverage(spark, sf):
-    return reports.source_coverage(SOURCES, S.articles(spark, sf))
+    return reports.source_coverage(SOURCES, S.stored_columns(spark, sf))
 
 
 @query
@@ -425,8 +428,10 @@ def brief_translations(spark, sf):
 def top_stories(spark, sf):
     """Flagship: the best five stored articles with their texts."""
     articles = S.articles(spark, sf)
-    best = editorial.select_stories(articles, S.AS_OF)
-    return selection.with_bodies(best, articles, ["title", "content"], TOP_STORIES).select(
+    best = staged(editorial.select_stories(articles, S.AS_OF))
+    return selection.with_bodies(
+        best, articles, ["published_at", "title", "content"], TOP_STORIES, within="published_at"
+    ).select(
         "id",
         "title",
         "content",
@@ -455,7 +460,7 @@ def _digest(prompts: DataFrame) -> DataFrame:
 
 @query
 def summary_prompts(spark, sf):
-    return _digest(inference.summary_prompts(S.articles(spark, sf)))
+    return _digest(inference.summary_prompts(S.stored_columns(spark, sf)))
 
 
 @query
@@ -465,18 +470,27 @@ def translation_prompts(spark, sf):
 
 @query
 def combined_prompts(spark, sf):
-    return _digest(inference.combined_prompts(S.articles(spark, sf), "or"))
+    return _digest(inference.combined_prompts(S.stored_columns(spark, sf), "or"))
 
 
 @query
 def complete_batch(spark, sf):
-    prompts = inference.summary_prompts(S.articles(spark, sf))
+    prompts = inference.summary_prompts(S.stored_columns(spark, sf))
     answers = inference.complete_batch(prompts, stub.terse, attempts=2, wait_seconds=(0, 0))
     return answers.select(
         "id", "success", "error_message", "attempts", F.col("response").isNotNull().alias("answered")
     )
 
 
+@query
+def run_logs(spark, sf):
+    """The usage log of a run in which some prompts fail, by outcome."""
+    prompts = inference.summary_prompts(S.stored_columns(spark, sf))
+    answers = inference.complete_batch(prompts, stub.terse, attempts=1, wait_seconds=(0, 0))
+    logs = inference.as_api_logs(answers, "summarize", S.MODEL, S.AS_OF)
+    return logs.select("id", "timestamp", "model_used", "operation", "success", "error_message")
+
+
 @query
 def parsed_summaries(spark, sf):
     return _parsed(S.labelled_briefs(spark, sf), SUMMARY_FIELDS)
@@ -549,7 +563,7 @@ def article_feed(spark, sf):
 def raw_article_feed(spark, sf):
     """No brief is left in the table, so the feed falls back to the articles."""
     news = S.Stored(spark, sf)
-    none_left = news.briefs.filter(F.col("processed_at") > F.lit("2027-01-01").cast("timestamp_ntz"))
+    none_left = spark.createDataFrame([], news.briefs.schema)
     page = feed.article_feed(news.articles, none_left, news.translations, limit=100)
     return feed.flat_feed(page)
 
@@ -588,10 +602,12 @@ _QUICK = {"attempts": 1, "wait_seconds": (0, 0)}
 
 @query
 def editorial_run(spark, sf):
-    outputs = editorial.combined_run(
-        S.articles(spark, sf), S.briefs(spark, sf), stub.combined, S.AS_OF, S.MODEL, **_QUICK
-    )
-    return _pair(outputs)
+    """Two runs with one folder of answers; the second selects what the first has left."""
+    articles, kept = S.articles(spark, sf), {"answers_path": f"{shared_folder(spark)}/answers", **_QUICK}
+    done = S.briefs(spark, sf).select("article_id")
+    first = editorial.combined_run(articles, done, stub.combined, S.AS_OF, S.MODEL, **kept)
+    done = done.union(first.select("brief.article_id"))
+    return _pair(editorial.combined_run(articles, done, stub.combined, S.AS_OF, S.MODEL, **kept))
 
 
 @query
@@ -619,7 +635,11 @@ def incremental_ingest(spark, sf):
     ).partitionBy("source_name").text(f"{root}/payloads")
     create_stream_store(spark, f"{root}/store", S.store(spark, sf))
     stream = ingest_stream(
-        payload_files(spark, f"{root}/payloads"), f"{root}/store", f"{root}/progress", S.AS_OF
+        payload_files(spark, f"{root}/payloads"),
+        f"{root}/store",
+        f"{root}/progress",
+        S.AS_OF,
+        sources.source_registry(spark),
     )
     stream.awaitTermination()
     # Which of several equal texts is stored depends on the order the files arrive in.

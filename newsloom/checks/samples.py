@@ -6,28 +6,39 @@ else comes from the row itself.
 """
 
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_id, content_hash, ntz
+from newsloom.operators.dedup import mark_duplicates
 from newsloom.operators.publication import daily_stories, publications
 from newsloom.operators.validation import valid_rows
 from newsloom.plans.article_feed import article_excerpts
 from newsloom.reference_data import DEFAULT_CATEGORY, PLACEHOLDER_QUALITY, SOURCES, TITLE_CHARS
 from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TRANSLATIONS
-from newsloom.sources.store import spread, staged
+from newsloom.sources.store import staged
 
 AS_OF = datetime(2026, 7, 4, 12, 0, 0)
 MODEL = "extract-1"
 FEED_BLOCK = 5000
-SHORT_TEXT = 200
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal an input of few splits to all cores before costly work on its texts.
+
+    A Parquet file of one row group is one task however long its texts are. An input with
+    a split per core or more, which is any large one, is returned as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def _minus(minutes: Column) -> Column:
     zero = F.lit(0)
     return ntz(AS_OF) - F.make_dt_interval(zero, zero, minutes.cast("int"))
@@ -65,8 +76,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.when(n % 29 == 0, ahead).otherwise(_minus(n * 37 % 4320)).alias("published_at"),
         _minus(n % 15 * 1440).alias("fetched_at"),
-        # Stands in for the stored flag.
-        (F.col("n_chars") <= SHORT_TEXT).alias("is_duplicate"),
     )
     # Declared never null, which spares a second computation just to test for it.
     return base.withColumns(
@@ -79,7 +88,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(*ARTICLES.columns)
+    """All documents as stored articles; of those with one hash, all but the first are flagged as duplicates.
+
+    The verdict is made on ids and hashes alone and only repeats are brought back, so
+    that no text is shuffled for it.
+    """
+    rows = documents(spark, sf_dir)
+    marked = mark_duplicates(staged(rows.select("doc_id", "content_hash")), seq="doc_id")
+    repeats = staged(marked.filter("is_duplicate").select("doc_id"))
+    flagged = repeats.withColumn("_repeat", F.lit(True))
+    joined = rows.join(flagged, "doc_id", "left")
+    return joined.withColumn("is_duplicate", F.col("_repeat").isNotNull()).select(*ARTICLES.columns)
+
+
+def stored_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored articles for queries that do not ask for the flag."""
+    return documents(spark, sf_dir).select(*[c for c in ARTICLES.columns if c != "is_duplicate"])
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +115,9 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was stored before the batch: the labelled documents, which the feeds deliver again."""
     labelled = _read(spark, sf_dir, "labels").select("doc_id").distinct()
-    return documents(spark, sf_dir).join(labelled, "doc_id").select(*ARTICLES.columns)
+    rows = documents(spark, sf_dir).join(labelled, "doc_id")
+    # What is met with it are ids and hashes only.
+    return rows.withColumn("is_duplicate", F.lit(False)).select(*ARTICLES.columns)
 
 
 def labelled_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +205,14 @@ class Stored:
         self.briefs = valid_briefs(self.labelled).select(*BRIEFS.required)
         self.versions = translation_versions(self.labelled)
         self.translations = self.versions.select(*TRANSLATIONS.required)
-        self.articles = articles(spark, sf_dir)
+        self._given = (spark, sf_dir)
         self.api_logs = api_logs(spark, sf_dir)
 
+    @cached_property
+    def articles(self) -> DataFrame:
+        """Made when asked for, because the duplicate flag takes a pass over all texts."""
+        return articles(*self._given)
+
     def publish(self) -> None:
         """Make the daily publications as well; they are few rows per day and language."""
         self.stories = staged(daily_stories(self.translations, self.briefs))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import content_hash
 from newsloom.operators.keys import CELLS, attach, deal
 
 
@@ -53,12 +54,15 @@ def unique_articles(marked: DataFrame) -> DataFrame:
 
 
 def dedup_stats(marked: DataFrame) -> DataFrame:
-    """Counts of one marked batch. Empty articles share one hash; they are shown apart."""
+    """Counts of one marked batch. Empty and blank articles share one hash; they are shown apart.
+
+    Only hashes are looked at, so no text goes through the verdict join.
+    """
     return marked.agg(
         F.count("*").alias("total"),
         F.count_if(~F.col("is_duplicate")).alias("unique"),
         F.count_if("is_duplicate").alias("duplicates"),
         F.count_if(F.col("dup_reason") == "store").alias("store_duplicates"),
         F.count_if(F.col("dup_reason") == "batch").alias("batch_duplicates"),
-        F.count_if((F.col("content") == "") & F.col("is_duplicate")).alias("empty_duplicates"),
+        F.count_if((F.col("content_hash") == content_hash(F.lit(""))) & F.col("is_duplicate")).alias("empty_duplicates"),
     )

@@ -2,6 +2,7 @@
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pandas as pd
@@ -23,6 +24,7 @@ from newsloom.operators.validation import broken_rules
 from newsloom.reference_data import DEFAULT_CATEGORY, LANGUAGES, PLACEHOLDER_QUALITY, TITLE_CHARS
 from newsloom.schemas import BRIEFS, TRANSLATIONS
 from newsloom.sources.registry import source_language_route
+from newsloom.sources.store import staged
 
 # --- prompts ---------------------------------------------------------------------
 
@@ -62,18 +64,24 @@ RESPONSE_SCHEMA = (
 )
 
 
+_RESPONSE = [field.split()[0] for field in RESPONSE_SCHEMA.split(", ")]
+ANSWER_SCHEMA = f"{RESPONSE_SCHEMA}, prompt_key string, asked long"
+
+
 def complete_batch(
     prompts: DataFrame,
     fn: Callable[[str], str],
     parallel_calls: int | None = None,
     attempts: int = 3,
     wait_seconds: tuple[float, float] = (2.0, 10.0),
+    calls_per_task: int = 1,
 ) -> DataFrame:
     """Call ``fn`` once per prompt; a prompt that keeps failing costs its own row only.
 
-    ``parallel_calls`` sets the number of tasks, hence of calls at a time. ``wait_seconds``
-    are the first and the longest pause between attempts, which double in between. A lost
-    executor repeats the calls of its task; ``complete_once`` keeps finished ones.
+    ``parallel_calls`` sets the number of tasks; without it the prompts stay in the tasks they are in.
+    Each task has ``calls_per_task`` calls under way at a time. ``wait_seconds`` are the first and the
+    longest pause between attempts, which double in between. A lost executor repeats the
+    calls of its task, so tasks should be small; ``complete_once`` keeps finished ones.
     """
     first_wait, longest_wait = wait_seconds
 
@@ -92,10 +100,11 @@ def complete_batch(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["response", "success", "error_message", "attempts", "latency_ms"]
-        for batch in batches:
-            answers = pd.DataFrame([answer(p) for p in batch["prompt"]], columns=names)
-            answers.insert(0, "id", batch["id"].to_numpy())
-            yield answers
+        with ThreadPoolExecutor(calls_per_task) as callers:
+            for batch in batches:
+                answers = pd.DataFrame(list(callers.map(answer, batch["prompt"])), columns=names)
+                answers.insert(0, "id", batch["id"].to_numpy())
+                yield answers
 
     narrow = prompts.select("id", "prompt")
     if parallel_calls is not None:
@@ -104,28 +113,45 @@ def complete_batch(
 
 
 def complete_once(
-    prompts: DataFrame, fn: Callable[[str], str], answers_path: str, **options
+    prompts: DataFrame, fn: Callable[[str], str], answers_path: str, purpose: str = "", **options
 ) -> DataFrame:
     """Like ``complete_batch`` but keeps the answers in ``answers_path``, a shared folder.
 
-    Prompts that have a successful answer there are not asked again, so a repeated run
-    pays only for what is missing; and later steps read the table instead of calling twice.
+    An answer belongs to an id, its whole prompt and ``purpose`` (the model, say). What has a successful
+    answer there is not asked again, so a repeated run pays only for what is missing; other runs
+    may use the same folder. Returned is one row per prompt of this run, failures included: the newest success, or
+    else the newest failure.
     """
     spark = prompts.sparkSession
+    key = F.sha2(F.concat_ws("\n", F.lit(purpose), F.col("id"), F.col("prompt")), 256)
+    asked = staged(prompts.select("id", "prompt", key.alias("prompt_key")))
     # Appending nothing makes the folder exist for the first read.
-    spark.createDataFrame([], RESPONSE_SCHEMA).write.mode("append").parquet(answers_path)
-    stored = spark.read.schema(RESPONSE_SCHEMA).parquet(answers_path)
-    open_prompts = without(prompts, ["id"], stored.filter("success").select("id"))
-    complete_batch(open_prompts, fn, **options).write.mode("append").parquet(answers_path)
-    answered = spark.read.schema(RESPONSE_SCHEMA).parquet(answers_path)
+    spark.createDataFrame([], ANSWER_SCHEMA).write.mode("append").parquet(answers_path)
+    stored = spark.read.schema(ANSWER_SCHEMA).parquet(answers_path)
+    open_prompts = without(asked, ["prompt_key"], stored.filter("success").select("prompt_key"))
+    keys = asked.select("id", "prompt_key").distinct()
+    open_prompts = open_prompts.dropDuplicates(["prompt_key"]).select(F.col("prompt_key").alias("id"), "prompt")
+    answers = complete_batch(open_prompts, fn, **options).withColumnRenamed("id", "prompt_key")
+    answers = answers.join(keys, "prompt_key").withColumn("asked", F.lit(time.time_ns()))
+    answers.select(*_RESPONSE, "prompt_key", "asked").write.mode("append").parquet(answers_path)
+    answered = spark.read.schema(ANSWER_SCHEMA).parquet(answers_path)
     latest = (
-        answered.filter("success")
-        .groupBy("id")
-        .agg(F.max_by(F.struct(*answered.columns), "attempts").alias("_a"))
+        answered.join(keys.select("prompt_key"), "prompt_key")
+        .groupBy("prompt_key")
+        .agg(F.max_by(F.struct(*_RESPONSE), F.struct("success", "asked")).alias("_a"))
     )
     return latest.select("_a.*")
 
 
+def run_counts(answers: DataFrame) -> DataFrame:
+    """How many prompts of a run were asked, answered and failed."""
+    return answers.agg(
+        F.count("*").alias("requested"),
+        F.count_if("success").alias("successful"),
+        F.count_if(~F.col("success")).alias("failed"),
+    )
+
+
 def as_api_logs(responses: DataFrame, operation: str, model: str, at: datetime) -> DataFrame:
     """Call results in the layout of the usage log; token counts and cost are unknown here."""
     return responses.select(

@@ -28,8 +28,11 @@ def admit(incoming: DataFrame, stored: DataFrame, table: Table, seq: str) -> Dat
 
     A row is rejected if it breaks a constraint, if its key is stored, or if an earlier
     valid row of the batch has the key. ``seq`` is the unique order of the batch; the
-    verdicts are matched back on it.
+    verdicts are matched back on it. A part of the key is no such order: of two rows with one key
+    both would be taken for the first.
     """
+    if seq in table.key:
+        raise ValueError(f"{seq} is part of the key; rows with one key need an order of their own")
     checked = check(incoming, table)
     fresh = decide(checked, stored, table, seq).withColumn("_fresh", F.lit(True))
     reason = F.when(F.size("broken_rules") > 0, constraint_reason()).when(

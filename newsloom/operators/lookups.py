@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import ntz
-from newsloom.operators.keys import attach, without
+from newsloom.operators.keys import attach, deal, without
 from newsloom.operators.selection import with_bodies
 from newsloom.reference_data import BRIEF_FEED_SOURCE
 
@@ -51,12 +51,12 @@ def translations_for_briefs(brief_ids: DataFrame, translations: DataFrame) -> Da
 
     Flat rows, not one list per brief: a brief may own any share of the translations.
     """
-    wanted = brief_ids.select("brief_id").distinct().withColumn("_wanted", F.lit(True))
-    found = attach(translations, wanted, "brief_id", "id", how="inner").drop("_wanted")
-    absent = without(wanted.select("brief_id"), ["brief_id"], found.select("brief_id"))
-    return found.unionByName(absent, allowMissingColumns=True).orderBy(
-        "brief_id", F.col("translated_at").desc(), "id"
-    )
+    dealt = deal(translations, "id")
+    wanted = brief_ids.select("brief_id").distinct()
+    # A wanted brief stands in every cell that its translations are in, or once without a cell.
+    cells = wanted.join(dealt.select("brief_id", "_cell").distinct(), "brief_id", "left")
+    joined = cells.join(dealt, ["brief_id", "_cell"], "left").select(*translations.columns)
+    return joined.orderBy("brief_id", F.col("translated_at").desc(), "id")
 
 
 def translation_per_language(translations: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def source_coverage(registry_rows: list[tuple], articles: DataFrame) -> DataFram
     )
     day = F.to_date("published_at").alias("day")
     daily = articles.groupBy(day, "source_name").agg(F.count("*").alias("collected"))
-    days = articles.select(day).distinct()
+    days = daily.select("day").distinct()
     pairs = days.select("day", F.inline(sources))
     return (
         pairs.join(daily, ["day", "source_name"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.inference import (
+    as_api_logs,
     briefs_from_summaries,
     combined_outputs,
     combined_prompts,
@@ -30,8 +31,8 @@ from newsloom.operators.selection import (
     with_bodies,
 )
 from newsloom.reference_data import MIN_QUALITY, TOP_STORIES
-from newsloom.schemas import BRIEFS, TRANSLATIONS
-from newsloom.sources.store import append_accepted, read_table, staged
+from newsloom.schemas import API_LOGS, BRIEFS, TRANSLATIONS
+from newsloom.sources.store import append_accepted, read_table, staged, write_table
 
 _BODY = ["title", "content"]
 
@@ -61,23 +62,32 @@ def select_stories(
     return top_stories(good, count)
 
 
-# Calls at a time for a selection; without a repartition the few selected rows would stay
-# strewn over the tasks of the scan, each with a Python worker of its own.
-_PARALLEL_CALLS = 16
-
-
 def _ask(
     prompts: DataFrame,
     fn: Callable[[str], str],
+    operation: str,
+    model: str,
+    as_of: datetime,
     answers_path: str | None,
+    logs_root: str | None,
     at_most: int | None,
     **options,
 ) -> DataFrame:
+    """One row per prompt, failures included; with ``logs_root``, each is written to that store's usage log.
+
+    A selection of at most ``at_most`` rows would stay strewn over the tasks of its scan, so it is dealt to
+    a task per core at most, unless ``parallel_calls`` says otherwise.
+    """
     if at_most is not None:
-        options.setdefault("parallel_calls", min(at_most, _PARALLEL_CALLS))
+        cores = prompts.sparkSession.sparkContext.defaultParallelism
+        options.setdefault("parallel_calls", max(1, min(at_most, cores)))
     if answers_path is None:
-        return staged(complete_batch(prompts, fn, **options))
-    return complete_once(prompts, fn, answers_path, **options)
+        answers = staged(complete_batch(prompts, fn, **options))
+    else:
+        answers = staged(complete_once(prompts, fn, answers_path, f"{operation}/{model}", **options))
+    if logs_root is not None:
+        write_table(as_api_logs(answers, operation, model, as_of), logs_root, API_LOGS)
+    return answers
 
 
 def _with_texts(selected: DataFrame, articles: DataFrame, count: int) -> DataFrame:
@@ -96,16 +106,21 @@ def combined_run(
     min_score: float = MIN_QUALITY,
     count: int = 20,
     answers_path: str | None = None,
+    newest: int | None = None,
+    logs_root: str | None = None,
     **options,
 ) -> DataFrame:
     """Select, ask once per article, and split each answer into a brief and a translation.
 
     The answers are written out before anything reads them. With ``answers_path`` they are
-    kept there, and a later run with the same path asks only for what is missing.
+    kept there, and a later run with the same path asks only for what is missing. ``newest`` starts from
+    the most recent articles only. With ``logs_root``, every call goes to that store's usage log, as a
+    summary, which is what such a call replaces.
     """
-    selected = select_stories(articles, as_of, briefs, min_score, count)
+    selected = select_stories(articles, as_of, briefs, min_score, count, newest)
     stories = _with_texts(selected, articles, count)
-    answers = _ask(combined_prompts(stories, language), fn, answers_path, count, **options)
+    where = (answers_path, logs_root, count)
+    answers = _ask(combined_prompts(stories, language), fn, "summarize", model, as_of, *where, **options)
     return combined_outputs(parsed_combined(answers.filter("success")), language, model, as_of)
 
 
@@ -118,15 +133,19 @@ def summarise_then_translate(
     min_score: float = MIN_QUALITY,
     count: int = TOP_STORIES,
     answers_path: str | None = None,
+    newest: int | None = None,
+    logs_root: str | None = None,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """The two-call way: briefs first, then a translation of each brief."""
     paths = (None, None) if answers_path is None else (f"{answers_path}/s", f"{answers_path}/t")
-    selected = select_stories(articles, as_of, min_score=min_score, count=count)
+    selected = select_stories(articles, as_of, min_score=min_score, count=count, newest=newest)
     stories = _with_texts(selected, articles, count)
-    answers = _ask(summary_prompts(stories), fn, paths[0], count, **options)
+    where = (paths[0], logs_root, count)
+    answers = _ask(summary_prompts(stories), fn, "summarize", model, as_of, *where, **options)
     briefs = briefs_from_summaries(parsed_summaries(answers.filter("success")), model, as_of)
-    answers = _ask(translation_prompts(briefs, language), fn, paths[1], count, **options)
+    where = (paths[1], logs_root, count)
+    answers = _ask(translation_prompts(briefs, language), fn, "translate", model, as_of, *where, **options)
     translations = translations_from_briefs(
         parsed_translations(answers.filter("success")), language, model, as_of
     )
@@ -142,11 +161,13 @@ def fill_missing_translations(
     language: str = "or",
     limit: int | None = None,
     answers_path: str | None = None,
+    logs_root: str | None = None,
     **options,
 ) -> DataFrame:
     """Translations for the briefs that lack one; all of them unless ``limit`` is given."""
     open_briefs = untranslated_briefs(briefs, translations, language, limit)
-    answers = _ask(translation_prompts(open_briefs, language), fn, answers_path, limit, **options)
+    where = (answers_path, logs_root, limit)
+    answers = _ask(translation_prompts(open_briefs, language), fn, "translate", model, as_of, *where, **options)
     return translations_from_briefs(
         parsed_translations(answers.filter("success")), language, model, as_of
     )
@@ -157,14 +178,17 @@ def save_outputs(
 ) -> DataFrame:
     """Append new briefs and translations to the store; returns what was asked and what was written.
 
-    Rows whose id is stored are refused, so a repeated run adds nothing.
+    Rows whose id is stored are refused, so a repeated run adds nothing; of several new rows with one id
+    one is written.
     """
     stats = []
     for table, rows in ((BRIEFS, briefs), (TRANSLATIONS, translations)):
         if rows is not None:
             spark = rows.sparkSession
             # Decided in full before the append starts to change what it was decided on.
-            fate = staged(admit(rows, read_table(spark, root, table), table, "id"))
+            # The order is written with the rows, so that both uses of it see the same.
+            ordered = staged(rows.withColumn("_seq", F.monotonically_increasing_id()))
+            fate = staged(admit(ordered, read_table(spark, root, table), table, "_seq"))
             append_accepted(fate, root, table, as_of)
             stats.append(append_stats(fate).withColumn("table_name", F.lit(table.name)))
     return reduce(DataFrame.unionByName, stats)

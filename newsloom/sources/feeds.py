@@ -14,22 +14,32 @@ from newsloom.schemas import MAX_URL_CHARS
 # A payload is parsed once and fills whichever half it has.
 _RSS_ITEM = (
     "struct<title:string,link:string,description:string,`content:encoded`:array<string>,"
-    "pubDate:string,updated:string>"
+    "guid:struct<_VALUE:string,_isPermaLink:string>,pubDate:string,`dc:date`:string,updated:string>"
 )
 _ATOM_TEXT = "struct<_VALUE:string,_type:string>"
 _ATOM_ENTRY = (
     f"struct<title:{_ATOM_TEXT},link:array<struct<_href:string,_rel:string>>,"
     f"content:array<{_ATOM_TEXT}>,summary:{_ATOM_TEXT},published:string,updated:string>"
 )
+# The zone names of RFC 822, which know no daylight saving of their own.
+MAIL_ZONES = {
+    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+    "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
 _FEED = f"channel struct<item:array<{_RSS_ITEM}>>, entry array<{_ATOM_ENTRY}>, _corrupt_record string"
 
 
 def feed_time(text: Column) -> Column:
     """RFC 822 or ISO 8601 text to a zone-less UTC timestamp, null if it is neither."""
     no_weekday = F.regexp_replace(F.trim(text), r"^[A-Za-z]+,\s*", "")
+    # RFC 822 to one form: four digits of the year, seconds, and the zone as an offset.
+    mail = F.regexp_replace(no_weekday, r"^(\d{1,2} [A-Za-z]{3}) ([0-6]\d) ", "$1 20$2 ")
+    mail = F.regexp_replace(mail, r"^(\d{1,2} [A-Za-z]{3}) ([7-9]\d) ", "$1 19$2 ")
+    mail = F.regexp_replace(mail, r"( \d\d:\d\d)(?= |$)", "$1:00")
+    for name, offset in MAIL_ZONES.items():
+        mail = F.regexp_replace(mail, rf" {name}$", f" {offset}")
     instant = F.coalesce(
-        F.try_to_timestamp(no_weekday, F.lit("d MMM yyyy HH:mm:ss xx")),
-        F.try_to_timestamp(no_weekday, F.lit("d MMM yyyy HH:mm:ss z")),
+        F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss xx")),
         F.try_to_timestamp(F.when(no_weekday.rlike(r"^\d{4}-\d\d-\d\d"), _with_zone(no_weekday))),
     )
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -48,7 +58,21 @@ def _whole_entries(payload: Column) -> Column:
     Covers the usual faults: a payload that was cut off, and bare ampersands or HTML
     entities, which become plain text.
     """
-    escaped = F.regexp_replace(payload, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+    def repaired(text: Column) -> Column:
+        return F.regexp_replace(text, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+    def as_text(part: Column, place: Column) -> Column:
+        """What stands after the beginning of a CDATA section: its text, escaped as a whole, and the rest."""
+        end = F.instr(part, "]]>")
+        inside = part.substr(F.lit(1), end - 1)
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inside = F.replace(inside, F.lit(sign), F.lit(name))
+        rest = repaired(part.substr(end + 3, F.length(part)))
+        return F.when(place == 0, repaired(part)).when(end == 0, F.lit("")).otherwise(F.concat(inside, rest))
+
+    # Neither an ampersand nor the end of an entry counts inside a CDATA section.
+    escaped = F.array_join(F.transform(F.split(payload, r"<!\[CDATA\["), as_text), "")
 
     def all_of(tag: str) -> Column:
         found = F.regexp_extract_all(escaped, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), F.lit(0))
@@ -74,12 +98,15 @@ def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
     def rss(item: Column) -> Column:
         content = F.transform(item["content:encoded"], lambda v: F.struct(v.alias("value")))
+        # A guid is a link unless it says that it is none.
+        is_link = F.coalesce(F.lower(item["guid"]["_isPermaLink"]), F.lit("true")) == "true"
+        permanent = F.when(is_link & F.rlike(item["guid"]["_VALUE"], F.lit("^https?://")), item["guid"]["_VALUE"])
         return F.struct(
             item["title"].alias("title"),
-            item["link"].alias("link"),
+            F.coalesce(item["link"], permanent).alias("link"),
             content.alias("content"),
             item["description"].alias("summary"),
-            feed_time(item["pubDate"]).alias("published"),
+            F.coalesce(feed_time(item["pubDate"]), feed_time(item["dc:date"])).alias("published"),
             feed_time(item["updated"]).alias("updated"),
         )
 
@@ -103,7 +130,9 @@ def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return parsed.select(
         *payloads.columns,
         entries.alias("entries"),
-        F.when(F.col("_broken"), F.lit("malformed")).alias("parse_error"),
+        F.when(F.col("_broken"), F.lit("malformed"))
+        .when(~F.rlike(payload, F.lit(r"<(rss|feed)[\s>]")), F.lit("unknown_format"))
+        .alias("parse_error"),
     )
 
 

@@ -43,16 +43,6 @@ def staged(rows: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Deal an input of few splits to all cores before costly work on its texts.
-
-    A Parquet file of one row group is one task however long its texts are. An input with
-    a split per core or more, which is any large one, is returned as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
-
-
 def create_store(spark: SparkSession, root: str) -> None:
     """Make all six tables; those that exist keep their rows."""
     for table in TABLES.values():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.operators.keyed_append import accepted_rows
-from newsloom.plans.ingest import ingest
+from newsloom.plans.ingest import collect_articles, ingest
 from newsloom.schemas import ARTICLES
 from newsloom.sources.feeds import feed_entries, normalized_articles
 
@@ -25,20 +25,24 @@ def payload_files(spark: SparkSession, payload_dir: str, files_per_batch: int |
 
 
 def ingest_stream(
-    payloads: DataFrame, store_dir: str, checkpoint_dir: str, as_of: datetime
+    payloads: DataFrame, store_dir: str, checkpoint_dir: str, as_of: datetime, registry: DataFrame | None = None
 ) -> StreamingQuery:
     """Run the ingest job on each micro-batch against everything stored before it.
 
     Each batch owns one folder of the store and overwrites it, and reads only the folders of
     earlier batches, so a batch that is run again after a failure gives the same store.
-    Duplicates are found over all history, however old, because the store is the state.
+    Duplicates are found over all history, however old, because the store is the state. With a
+    ``registry``, sources that it disables are left out, as in the batch job.
     """
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ARTICLES.schema)}, batch long"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = spark.read.schema(schema).parquet(store_dir).filter(F.col("batch") < batch_id)
-        articles = normalized_articles(feed_entries(batch), as_of)
+        if registry is None:
+            articles = normalized_articles(feed_entries(batch), as_of)
+        else:
+            articles = collect_articles(batch, registry, as_of)
         order = F.concat_ws("#", "file", F.lpad(F.col("position").cast("string"), 9, "0"))
         staging = f"{checkpoint_dir}-staged/batch={batch_id}"
         fate = ingest(articles.withColumn("batch_seq", order), store, staging)

@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 import pytest
 from conftest import AS_OF, article, articles, brief, briefs, translation, translations, values
@@ -45,7 +46,7 @@ def test_a_stored_hot_hash_marks_all_its_rows(spark):
 
 
 def test_empty_contents_are_counted_apart(spark):
-    rows = [(i, "e3b0", "") for i in range(4)] + [(9, "x", "text")]
+    rows = [(i, sha256(b"").hexdigest(), "") for i in range(4)] + [(9, "x", "text")]
     df = spark.createDataFrame(rows, "batch_seq long, content_hash string, content string")
     stats = dedup_stats(mark_duplicates(df)).first()
     assert (stats["duplicates"], stats["empty_duplicates"]) == (3, 3)
@@ -103,9 +104,25 @@ def test_new_text_under_a_stored_id_is_refused(spark):
     assert values(fate, "reject_reason") == ["id_exists"]
 
 
+def test_one_of_two_rows_with_one_id_is_accepted(spark):
+    rows = briefs(spark, [brief(0), brief(0, title="Other"), brief(1)])
+    fate = admit(rows.withColumn("seq", F.monotonically_increasing_id()), briefs(spark, []), BRIEFS, "seq")
+    assert sorted(values(fate, "id", "accepted")) == [("brief_a0", False), ("brief_a0", True), ("brief_a1", True)]
+    with pytest.raises(ValueError):
+        admit(rows, briefs(spark, []), BRIEFS, "id")
+
+
+def test_blank_duplicates_are_counted_as_empty(spark):
+    empty = sha256(b"").hexdigest()
+    rows = [article(n, content=c, content_hash=empty) for n, c in enumerate(["", "  ", "\n"])] + [article(9)]
+    marked = mark_duplicates(articles(spark, rows).withColumn("batch_seq", F.col("id")))
+    assert dedup_stats(marked).first()["empty_duplicates"] == 2
+
+
 def test_briefs_and_translations_append_by_the_same_rule(spark):
     rows = [brief(0), brief(1, quality_score=1.5), brief(2, summary_30="x" * 301), brief(3, title=None)]
-    fate = admit(briefs(spark, rows), briefs(spark, []), BRIEFS, "id")
+    numbered = briefs(spark, rows).withColumn("seq", F.monotonically_increasing_id())
+    fate = admit(numbered, briefs(spark, []), BRIEFS, "seq")
     assert dict(values(fate, "id", "reject_reason")) == {
         "brief_a0": None,
         "brief_a1": "constraint:range:quality_score",
@@ -113,7 +130,8 @@ def test_briefs_and_translations_append_by_the_same_rule(spark):
         "brief_a3": "constraint:not_null:title",
     }
     rows = [translation(0), translation(0, "xx"), translation(1, summary_250="x" * 5000)]
-    fate = admit(translations(spark, rows), translations(spark, []), TRANSLATIONS, "id")
+    numbered = translations(spark, rows).withColumn("seq", F.monotonically_increasing_id())
+    fate = admit(numbered, translations(spark, []), TRANSLATIONS, "seq")
     assert sorted(values(fate, "id", "accepted")) == [
         ("trans_brief_a0_or", True),
         ("trans_brief_a0_xx", False),

@@ -108,7 +108,7 @@ def test_malformed_payloads_are_reported_and_cost_only_themselves(spark):
     report = {r["source_name"]: r for r in feeds.feed_report(payloads(spark, *texts)).collect()}
     assert report["s0"]["entries"] == 3 and report["s0"]["parse_error"] is None
     assert [report[f"s{i}"]["entries"] for i in range(1, 6)] == [0] * 5
-    assert report["s5"]["parse_error"] is None  # proper XML, but no feed
+    assert report["s5"]["parse_error"] == "unknown_format"  # proper XML, but no feed
     assert [report[f"s{i}"]["parse_error"] for i in range(1, 5)] == ["malformed"] * 4
     assert feeds.feed_entries(payloads(spark, *texts)).count() == 3
 
@@ -124,9 +124,28 @@ def test_whole_entries_of_a_broken_payload_are_kept(spark):
     assert sorted(report) == [(1, "malformed"), (1, "malformed"), (2, "malformed")]
 
 
+def test_cdata_of_a_broken_payload_is_left_alone(spark):
+    body = "<![CDATA[AT&T & co </item> <b>x</b> &amp;]]>"
+    sound = ONE_ITEM.replace("Test Article", body)
+    cut = sound.replace("</channel></rss>", "<item><title>lost <![CDATA[ and")
+    assert values(feeds.feed_entries(payloads(spark, sound)), "title") == ["AT&T & co </item> <b>x</b> &amp;"]
+    assert values(feeds.feed_entries(payloads(spark, cut)), "title") == ["AT&T & co </item> <b>x</b> &amp;"]
+
+
+def test_link_from_a_permanent_guid(spark):
+    link = ONE_ITEM[ONE_ITEM.index("<link>") : ONE_ITEM.index("</link>") + 7]
+    guids = ["<guid>https://e.com/g</guid>", '<guid isPermaLink="true">https://e.com/g</guid>', '<guid isPermaLink="false">https://e.com/g</guid>']
+    df = feeds.feed_entries(payloads(spark, *[ONE_ITEM.replace(link, g) for g in guids]))
+    assert sorted(values(df, "source_name", "link")) == [("s0", "https://e.com/g"), ("s1", "https://e.com/g"), ("s2", None)]
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
+        ("Sat, 04 Jul 2026 12:30 GMT", NOON),
+        ("04 Jul 26 12:30:00 GMT", NOON),
+        ("4 Jul 2026 07:30:00 EST", NOON),
+        ("4 Jul 2026 08:30:00 EDT", NOON),
         ("Sat, 04 Jul 2026 12:30:00 GMT", NOON),
         ("4 Jul 2026 12:30:00 +0000", NOON),
         ("Sat, 04 Jul 2026 05:30:00 PDT", NOON),

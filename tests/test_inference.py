@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from conftest import AS_OF, article, articles, brief, briefs, translation, translations, values
@@ -123,12 +124,36 @@ def test_answers_are_kept_and_not_asked_again(spark, tmp_path):
         return prompt * 2
 
     first = I.complete_once(prompts(spark, "a", "b"), fn, path, **QUICK)
-    assert values(first, "id", "response") == [("a0", "aa")]
+    assert sorted(values(first, "id", "response", "success")) == [("a0", "aa", True), ("a1", None, False)]
+    assert tuple(I.run_counts(first).first()) == (2, 1, 1)
     again = I.complete_once(prompts(spark, "a", "c"), lambda p: fn(p), path, **QUICK)
     assert sorted(values(again, "id", "response")) == [("a0", "aa"), ("a1", "cc")]
     assert sorted(open(asked).read()) == ["a", "b", "c"]
 
 
+def test_answers_belong_to_their_prompt_and_purpose(spark, tmp_path):
+    path = str(tmp_path / "answers")
+    one = I.complete_once(prompts(spark, "a"), lambda p: f"1{p}", path, "hi", **QUICK)
+    assert values(one, "response") == ["1a"]
+    other = I.complete_once(prompts(spark, "a"), lambda p: f"2{p}", path, "ta", **QUICK)
+    assert values(other, "response") == ["2a"]
+    changed = I.complete_once(prompts(spark, "b"), lambda p: f"3{p}", path, "hi", **QUICK)
+    assert values(changed, "id", "response") == [("a0", "3b")]
+    again = I.complete_once(prompts(spark, "a", "b"), lambda p: f"4{p}", path, "hi", **QUICK)
+    assert sorted(values(again, "id", "response")) == [("a0", "1a"), ("a1", "4b")]
+
+
+def test_calls_of_a_task_run_side_by_side(spark):
+    def fn(prompt):
+        time.sleep(0.3)
+        return prompt
+
+    started = time.monotonic()
+    answers = I.complete_batch(prompts(spark, *"abcdefghij"), fn, parallel_calls=1, calls_per_task=10, **QUICK)
+    assert sorted(values(answers, "response")) == list("abcdefghij")
+    assert time.monotonic() - started < 2.5
+
+
 def test_briefs_and_translations_from_parsed(spark):
     long = json.dumps({**TEXTS, "summary_30": "x" * 301})
     title = json.dumps({**TEXTS, "summary_30": "y" * 200})

@@ -1,16 +1,17 @@
+import json
 from datetime import timedelta
 
 import pytest
 from conftest import AS_OF, article, articles, brief, briefs, translation, translations, values
 from pyspark.sql import functions as F
 
-from newsloom.checks import stub
+from newsloom.checks import samples, stub
 from newsloom.operators.inference import combined_briefs, combined_translations
 from newsloom.operators.keyed_append import admit
 from newsloom.operators.reports import processing_progress, store_profile, table_health
 from newsloom.plans import editorial
 from newsloom.plans.ingest import collect_articles, ingest, ingest_stats, save_ingested
-from newsloom.schemas import ARTICLES, BRIEFS, TABLES, TRANSLATIONS
+from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TABLES, TRANSLATIONS
 from newsloom.sources import store as S
 from newsloom.sources.registry import source_registry
 from newsloom.streaming import incremental as X
@@ -101,9 +102,9 @@ def test_staging_goes_to_the_shared_folder(spark):
 
 
 def test_small_inputs_are_spread_and_large_ones_left(spark):
-    assert S.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert samples.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 10, 1, 50)
-    assert S.spread(many, "id") is many
+    assert samples.spread(many, "id") is many
 
 
 def batch_result(spark, tmp_path):
@@ -150,6 +151,33 @@ def test_stream_stores_what_the_batch_stores(spark, tmp_path, files_per_batch):
     assert X.stored_articles(spark, store).count() == len(got) + 2
 
 
+def test_stream_leaves_out_disabled_sources(spark, tmp_path):
+    for source in "AB":
+        (tmp_path / "feeds" / f"source_name={source}").mkdir(parents=True)
+        (tmp_path / "feeds" / f"source_name={source}" / "f.xml").write_text(feed(item(ord(source), f"text of {source}")))
+    registry = source_registry(spark, [("A", "https://a.b/x", 1, 5, False), ("B", "https://a.b/y", 1, 5, True)])
+    store, feeds = str(tmp_path / "store"), str(tmp_path / "feeds")
+    X.create_stream_store(spark, store)
+    X.ingest_stream(X.payload_files(spark, feeds), store, str(tmp_path / "p"), AS_OF, registry).awaitTermination()
+    assert values(X.stored_articles(spark, store), "source_name") == ["B"]
+
+
+def test_runs_share_a_folder_of_answers_and_log_their_calls(spark, tmp_path):
+    root, path = str(tmp_path / "store"), str(tmp_path / "answers")
+    S.create_store(spark, root)
+    df, none = briefs(spark, [brief(0), brief(1)]), translations(spark, [])
+    quick = {"attempts": 1, "wait_seconds": (0, 0), "answers_path": path, "logs_root": root}
+
+    def answer(word):
+        return lambda p: json.dumps({n: word for n in ("title", "summary_30", "summary_111", "summary_250")})
+
+    for language, word in (("hi", "one"), ("ta", "two")):
+        made = editorial.fill_missing_translations(df, none, answer(word), AS_OF, "m", language, **quick)
+        assert sorted(values(made, "id", "title")) == [(f"trans_brief_a{n}_{language}", word) for n in (0, 1)]
+    logs = S.read_table(spark, root, API_LOGS)
+    assert values(logs, "operation", "success") == [("translate", True)] * 4
+
+
 def test_a_day_from_feeds_to_stored_translations(spark, tmp_path):
     root = str(tmp_path / "store")
     S.create_store(spark, root)
