@@ -55,8 +55,9 @@ def test_dropped_lines_against_plain_version(spark):
 
 def test_line_quality_judges_lines_then_documents(spark):
     good = "This sentence is long enough to stand for itself, and it ends well."
+    more = "Another one says something else, so that nothing is repeated here."
     cases = {
-        1: f"{good}\nHome | News | Sport | Weather | More |\n{good}",
+        1: f"{good}\nHome | News | Sport | Weather | More |\n{more}",
         2: "one | two | three | four | five |\nsix | seven | eight | nine | ten | eleven |",
         3: "WE SELL!! CHEAP!! THINGS!! TODAY!! AND!! ALSO!! TOMORROW!! FOR!! LESS!! MONEY!!",
         4: f"{good}\nWe use cookies to make this site better.",
@@ -66,7 +67,7 @@ def test_line_quality_judges_lines_then_documents(spark):
     frame = spark.createDataFrame([(i, t) for i, t in cases.items()], "doc_id long, text string")
     got = {r.doc_id: r for r in line_first_quality(frame).collect()}
     assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
-    assert got[1].cleaned == f"{good}\n{good}" and got[4].cleaned == good and got[5].base_failed
+    assert got[1].cleaned == f"{good}\n{more}" and got[4].cleaned == good and got[5].base_failed
     text = cases[5]
     w = words(text)
     windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
