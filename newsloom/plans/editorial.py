@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import ntz
 from newsloom.operators.inference import (
     as_api_logs,
     briefs_from_summaries,
@@ -86,7 +87,8 @@ def _ask(
     else:
         answers = staged(complete_once(prompts, fn, answers_path, f"{operation}/{model}", **options))
     if logs_root is not None:
-        write_table(as_api_logs(answers, operation, model, as_of), logs_root, API_LOGS)
+        logs = as_api_logs(answers, operation, model, as_of).withColumn("created_at", ntz(as_of))
+        write_table(logs, logs_root, API_LOGS)
     return answers
 
 
