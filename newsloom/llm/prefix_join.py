@@ -83,7 +83,8 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, sets_of: Callable, percent
     most = F.least("n", "largest")
     sizes = F.sequence(_bucket(least), _bucket(most))
     probes = posts.filter(most >= least).select("doc_id", "comp", "n", "x", "largest", F.explode(sizes).alias("size"))
-    posts = posts.withColumn("size", _bucket(F.col("n")))
+    # Those who look under this size are as large or larger, so a place that allows no such set posts nothing.
+    posts = posts.filter("largest >= n").withColumn("size", _bucket(F.col("n")))
     keys = ["x", "size"]
     own = probes.select(*keys, F.col("comp").alias("_own")).distinct()
     other = posts.select(*keys, F.col("comp").alias("_other")).distinct()
