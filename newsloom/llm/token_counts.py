@@ -14,6 +14,7 @@ from newsloom.sources.store import shared_folder
 
 BLOCK_TOKENS = 1 << 20
 RUN = 1024
+# Fixed value: how texts are split for the given byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
