@@ -73,8 +73,10 @@ def write_tokens(docs: DataFrame, ranks: dict[bytes, int], block_tokens: int = B
     schema = "kind string, file string, block long, payload binary, ordinal long, doc_id long"
     rows = docs.select("doc_id", "text").mapInArrow(encode, schema)
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    tokens = spark.read.schema("file string, block long, payload binary").parquet(f"{path}/kind=tokens")
-    listed = spark.read.schema("file string, ordinal long, doc_id long").parquet(f"{path}/kind=list")
+    # The folder of a kind is only there if it has rows.
+    written = spark.read.schema(schema).parquet(path)
+    tokens = written.filter("kind = 'tokens'").select("file", "block", "payload")
+    listed = written.filter("kind = 'list'").select("file", "ordinal", "doc_id")
     return tokens, listed
 
 
