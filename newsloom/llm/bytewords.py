@@ -35,18 +35,26 @@ NOT_ALNUM[:128] = [not chr(c).isalnum() for c in range(128)]
 _BYTE = mixed(np.arange(256, dtype=np.uint64) + _STEP)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = 0xD1342543DE82EF95
-_powers = np.ones((2, 1), np.uint64)
+_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> np.ndarray:
-    """Powers of the base and of its inverse modulo 2**64, grown as needed."""
-    global _powers
-    if _powers.shape[1] < n:
-        steps = np.full((2, max(n, CHUNK_BYTES + 1)), _BASE, np.uint64)
-        steps[1] = pow(_BASE, -1, 1 << 64)
-        steps[:, 0] = 1
-        _powers = np.cumprod(steps, axis=1, dtype=np.uint64)
-    return _powers
+    """The first ``n`` powers of the base and of its inverse modulo 2**64.
+
+    Those for a piece of usual size are kept; a longer text's are made for it alone.
+    """
+    if n > CHUNK_BYTES + 1:
+        return _made_powers(n)
+    if not _powers:
+        _powers.append(_made_powers(CHUNK_BYTES + 1))
+    return _powers[0][:, :n]
+
+
+def _made_powers(n: int) -> np.ndarray:
+    steps = np.full((2, n), _BASE, np.uint64)
+    steps[1] = pow(_BASE, -1, 1 << 64)
+    steps[:, 0] = 1
+    return np.cumprod(steps, axis=1, dtype=np.uint64)
 
 
 @dataclass
@@ -85,7 +93,7 @@ def words_of(column: pa.Array, between: np.ndarray = _SPACE) -> Words:
         last |= _at_end(bounds, n)
     starts = np.flatnonzero(first[:n] & inside)
     ends = np.flatnonzero(last & inside) + 1
-    up, down = _power_tables(n + 1)[:, : n + 1]
+    up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))

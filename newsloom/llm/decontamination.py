@@ -18,7 +18,7 @@ BLOCK_WORDS = 2_000_000
 _GAP = np.uint64(0)  # stands between pieces of a text; no word's hash
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:
+def item_blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:
     """The items in blocks of some ``most`` words, which bounds what is broadcast at a time."""
     size = F.regexp_count(F.col("text"), F.lit("[A-Za-z0-9\\x80-\\x{10FFFF}]+"))
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text", size.alias("_n"))
@@ -54,7 +54,7 @@ def leaks(
     """
     schema = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long"
     found = None
-    for ids, texts in _blocks(benchmark, block_words):
+    for ids, texts in item_blocks(benchmark, block_words):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
         part = docs.select("doc_id", "text").mapInArrow(_finder(shared, least, coverage), schema)
         found = part if found is None else found.union(part)

@@ -116,3 +116,88 @@ with base as (
 )
 select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from base join kept using (r)
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+with docs as (
+  select row_number() over () as r, doc_id, {_TERMS} as terms from documents
+), counted as (
+  select r, doc_id, len(terms)::bigint as n, terms from docs where len(terms) > 0
+), totals as (
+  select count(*)::bigint as rows, sum(n)::bigint as words from counted
+), postings as (
+  select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from counted) group by r, term
+), weights as (
+  select term, floor(1000 * ln((2 * max(rows) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from postings, totals group by term
+), asked as (
+  select i, item_id, term, count(*)::bigint as repeats
+  from (select row_number() over () as i, item_id, unnest({_TERMS}) as term from benchmark) group by i, item_id, term
+), scored as (
+  select a.i, a.item_id, p.r, sum(
+    a.repeats * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * c.n * t.rows) // t.words)))
+  )::bigint as score
+  from asked a join postings p using (term) join weights w using (term) join counted c on c.r = p.r, totals t
+  group by a.i, a.item_id, p.r
+), ranked as (
+  select i, item_id, c.doc_id, score,
+    row_number() over (partition by i order by score desc, c.doc_id nulls last)::int as rank
+  from scored s join counted c on c.r = s.r where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+OP12 = """
+with usable as (
+  select distinct vec_id, embedding::double[] as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and list_aggregate(list_transform(embedding, lambda x: (x is not null and isfinite(x))::int), 'min') = 1
+    and list_aggregate(list_transform(embedding, lambda x: (x <> 0)::int), 'max') = 1
+), pairs as (
+  select distinct q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.v, c.v) as score
+  from usable q join usable c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+OP13 = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents
+), split as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), sizes as (
+  select lang, sum(len(w))::bigint as n from split group by lang
+), spans as (
+  select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+  from (select lang, w, unnest([1, 2, 3, 4]) as k from split) where len(w) >= k
+), counts as (
+  select lang, k, w[i:i + k - 1] as words, count(*)::bigint as f from spans group by all
+), candidates as (
+  select * from counts where k > 1 and f >= 30
+), cuts as (
+  select lang, words, f as a, unnest(range(1, k)) as cut from candidates
+), scored as (
+  select c.lang, c.words, c.a, c.cut, x.f as l, y.f as r, ((2000000 * c.a::hugeint) // (x.f + y.f))::bigint as score
+  from cuts c
+  join counts x on x.lang = c.lang and x.words = c.words[1:c.cut]
+  join counts y on y.lang = c.lang and y.words = c.words[c.cut + 1:]
+), weakest as (
+  select *, row_number() over (partition by lang, words order by score, cut) as place from scored
+), parts as (
+  select lang, f, words, k, size, unnest(range(1, k - size + 2)) as i
+  from (select lang, f, words, k, unnest(range(2, k)) as size from candidates where k > 2)
+), most as (
+  select lang, words[i:i + size - 1] as words, max(f) as f from parts group by all
+), kept as (
+  select w.lang, array_to_string(w.words, ' ') as phrase, w.a, w.l, w.r, w.score
+  from weakest w left join most m on m.lang = w.lang and m.words = w.words
+  where w.place = 1 and not coalesce(100 * m.f >= 80 * w.a, false)
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank from kept
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
+"""

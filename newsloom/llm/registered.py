@@ -4,14 +4,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import compression_quality, language_id, main_text, oracle
+from newsloom.llm.collocations import collocations
 from newsloom.llm.decontamination import leaks
 from newsloom.llm.line_dedup import drop_common_lines
 from newsloom.llm.line_quality import line_first_quality
 from newsloom.llm.mixing import mixed_sizes
 from newsloom.llm.near_dedup import near_duplicates
+from newsloom.llm.ranked_search import rank
 from newsloom.llm.sharding import place
 from newsloom.llm.text import learnable
 from newsloom.llm.token_counts import token_counts
+from newsloom.llm.vector_search import nearest
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -83,6 +86,22 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(pages, main_text.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language that hold together best."""
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_shard_placement": op2_shard_placement,
@@ -94,9 +113,15 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
     "op10_main_text": op10_main_text,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_nearest_vectors": op12_nearest_vectors,
+    "op13_collocations": op13_collocations,
 }
 ORACLE = {
     "op4_mix_sources": oracle.OP4,
     "op5_line_quality": oracle.OP5,
     "op9_line_dedup": oracle.OP9,
+    "op11_ranked_search": oracle.OP11,
+    "op12_nearest_vectors": oracle.OP12,
+    "op13_collocations": oracle.OP13,
 }
