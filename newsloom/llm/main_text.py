@@ -12,19 +12,13 @@ from pyspark.sql import types as T
 
 from newsloom.llm import crf
 from newsloom.llm.bytewords import pieces
-from newsloom.llm.frames import bounded, cleared
-from newsloom.llm.html_blocks import Block, leaf_blocks
+from newsloom.llm.frames import bounded, cleared, small_batches
+from newsloom.llm.html_blocks import FURNITURE_MARKS, MAIN, Block, leaf_blocks
 from newsloom.llm.sampling import bounded_sample
 
 SIZE = 1 << 13
 TRAINING_PAGES = 300
-MAIN = {"article", "main"}
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog button".split())
-FURNITURE_MARKS = frozenset(
-    "ad ads advert advertisement sponsored promo banner nav navigation menu breadcrumb breadcrumbs sidebar side footer "
-    "header masthead notice notices cookie cookies consent alert comment comments disqus respond reply share social "
-    "related newsletter subscribe signup form search pagination popup modal toolbar widget".split()
-)
 # Labelled layouts: label, elements from outside in, class words, kind of text; pages are parted by blank lines.
 LAYOUTS = """
 0 header.div site,logo short
@@ -218,6 +212,7 @@ def extract(pages: DataFrame, weights: list[float]) -> DataFrame:
     * Pages are read one by one, whole: equal pages give equal texts, an empty table an empty one.
     * Other columns are passed through, but for any named ``text`` or ``n_chars``, which are replaced.
     """
+    small_batches(pages)
     pages = cleared(pages, "text", "n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 

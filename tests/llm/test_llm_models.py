@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy on the given tables, and defined results for odd rows."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from conftest import SF
 from llm_cases import empty_frame, odd_frame
 
 from newsloom.llm import compression_quality, crf, language_id, main_text, svm
-from newsloom.llm.html_blocks import leaf_blocks
+from newsloom.llm.html_blocks import INLINE, SILENT, leaf_blocks
 from newsloom.llm.registered import op1_compression_quality, op6_language_id, op10_main_text
 from newsloom.llm.sampling import bounded_sample
 
@@ -116,6 +117,66 @@ def test_main_text_is_the_article(spark):
         assert r.text == "\n\n".join(blocks) and r.n_chars == len(r.text)
 
 
+def test_classes_of_outer_elements_say_nothing_about_the_text(spark):
+    given = [r.html for r in spark.read.parquet(f"{SF_LARGER}/pages.parquet").collect()]
+    field = crf.Field.unpacked(main_text.learn(given[:200]))
+
+    def text(page):
+        blocks = leaf_blocks(page)
+        labels = field.viterbi([main_text.Features().of(b) for b in blocks])
+        return "\n\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label)
+
+    marks = 'class="single has-sidebar comments-open share-enabled"'
+    for page in given:
+        plain = text(page)
+        assert plain and "<body>" in page
+        assert text(page.replace("<body>", f"<body {marks}>")) == plain
+        wrapped = page.replace("<body>", f"<body><div {marks}>").replace("</body>", "</div></body>")
+        assert text(wrapped) == plain
+
+
+def plain_text_of(page):
+    """All text of a page by the standard library's parser, without what is never shown."""
+    from html.parser import HTMLParser
+
+    out, silent = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in SILENT:
+                silent.append(tag)
+            elif tag not in INLINE:
+                out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in silent:
+                silent.remove(tag)
+            elif tag not in INLINE:
+                out.append(" ")
+
+        def handle_data(self, data):
+            if not silent:
+                out.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join("".join(out).split())
+
+
+def test_blocks_hold_all_text_that_another_parser_sees(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert " ".join(b.text for b in leaf_blocks(r.html)) == plain_text_of(r.html)
+
+
+def test_broken_pages_take_time_in_proportion():
+    for page in ("<a " * 340_000, "<svg>" * 200_000, "<div>x" * 170_000, "<li>" + "<b>" * 50_000 + "<p>x</p>" * 50_000):
+        started = time.time()
+        leaf_blocks(page)
+        assert time.time() - started < 20  # seconds where it was hours
+    assert [b.text for b in leaf_blocks("a <b x='1>2' y=it's>c</b> <d" + "<i " * 3)] == ["a c <d<i <i <i"]
+
+
 PARAGRAPH = "This is a paragraph of the story, with some clauses and a full stop. It goes on for a while."
 
 
