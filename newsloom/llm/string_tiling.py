@@ -1,5 +1,7 @@
 """Greedy string tiling of two word sequences by running Karp-Rabin matching."""
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 from newsloom.llm.bytewords import mixed
@@ -24,7 +26,7 @@ def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def tiles(text: np.ndarray, pattern: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles ``(place in text, place in pattern, length)``: matches of ``least`` words or more that share no word.
 
-    The longest matches are marked first. Windows of the search length are met by their hashes, compared
+    The longest match is marked first, of equal ones the one that begins first in the pattern, then in the text. Windows of the search length are met by their hashes, compared
     and drawn out to maximal matches between unmarked words; a match over twice the search length
     starts the search anew with that length, otherwise the length is halved down to ``least``.
     """
@@ -37,22 +39,23 @@ def tiles(text: np.ndarray, pattern: np.ndarray, least: int) -> list[tuple[int,
         if longest > 2 * size:
             size = longest
             continue
-        matches.sort(key=lambda m: (-m[2], m[1], m[0]))
-        while matches:
-            rest = []
-            for i, j, length in matches:
-                taken = [not (free_a[i + k] and free_b[j + k]) for k in range(length)]
-                if not any(taken):
-                    found.append((i, j, length))
-                    free_a[i : i + length] = free_b[j : j + length] = [False] * length
-                    continue
-                start = 0
-                for k in range(length + 1):
-                    if k == length or taken[k]:
-                        if k - start >= size:
-                            rest.append((i + start, j + start, k - start))
-                        start = k + 1
-            matches = sorted(rest, key=lambda m: (-m[2], m[1], m[0]))
+        # What is left of a match that others have cut goes back among the rest by its length.
+        queue = [(-length, j, i) for i, j, length in matches]
+        heapify(queue)
+        while queue:
+            length, j, i = heappop(queue)
+            length = -length
+            taken = [not (free_a[i + k] and free_b[j + k]) for k in range(length)]
+            if not any(taken):
+                found.append((i, j, length))
+                free_a[i : i + length] = free_b[j : j + length] = [False] * length
+                continue
+            start = 0
+            for k in range(length + 1):
+                if k == length or taken[k]:
+                    if k - start >= size:
+                        heappush(queue, (start - k, j + start, i + start))
+                    start = k + 1
         if size == least:
             return found
         size = max(least, size // 2)

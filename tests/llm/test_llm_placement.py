@@ -120,8 +120,8 @@ def plain_tiles(text, pattern, least):
 
 def test_tiles_cover_what_plain_tiling_covers():
     rng = np.random.default_rng(6)
-    for _ in range(60):
-        pattern = rng.integers(1, 30, rng.integers(5, 40)).astype(np.uint64)
+    for _ in range(1500):
+        pattern = rng.integers(1, 30, rng.integers(5, 25)).astype(np.uint64)
         parts = np.array_split(pattern, rng.integers(1, 4))
         rng.shuffle(parts)
         noise = [rng.integers(1, 30, rng.integers(0, 8)).astype(np.uint64) for _ in parts]
@@ -130,7 +130,7 @@ def test_tiles_cover_what_plain_tiling_covers():
         for i, j, k in got:
             assert (text[i : i + k] == pattern[j : j + k]).all() and k >= 3
         assert len({i + n for i, _, k in got for n in range(k)}) == sum(k for *_, k in got)
-        assert abs(sum(k for *_, k in got) - plain_tiles(text.tolist(), pattern.tolist(), 3)) <= 3
+        assert sum(k for *_, k in got) == plain_tiles(text.tolist(), pattern.tolist(), 3)
 
 
 def test_leaks_of_whole_reordered_and_partial_items(spark):
