@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.bytewords import NOT_ALNUM, Words, chunks, windows, words_of
-from newsloom.llm.frames import of_ids
+from newsloom.llm.frames import of_ids, small_batches
 from newsloom.llm.string_tiling import covered_words
 from newsloom.sources.store import staged
 
@@ -53,9 +53,10 @@ def leaks(
     * Columns besides ``doc_id``, ``text`` and ``item_id`` are not looked at; if either table is empty, so is the result.
     """
     schema = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long"
+    small_batches(docs)
     found = None
     for ids, texts in item_blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        shared = docs.sparkSession.sparkContext.broadcast((ids, *_index(texts, least)))
         part = docs.select("doc_id", "text").mapInArrow(_finder(shared, least, coverage), schema)
         found = part if found is None else found.union(part)
     if found is None:
@@ -63,21 +64,24 @@ def leaks(
     return found.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
+def _index(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The items' words with each item's range of them, and their windows by hash with the item of each."""
+    items = words_of(pa.array(texts, pa.string()), NOT_ALNUM)
+    seeds, at, _ = windows(items, least)
+    order = np.argsort(seeds, kind="stable")
+    return items.hashes, items.offsets, seeds[order], items.text_of_word()[at][order]
+
+
 def _finder(shared, least: int, coverage: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        items = words_of(pa.array(texts, pa.string()), NOT_ALNUM)
-        seeds, at, _ = windows(items, least)
-        item_of = items.text_of_word()[at]
-        order = np.argsort(seeds, kind="stable")
-        seeds, item_of = seeds[order], item_of[order]
+        ids, *index = shared.value
         for batch, words in chunks(batches, NOT_ALNUM):
-            yield _table(_leaks_in(batch, words, items, ids, seeds, item_of, least, coverage))
+            yield _table(_leaks_in(batch, words, ids, *index, least, coverage))
 
     return find
 
 
-def _leaks_in(batch, words: Words, items: Words, ids, seeds, item_of, least, coverage) -> list[tuple]:
+def _leaks_in(batch, words: Words, ids, item_words, item_bounds, seeds, item_of, least, coverage) -> list[tuple]:
     hashes, at, _ = windows(words, least)
     if not len(seeds) or not len(hashes):
         return []
@@ -97,7 +101,7 @@ def _leaks_in(batch, words: Words, items: Words, ids, seeds, item_of, least, cov
     pair = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])])
     out = []
     for start, end in zip(pair, [*pair[1:], len(item)], strict=True):
-        pattern = items.hashes[items.offsets[item[start]] : items.offsets[item[start] + 1]]
+        pattern = item_words[item_bounds[item[start]] : item_bounds[item[start] + 1]]
         sought = np.unique(place[start:end])
         # Tiles lie within runs of seeds, so an upper bound of what they can cover is cheap.
         if len(sought) + (least - 1) * (1 + (np.diff(sought) > 1).sum()) < coverage * len(pattern):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from newsloom.llm import svm
 from newsloom.llm.bytewords import pieces
-from newsloom.llm.frames import cleared, of_ids
+from newsloom.llm.frames import cleared, of_ids, small_batches
 from newsloom.llm.sampling import bounded_sample
 from newsloom.llm.text import learnable
 
@@ -77,8 +77,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS,
 
     ``{"family": {family: weights}, "pair": {(x, y): weights}, "langs": [...]}``. A family's machine parts it from all
     others; a pair's machine parts two languages of a family. Each is trained in a task of its own, of at
-    most ``per_language`` rows per language; the weights are all that comes to the driver.
+    most ``per_language`` rows per language; the weights are all that comes to the driver. Rows that share an id and a
+    language are drawn, or left, together.
     """
+    small_batches(docs)
     usable = docs.filter(
         F.col("lang").isNotNull() & learnable(F.col("doc_id"), folds, held_out) & F.rlike("text", F.lit("\\p{L}"))
     )
@@ -160,6 +162,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     * Equal texts get equal answers. Other columns are passed through, but for any named ``lang_pred`` or ``score``, which are replaced.
     * An empty table gives an empty table.
     """
+    small_batches(docs)
     docs = cleared(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
