@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.bytewords import pieces
-from newsloom.llm.frames import bounded, cleared
+from newsloom.llm.frames import bounded, cleared, small_batches
 from newsloom.llm.sampling import bounded_sample
 from newsloom.llm.text import learnable
 
@@ -92,26 +92,34 @@ def _calibrated(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: flo
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, folds: int = FOLDS, held_out: int = HELD_OUT
+    docs: DataFrame,
+    labels: DataFrame,
+    per_label: int = PER_LABEL,
+    dictionary_text: int = DICTIONARY_TEXT,
+    folds: int = FOLDS,
+    held_out: int = HELD_OUT,
 ) -> tuple[dict[int, bytes], list[float]] | None:
     """Dictionaries and calibration from at most ``per_label`` labelled documents of each quality.
 
-    Two thirds of them, up to ``DICTIONARY_TEXT`` bytes, make the dictionaries, one task per label; the others
+    Two thirds of them, up to ``dictionary_text`` bytes in hash order, make the dictionaries, one task per label; the others
     are compressed with both, and the curve is fitted to their sizes, weighted to the
     labels' shares among all labelled rows. Rows of the held-out fold, without a label, or with both labels are not used.
     ``None`` if a label has no document to learn from.
     """
+    small_batches(docs)
     known = labels.filter(F.col("quality").isin(0, 1) & learnable(F.col("doc_id"), folds, held_out))
     one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
     one = one.filter(F.col("quality") == F.col("_most")).drop("_most")
     counts = {r["quality"]: r["n"] for r in one.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = bounded_sample(one, "quality", per_label)
     texts = docs.select("doc_id", "text").join(bounded(chosen), "doc_id").filter(F.length("text") > 0)
-    texts = texts.withColumn("for_curve", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    texts = texts.withColumns(
+        {"lot": F.xxhash64(F.lit("dictionary"), "doc_id"), "for_curve": F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0}
+    )
 
     def dictionary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        room, taken = DICTIONARY_TEXT, []
-        for text in rows.sort_values(["doc_id", "text"])["text"]:
+        room, taken = dictionary_text, []
+        for text in rows.sort_values(["lot", "doc_id", "text"])["text"]:
             taken.append(text.encode("utf-8", "replace"))
             room -= len(taken[-1])
             if room < 0:
@@ -151,6 +159,7 @@ def score(docs: DataFrame, model: tuple[dict[int, bytes], list[float]] | None) -
     * Other columns are passed through, but for any named ``score`` or ``predicted``, which are replaced.
     * An empty table gives an empty table.
     """
+    small_batches(docs)
     docs = cleared(docs, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
