@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.bytewords import NOT_ALNUM, chunks, words_of
 from newsloom.llm.decontamination import item_blocks
+from newsloom.llm.frames import small_batches
 from newsloom.sources.store import staged
 
 BEST = 10
@@ -247,6 +248,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = BEST, block_words: int = BL
     * Columns besides ``doc_id``, ``item_id`` and ``text`` are not looked at. If either table is empty, so is the result.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     parts = []
     for ids, texts in item_blocks(items, block_words):
         asked = Items.of(ids, texts)
