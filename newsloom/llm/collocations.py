@@ -2,6 +2,7 @@
 
 import hashlib
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.bytewords import Words, mixed, pieces, windows, words_of
 from newsloom.llm.double_array import NONE, ROOT, DoubleArray, build
+from newsloom.llm.frames import small_batches
 from newsloom.operators.keys import attach
 from newsloom.sources.store import staged
 
@@ -113,28 +115,30 @@ class Tally:
         return pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))
 
 
-_LEVEL_SCHEMA = "key long, f long, lang string, phrase string"
+_LEVEL_SCHEMA = "key long, f long, lang string, phrase string, head long, tail long"
 
 
-def _row(keys=(), counts=(), langs=(), phrases=()) -> pa.RecordBatch:
+def _row(keys=(), counts=(), langs=(), phrases=(), heads=(), tails=()) -> pa.RecordBatch:
     n = max(len(keys), len(langs))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
     columns = [
         c if isinstance(c, pa.Array) else pa.array(c, kind) if len(c) else pa.nulls(n, kind)
-        for c, kind in zip((keys, counts, langs, phrases), kinds, strict=True)
+        for c, kind in zip((keys, counts, langs, phrases, heads, tails), kinds, strict=True)
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "f", "lang", "phrase"])
+    return pa.RecordBatch.from_arrays(columns, names=["key", "f", "lang", "phrase", "head", "tail"])
 
 
-def _level(size: int, table):
+def _level(size: int, table, spell: bool, ends: bool):
     """Counts by key of phrases of ``size`` words both of whose parts of one word less may be frequent.
 
-    ``table`` has the bits of these parts. Where they are phrases themselves, their words are given out with their keys, once
-    per task. For single words, every word is counted, and the words of each language.
+    ``table`` has the bits of these parts. With ``spell`` their words are given out with their keys, once per task; with
+    ``ends`` each new key comes once per task with the keys of its parts. For single words,
+    every word is counted, and the words of each language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, known, total = Tally(), np.empty(0, np.uint64), {}
+        tally, total = Tally(), {}
+        known, known_ends = np.empty(0, np.uint64), np.empty(0, np.uint64)
         for piece in _pieces(batches):
             if size == 1:
                 keys, at = piece.phrases(1)
@@ -143,18 +147,22 @@ def _level(size: int, table):
                     total[lang] = total.get(lang, 0) + n
             else:
                 part, at = piece.phrases(size - 1)
-                may = np.zeros(len(piece.text) + 1, bool)
                 hit = _in_table(table.value, part)
-                may[at[hit]] = True
-                if size > 2:
-                    new, first = np.unique(part[hit], return_index=True)
-                    fresh = ~_among(known, new)
-                    new, first = new[fresh], at[hit][first[fresh]]
-                    langs = pa.array(np.array(piece.langs, object)[piece.lang[piece.text[first]]], pa.string())
-                    yield _row(new.view(np.int64), np.zeros(len(new), np.int64), langs, piece.joined(first, size - 1))
-                    known = np.sort(np.r_[known, new]) if len(known) < KEYS_AT_ONCE else np.sort(new)
+                part, at = part[hit], at[hit]
+                may, part_at = np.zeros(len(piece.text) + 1, bool), np.zeros(len(piece.text) + 1, np.uint64)
+                may[at], part_at[at] = True, part
+                if spell:
+                    first, known = _new(known, part)
+                    langs = pa.array(np.array(piece.langs, object)[piece.lang[piece.text[at[first]]]], pa.string())
+                    spelled = piece.joined(at[first], size - 1)
+                    yield _row(part[first].view(np.int64), np.zeros(len(first), np.int64), langs, spelled)
                 keys, at = piece.phrases(size)
-                keys = keys[may[at] & may[at + 1]]
+                both = may[at] & may[at + 1]
+                keys, at = keys[both], at[both]
+                if ends:
+                    first, known_ends = _new(known_ends, keys)
+                    parts = (part_at[at[first] + k].view(np.int64) for k in (0, 1))
+                    yield _row(keys[first].view(np.int64), np.zeros(len(first), np.int64), (), (), *parts)
             tally.add(keys)
             if tally.full:
                 yield _row(*tally.given_out())
@@ -164,22 +172,12 @@ def _level(size: int, table):
     return count
 
 
-def _spelled(size: int, table):
-    """The words of phrases of ``size`` words whose keys may be in ``table``, once per task."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.empty(0, np.uint64)
-        for piece in _pieces(batches):
-            keys, at = piece.phrases(size)
-            hit = _in_table(table.value, keys)
-            new, first = np.unique(keys[hit], return_index=True)
-            fresh = ~_among(known, new)
-            new, first = new[fresh], at[hit][first[fresh]]
-            langs = pa.array(np.array(piece.langs, object)[piece.lang[piece.text[first]]], pa.string())
-            yield _row(new.view(np.int64), np.zeros(len(new), np.int64), langs, piece.joined(first, size))
-            known = np.sort(np.r_[known, new]) if len(known) < KEYS_AT_ONCE else np.sort(new)
-
-    return spell
+def _new(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand first that are not ``known``, and what is known with them; that starts anew when it is much."""
+    new, first = np.unique(keys, return_index=True)
+    fresh = ~_among(known, new)
+    held = np.sort(np.r_[known, new[fresh]]) if len(known) < KEYS_AT_ONCE else new
+    return first[fresh], held
 
 
 def _among(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -221,25 +219,31 @@ def _candidates(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame,
     context = texts.sparkSession.sparkContext
     found, table, sizes = [], None, None
     for size in range(1, longest + 1):
-        level = texts.mapInArrow(_level(size, table), _LEVEL_SCHEMA)
-        summed = level.groupBy("key", "lang", "phrase").agg(F.sum("f").alias("f"))
+        level = texts.mapInArrow(_level(size, table, size > 2 or size == longest, size == longest), _LEVEL_SCHEMA)
+        sums = [F.sum("f").alias("f"), F.min("head").alias("head"), F.min("tail").alias("tail")]
+        summed = level.groupBy("key", "lang", "phrase").agg(*sums)
         level = staged(summed.filter((F.col("f") >= least) | F.col("lang").isNotNull()))
         if table is not None:
             table.destroy()
         if size == 1:
             sizes = level.filter(F.col("key").isNull()).select("lang", F.col("f").alias("n"))
-        elif size > 2:
+        else:
             spelled = level.filter(F.col("phrase").isNotNull()).select("key", "lang", "phrase")
-            found.append(spelled.join(frequent.select("key"), "key", "left_semi"))
-        frequent = level.filter(F.col("key").isNotNull() & F.col("phrase").isNull()).select("key", "f")
-        table = context.broadcast(_table(frequent))
-    last = staged(texts.mapInArrow(_spelled(longest, table), _LEVEL_SCHEMA).select("key", "lang", "phrase").distinct())
-    table.destroy()
-    found.append(last.join(frequent.select("key"), "key", "left_semi"))
+            parts = spelled.join(frequent.select("key"), "key", "left_semi")
+            if size > 2:
+                found.append(parts.select("lang", "phrase"))
+        frequent = level.filter(F.col("key").isNotNull() & F.col("phrase").isNull()).select("key", "f", "head", "tail")
+        if size < longest:
+            table = context.broadcast(_table(frequent))
+    # The longest ones are put together from their parts.
+    heads = parts.select(F.col("key").alias("head"), "lang", F.col("phrase").alias("begin"))
+    tails = parts.select(F.col("key").alias("tail"), F.element_at(F.split("phrase", " "), -1).alias("last"))
+    whole = frequent.select("head", "tail").join(heads, "head").join(tails, "tail")
+    found.append(whole.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase")))
     phrases = found[0]
     for part in found[1:]:
         phrases = phrases.union(part)
-    return sizes, phrases.select("lang", "phrase")
+    return sizes, phrases
 
 
 def _trie(rows: pd.DataFrame) -> bytes:
@@ -256,14 +260,15 @@ def _trie(rows: pd.DataFrame) -> bytes:
         sequences[i, : len(p) + 1] = [lang_number[lang], *[number[w] for w in p]]
     depth = int((sequences != NONE).sum(axis=1).max())
     trie = build(sequences[:, :depth])
-    return pickle.dumps((trie.base, trie.check, trie.accepts, hashes[order], langs, len(rows)))
+    # Most slots of a trie are free, so it is a small part of its size when packed.
+    return zlib.compress(pickle.dumps((trie.base, trie.check, trie.accepts, hashes[order], langs, len(rows))), 1)
 
 
 def _counted_by(shared, block: int):
     """Occurrences of each phrase of a block in a task's texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *arrays, vocabulary, langs, phrases = pickle.loads(shared.value)
+        *arrays, vocabulary, langs, phrases = pickle.loads(zlib.decompress(shared.value))
         trie = DoubleArray(*arrays)
         counts = np.zeros(phrases, np.int64)
         for piece in _pieces(batches):
@@ -345,6 +350,7 @@ def collocations(
     """
     if not 2 <= longest < LONGEST_PATH:
         raise ValueError(f"longest must be from 2 to {LONGEST_PATH - 1}")
+    small_batches(docs)
     texts = docs.select("text", F.col("lang").cast("string"))
     sizes, candidates = _candidates(texts, longest, least)
     candidates = staged(candidates)
