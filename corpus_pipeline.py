@@ -1,4 +1,9 @@
-"""From raw documents to placed training data, in five stages."""
+"""From raw documents to placed training data, in five stages.
+
+Every stage takes the columns of ``documents`` in any order and passes on those it is given. Nulls, empty and very long
+texts and repeated rows are borne: what has no letter goes with the language stage, a row without an id is no copy of
+any other and holds no benchmark item, rows that share an id go or stay together, a null source is a source. An empty table stays empty.
+"""
 
 from collections.abc import Callable
 
@@ -14,9 +19,14 @@ from newsloom.llm.sharding import place
 from newsloom.sources.store import staged
 
 
+# Below this no machine has decided: the family or some pair of languages is as good as a guess.
+LEAST_SCORE = 0.35
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a text or a letter go."""
-    return identify(docs, train(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents whose language is recognised; what has no letter, or scores below ``LEAST_SCORE``, goes."""
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return identify(docs, train(docs)).filter(known).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
