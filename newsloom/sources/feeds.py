@@ -1,8 +1,9 @@
 """Feed payloads (RSS and Atom) to entries, and entries to articles."""
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import settle
@@ -26,7 +27,9 @@ MAIL_ZONES = {
     "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
     "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
 }
-_FEED = f"channel struct<item:array<{_RSS_ITEM}>>, entry array<{_ATOM_ENTRY}>, _corrupt_record string"
+# RSS 1.0 has its items beside the channel.
+_FEED = f"channel struct<item:array<{_RSS_ITEM}>>, item array<{_RSS_ITEM}>, entry array<{_ATOM_ENTRY}>, _corrupt_record string"
+_ROOT = r"<([\w.\-]+:)?(rss|feed|RDF)[\s>]"
 
 
 def feed_time(text: Column) -> Column:
@@ -52,6 +55,51 @@ def _with_zone(iso_text: Column) -> Column:
     return F.when(timed.rlike(r"(Z|[+-]\d\d:?\d\d)$"), timed).otherwise(F.concat(timed, F.lit("Z")))
 
 
+def _outside_cdata(text: Column, change: Callable[[Column], Column]) -> Column:
+    """``text`` with ``change`` made everywhere but inside CDATA sections."""
+
+    def part(piece: Column, place: Column) -> Column:
+        after = F.instr(piece, "]]>") + 2
+        rest = F.concat(piece.substr(F.lit(1), after), change(piece.substr(after + 1, F.length(piece))))
+        return F.when(place == 0, change(piece)).when(after == 2, piece).otherwise(rest)
+
+    return F.array_join(F.transform(F.split(text, r"<!\[CDATA\["), part), "<![CDATA[")
+
+
+def _without_prefix(payload: Column) -> Column:
+    """A feed whose elements carry a prefix (``atom:feed``, or RSS 1.0 bound to one), without it.
+
+    The prefix of the root element counts for Atom and the one bound to the RSS 1.0 namespace for RDF; prefixes that
+    other feeds declare for single elements stay, so that ``atom:link`` does not become a ``link``.
+    """
+    bound = r"""xmlns:([A-Za-z_][\w.\-]*)\s*=\s*["']http://purl\.org/rss/1\.0/["']"""
+    atom = F.regexp_extract(payload, r"<([A-Za-z_][\w.\-]*):feed[\s>]", 1)
+    rdf = F.when(payload.rlike(r"<([\w.\-]+:)?RDF[\s>]"), F.regexp_extract(payload, bound, 1)).otherwise("")
+    prefix = F.when(atom != "", atom).otherwise(rdf)
+    tag = F.concat(F.lit("<(/?)"), F.replace(prefix, F.lit("."), F.lit("\\.")), F.lit(":"))
+    return F.when(prefix != "", _outside_cdata(payload, lambda t: F.regexp_replace(t, tag, F.lit("<$1")))).otherwise(payload)
+
+
+def _markup_as_text(payload: Column) -> Column:
+    """Atom texts of type xhtml, whose content is elements, with their markup as text and without the ``div`` around it."""
+    opening = r"""<(?:content|summary|title)\s[^>]*type\s*=\s*["']xhtml["'][^>]*(?<!/)>"""
+    div = r"(?s)^\s*<(?:[\w.\-]+:)?div(?:\s[^>]*)?>(.*)</(?:[\w.\-]+:)?div>\s*$"
+
+    def part(piece: Column, place: Column) -> Column:
+        start = F.regexp_extract(piece, "^[^>]*>", 0)
+        name = F.regexp_extract(piece, r"^<(\w+)", 1)
+        end = F.instr(piece, F.concat(F.lit("</"), name, F.lit(">")))
+        inside = piece.substr(F.length(start) + 1, end - F.length(start) - 1)
+        inside = F.regexp_replace(inside, div, "$1")
+        for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inside = F.replace(inside, F.lit(sign), F.lit(entity))
+        whole = F.concat(start, inside, piece.substr(end, F.length(piece)))
+        return F.when((place == 0) | (end == 0), piece).otherwise(whole)
+
+    parts = F.split(payload, f"(?={opening})")
+    return F.when(payload.rlike(opening), F.array_join(F.transform(parts, part), "")).otherwise(payload)
+
+
 def _whole_entries(payload: Column) -> Column:
     """The complete items and entries of a broken payload in a frame of their own.
 
@@ -86,56 +134,79 @@ def _whole_entries(payload: Column) -> Column:
 def parse_feeds(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Add the parsed ``entries`` array and ``parse_error`` to each payload row.
 
-    A payload that is no proper XML is reported and gives the entries that are whole.
+    RSS 2.0, RSS 1.0 and Atom are read, Atom and RSS 1.0 also with a prefix, and Atom texts made of elements with their
+    markup. A payload that is no proper XML is reported and gives the entries that are whole.
     """
+    original, payload = payload, "_payload"
+    kept = payloads.columns
+    payloads = settle(payloads, _payload=_markup_as_text(_without_prefix(F.col(original))))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     first = settle(payloads, _first=F.from_xml(payload, _FEED, options))
     broken = F.col("_first").isNull() | F.col("_first._corrupt_record").isNotNull()
     again = F.when(broken, F.from_xml(_whole_entries(F.col(payload)), _FEED, options))
     parsed = settle(
-        first, payloads.columns, _broken=broken, _feed=F.when(broken, again).otherwise(F.col("_first"))
+        first, [*kept, payload], _broken=broken, _feed=F.when(broken, again).otherwise(F.col("_first"))
     )
 
-    def rss(item: Column) -> Column:
-        content = F.transform(item["content:encoded"], lambda v: F.struct(v.alias("value")))
-        # A guid is a link unless it says that it is none.
-        is_link = F.coalesce(F.lower(item["guid"]["_isPermaLink"]), F.lit("true")) == "true"
-        permanent = F.when(is_link & F.rlike(item["guid"]["_VALUE"], F.lit("^https?://")), item["guid"]["_VALUE"])
-        return F.struct(
-            item["title"].alias("title"),
-            F.coalesce(item["link"], permanent).alias("link"),
-            content.alias("content"),
-            item["description"].alias("summary"),
-            F.coalesce(feed_time(item["pubDate"]), feed_time(item["dc:date"])).alias("published"),
-            feed_time(item["updated"]).alias("updated"),
-        )
-
-    def atom(entry: Column) -> Column:
-        content = F.transform(entry["content"], lambda v: F.struct(v["_VALUE"].alias("value")))
-        link = F.filter(
-            entry["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"
-        )
-        return F.struct(
-            entry["title"]["_VALUE"].alias("title"),
-            F.get(link, F.lit(0))["_href"].alias("link"),
-            content.alias("content"),
-            entry["summary"]["_VALUE"].alias("summary"),
-            feed_time(entry["published"]).alias("published"),
-            feed_time(entry["updated"]).alias("updated"),
-        )
-
-    entries = F.coalesce(
-        F.transform(F.col("_feed.channel.item"), rss), F.transform(F.col("_feed.entry"), atom)
-    )
+    items = F.coalesce(F.col("_feed.channel.item"), F.col("_feed.item"))
+    entries = F.coalesce(F.transform(items, _rss_entry), F.transform(F.col("_feed.entry"), _atom_entry))
     return parsed.select(
-        *payloads.columns,
+        *kept,
         entries.alias("entries"),
         F.when(F.col("_broken"), F.lit("malformed"))
-        .when(~F.rlike(payload, F.lit(r"<(rss|feed)[\s>]")), F.lit("unknown_format"))
+        .when(~F.rlike(payload, F.lit(_ROOT)), F.lit("unknown_format"))
         .alias("parse_error"),
     )
 
 
+def _rss_entry(item: Column) -> Column:
+    content = F.transform(item["content:encoded"], lambda v: F.struct(v.alias("value")))
+    # A guid is a link unless it says that it is none.
+    is_link = F.coalesce(F.lower(item["guid"]["_isPermaLink"]), F.lit("true")) == "true"
+    permanent = F.when(is_link & F.rlike(item["guid"]["_VALUE"], F.lit("^https?://")), item["guid"]["_VALUE"])
+    return F.struct(
+        item["title"].alias("title"),
+        F.coalesce(item["link"], permanent).alias("link"),
+        content.alias("content"),
+        item["description"].alias("summary"),
+        F.coalesce(feed_time(item["pubDate"]), feed_time(item["dc:date"])).alias("published"),
+        feed_time(item["updated"]).alias("updated"),
+    )
+
+
+def _atom_entry(entry: Column) -> Column:
+    content = F.transform(entry["content"], lambda v: F.struct(v["_VALUE"].alias("value")))
+    link = F.filter(entry["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    return F.struct(
+        entry["title"]["_VALUE"].alias("title"),
+        F.get(link, F.lit(0))["_href"].alias("link"),
+        content.alias("content"),
+        entry["summary"]["_VALUE"].alias("summary"),
+        feed_time(entry["published"]).alias("published"),
+        feed_time(entry["updated"]).alias("updated"),
+    )
+
+
+def feed_file_entries(spark: SparkSession, path: str, dialect: str = "rss") -> DataFrame:
+    """The entries of feed files of any size: ``source_name``, ``file`` and the columns of an entry.
+
+    Files lie under ``path``/source_name=<name> and are all RSS (2.0 or 1.0), or all Atom with ``dialect="atom"``. They are read as text whose
+    lines end with an entry's end tag, so that one huge file is cut into splits for many tasks, an entry is never cut,
+    and no task holds more of a file than an entry. Each entry is then read like a payload of its own.
+
+    Unlike a payload, a file is not judged as a whole: an entry that is no proper XML costs itself, and what stands between
+    entries is not looked at. Entries have no order, an end tag within a CDATA section ends the entry, and elements with a
+    prefix are for ``feed_entries``, which sees their declaration.
+    """
+    tag, frame = {"rss": ("item", "rss><channel"), "atom": ("entry", "feed")}[dialect]
+    rows = spark.read.schema("value string, source_name string").option("lineSep", f"</{tag}>").text(path)
+    begun = F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0)
+    ends = "></".join(reversed(frame.split("><")))
+    found = settle(rows, ["source_name"], file=F.col("_metadata.file_path"), _entry=begun).filter(F.col("_entry") != "")
+    payload = F.concat(F.lit(f"<{frame}>"), "_entry", F.lit(f"</{tag}></{ends}>"))
+    return feed_entries(found.select("source_name", "file", payload.alias("payload"))).drop("position")
+
+
 def feed_entries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per entry with its position in the payload."""
     kept = [c for c in payloads.columns if c != payload]

@@ -174,3 +174,65 @@ def test_disabled_sources_are_not_collected(spark):
 
 def test_registry_has_five_enabled_sources_expecting_115_articles():
     assert len(SOURCES) == 5 and sum(row[3] for row in SOURCES) == 115 and all(row[4] for row in SOURCES)
+
+
+RDF = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">
+<channel rdf:about="https://e.com/"><title>Old</title><items><rdf:Seq><rdf:li resource="https://e.com/1"/></rdf:Seq></items></channel>
+<item rdf:about="https://e.com/1"><title>R1</title><link>https://e.com/1</link><description>text 1</description><dc:date>2026-07-04T12:30:00Z</dc:date></item>
+<item rdf:about="https://e.com/2"><title>R2</title><link>https://e.com/2</link></item></rdf:RDF>"""
+PREFIXED_RDF = RDF.replace("xmlns=", "xmlns:r=").replace("<channel", "<r:channel").replace("</channel", "</r:channel")
+for _name in ("item", "title", "link", "description"):
+    PREFIXED_RDF = PREFIXED_RDF.replace(f"<{_name} ", f"<r:{_name} ").replace(f"<{_name}>", f"<r:{_name}>").replace(f"</{_name}>", f"</r:{_name}>")
+PREFIXED_ATOM = """<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>F</a:title><a:entry><a:title>P1</a:title>
+<a:link href="https://e.com/p"/><a:content type="html"><![CDATA[<a:b>kept</a:b> & so]]></a:content><a:updated>2026-07-04T12:30:00Z</a:updated></a:entry></a:feed>"""
+XHTML = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">X <i>1</i></div></title>
+<link href="https://e.com/x"/><content type="xhtml" xml:lang="en"><div xmlns="http://www.w3.org/1999/xhtml"><p class="a">One &amp; <b>two</b></p><br/>end</div></content>
+<summary type='xhtml'><x:div xmlns:x="http://www.w3.org/1999/xhtml"><x:p>s</x:p></x:div></summary><updated>2026-07-04T12:30:00Z</updated></entry>
+<entry><title>plain</title><link href="https://e.com/y"/><content type="xhtml"/><summary>only</summary></entry></feed>"""
+RSS_WITH_ATOM_LINK = ONE_ITEM.replace("<rss>", '<rss xmlns:atom="http://www.w3.org/2005/Atom">').replace(
+    "<item>", '<item><atom:link href="https://e.com/self" rel="self"/>'
+)
+
+
+def test_rss_1_prefixed_and_xhtml_feeds(spark):
+    texts = [RDF, PREFIXED_RDF, PREFIXED_ATOM, XHTML, RSS_WITH_ATOM_LINK]
+    df = feeds.feed_entries(payloads(spark, *texts))
+    got = {(r["source_name"], r["title"]): r for r in feeds.normalized_articles(df, AS_OF).collect()}
+    content = {k: r["content"] for k, r in got.items()}
+    assert content == {
+        ("s0", "R1"): "text 1", ("s0", "R2"): "", ("s1", "R1"): "text 1", ("s1", "R2"): "",
+        ("s2", "P1"): "<a:b>kept</a:b> & so",
+        ("s3", "X <i>1</i>"): '<p class="a">One &amp; <b>two</b></p><br/>end', ("s3", "plain"): "",
+        ("s4", "Test Article"): "",
+    }
+    assert got["s0", "R1"]["published_at"] == got["s2", "P1"]["published_at"] == NOON
+    assert got["s4", "Test Article"]["source_url"] == "https://example.com/article"
+    assert [r["summary"] for r in df.filter("source_name = 's3'").orderBy("position").collect()] == ["<x:p>s</x:p>", "only"]
+    assert set(values(feeds.feed_report(payloads(spark, *texts)), "parse_error")) == {None}
+
+
+def test_one_large_file_is_read_by_several_tasks(spark, tmp_path):
+    items = [
+        f"<item><title>T{i} &amp; co</title><link>https://e.com/{i}</link><description><![CDATA[<p>text {i}</p>]]></description>"
+        f"<pubDate>Sat, 04 Jul 2026 12:30:00 GMT</pubDate></item>" for i in range(3000)
+    ]
+    rss = f"<rss><channel>\n{'\n'.join(items)}</channel></rss>"
+    cut = RSS[: RSS.index("<item><link>https://e.com/3")] + "<item><title>lost"
+    for folder, name, text in (("rss", "big", rss), ("rss", "cut", cut), ("rss", "old", RDF), ("atom", "small", ATOM), ("atom", "x", XHTML)):
+        (tmp_path / folder / f"source_name={name}").mkdir(parents=True)
+        (tmp_path / folder / f"source_name={name}" / "feed.xml").write_text(text)
+    settings = {"spark.sql.files.maxPartitionBytes": "100k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = feeds.feed_file_entries(spark, f"{tmp_path}/rss")
+        assert rows.rdd.getNumPartitions() > 6
+        got = rows.union(feeds.feed_file_entries(spark, f"{tmp_path}/atom", "atom")).drop("file").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    texts = [("big", rss), ("cut", cut), ("old", RDF), ("small", ATOM), ("x", XHTML)]
+    want = feeds.feed_entries(spark.createDataFrame(texts, "source_name string, payload string")).drop("position").collect()
+    whole = [r for r in got if r["title"] != "lost"]
+    assert sorted(map(str, whole)) == sorted(map(str, want)) and len(got) - len(whole) <= 1
