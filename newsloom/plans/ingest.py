@@ -24,18 +24,26 @@ def collect_articles(payloads: DataFrame, registry: DataFrame, as_of: datetime)
 
 
 def ingest(
-    articles: DataFrame, store: DataFrame, staging: str, seq: str = "batch_seq"
+    articles: DataFrame,
+    store: DataFrame | None,
+    staging: str,
+    seq: str = "batch_seq",
+    hashes: DataFrame | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Collected articles with the fate of each: a duplicate, refused by the store, or accepted.
 
     The parsed articles are written to ``staging``, a shared folder, and read from there:
     feeds are parsed once, and the steps that decide read ids and hashes without the texts.
     Only the last join moves whole articles.
+
+    With ``hashes`` and ``ids``, the keys in the store's indexes, the store itself is not looked at, and the history is not shuffled.
     """
     collected = staged(articles, staging)
+    hashes, ids = store if hashes is None else hashes, store if ids is None else ids
     narrow = check(collected, ARTICLES).select(seq, "id", "content_hash", "broken_rules")
-    marked = mark_duplicates(narrow, store, seq)
-    fresh = decide(marked.filter(~F.col("is_duplicate")), store, ARTICLES, seq)
+    marked = mark_duplicates(narrow, hashes, seq)
+    fresh = decide(marked.filter(~F.col("is_duplicate")), ids, ARTICLES, seq)
     fate = marked.join(fresh.withColumn("_fresh", F.lit(True)), seq, "left").select(
         seq,
         "is_duplicate",

@@ -10,6 +10,7 @@ from newsloom.operators.keyed_append import accepted_rows
 from newsloom.plans.ingest import collect_articles, ingest
 from newsloom.schemas import ARTICLES
 from newsloom.sources.feeds import feed_entries, normalized_articles
+from newsloom.sources.key_index import KeyIndex
 
 # <payload_dir>/source_name=<name>/<file>: the folder says whose feed a file is.
 _FILE_SCHEMA = "value string, source_name string"
@@ -25,7 +26,12 @@ def payload_files(spark: SparkSession, payload_dir: str, files_per_batch: int |
 
 
 def ingest_stream(
-    payloads: DataFrame, store_dir: str, checkpoint_dir: str, as_of: datetime, registry: DataFrame | None = None
+    payloads: DataFrame,
+    store_dir: str,
+    checkpoint_dir: str,
+    as_of: datetime,
+    registry: DataFrame | None = None,
+    indexes: tuple[KeyIndex, KeyIndex] | None = None,
 ) -> StreamingQuery:
     """Run the ingest job on each micro-batch against everything stored before it.
 
@@ -33,21 +39,32 @@ def ingest_stream(
     earlier batches, so a batch that is run again after a failure gives the same store.
     Duplicates are found over all history, however old, because the store is the state. With a
     ``registry``, sources that it disables are left out, as in the batch job.
+
+    With ``indexes`` (see ``history_indexes``) a batch asks them instead of the store: what it costs goes with its own rows, and the
+    history is neither listed nor shuffled. They are brought up to date with what was stored before the first batch by
+    ``index_store``, and by each batch after it has written its articles.
     """
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ARTICLES.schema)}, batch long"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        store = spark.read.schema(schema).parquet(store_dir).filter(F.col("batch") < batch_id)
+        if indexes is None:
+            store, hashes, ids = spark.read.schema(schema).parquet(store_dir).filter(F.col("batch") < batch_id), None, None
+        else:
+            store, (hashes, ids) = None, (index.known(spark, batch_id) for index in indexes)
         if registry is None:
             articles = normalized_articles(feed_entries(batch), as_of)
         else:
             articles = collect_articles(batch, registry, as_of)
         order = F.concat_ws("#", "file", F.lpad(F.col("position").cast("string"), 9, "0"))
         staging = f"{checkpoint_dir}-staged/batch={batch_id}"
-        fate = ingest(articles.withColumn("batch_seq", order), store, staging)
+        fate = ingest(articles.withColumn("batch_seq", order), store, staging, hashes=hashes, ids=ids)
         rows = accepted_rows(fate, ARTICLES, as_of)
-        rows.write.mode("overwrite").parquet(f"{store_dir}/batch={batch_id}")
+        folder = f"{store_dir}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(folder)
+        written = spark.read.schema(ARTICLES.schema).parquet(folder)
+        for index in indexes or ():
+            index.add(written, batch_id)
 
     return (
         payloads.writeStream.foreachBatch(run)
@@ -63,5 +80,13 @@ def create_stream_store(spark: SparkSession, store_dir: str, stored: DataFrame |
     rows.select(*ARTICLES.columns).write.mode("overwrite").parquet(f"{store_dir}/batch=-1")
 
 
+def index_store(spark: SparkSession, store_dir: str, indexes: tuple[KeyIndex, KeyIndex]) -> None:
+    """Make the indexes of a store that no batch has written to yet."""
+    rows = spark.read.schema(ARTICLES.schema).parquet(f"{store_dir}/batch=-1")
+    for index in indexes:
+        index.opened(spark)
+        index.add(rows)
+
+
 def stored_articles(spark: SparkSession, store_dir: str) -> DataFrame:
     return spark.read.schema(ARTICLES.schema).parquet(store_dir)

@@ -9,6 +9,7 @@ from newsloom.operators.dedup import dedup_stats, known_duplicates, mark_duplica
 from newsloom.operators.keyed_append import accepted_rows, admit, append_stats
 from newsloom.operators.keys import attach, without
 from newsloom.schemas import ARTICLES, BRIEFS, PUBLICATION_STORIES, TRANSLATIONS
+from newsloom.sources.key_index import history_indexes
 
 
 def plain_marks(batch, stored):
@@ -160,3 +161,42 @@ def test_a_third_of_the_rows_under_one_id(spark):
     assert tuple(append_stats(fate).first()) == (90, 61, 29)
     assert values(fate.filter("accepted and id = 'a0'"), "seq") == [0]
     assert fate.filter(F.col("accepted") & (F.col("id") != "a0")).count() == 60
+
+
+def test_an_index_answers_like_its_store_without_a_shuffle_of_it(spark, tmp_path):
+    history = spark.range(3000).selectExpr("string(id) as id", "sha2(string(id % 2500), 256) as content_hash")
+    hashes, ids = history_indexes(str(tmp_path), "history", buckets=4)
+    for index in (hashes, ids):
+        index.opened(spark)
+        index.add(history)
+        index.add(history)  # changes no answer
+        assert index.known(spark).distinct().count() == (2500 if index is hashes else 3000)
+    hashes.add(spark.createDataFrame([("n1", "new"), ("n2", None), ("n0", "new")], "id string, content_hash string"), batch=3)
+    assert spark.table("history_content_hash").filter("batch = 3").collect()[0][:2] == ("new", "n0")
+    assert hashes.known(spark, 3).distinct().count() == 2500 and hashes.known(spark).distinct().count() == 2501
+    batch = spark.range(4000).selectExpr("id as batch_seq", "if(id % 3 = 0, 'hot', sha2(string(id), 256)) as content_hash")
+    batch.write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    got = mark_duplicates(batch, hashes.known(spark))
+    want = mark_duplicates(batch, history)
+    assert sorted(got.collect()) == sorted(want.collect())
+    # Another session would open the folder again.
+    spark.sql("DROP TABLE history_content_hash")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mark_duplicates(batch, hashes.known(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    depth = lines[scan].index("FileScan")
+    above = []
+    for line in reversed(lines[:scan]):
+        at = next(i for i, c in enumerate(line) if c.isalpha())
+        if at < depth:
+            depth = at
+            above.append(line.strip(" :+-"))
+        if "Join" in line and at <= depth:
+            break
+    assert above and not any(line.startswith("Exchange") for line in above)

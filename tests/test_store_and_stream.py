@@ -13,6 +13,7 @@ from newsloom.plans import editorial
 from newsloom.plans.ingest import collect_articles, ingest, ingest_stats, save_ingested
 from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TABLES, TRANSLATIONS
 from newsloom.sources import store as S
+from newsloom.sources.key_index import history_indexes
 from newsloom.sources.registry import source_registry
 from newsloom.streaming import incremental as X
 
@@ -125,16 +126,19 @@ def test_ingest_gives_every_article_its_fate(spark, tmp_path):
     assert tuple(ingest_stats(fate).first()) == (9, 4, 4, 1)
 
 
-@pytest.mark.parametrize("files_per_batch", [None, 1])
-def test_stream_stores_what_the_batch_stores(spark, tmp_path, files_per_batch):
+@pytest.mark.parametrize("files_per_batch,indexed", [(None, False), (1, False), (None, True), (1, True)])
+def test_stream_stores_what_the_batch_stores(spark, tmp_path, files_per_batch, indexed):
     feeds, store, progress = (str(tmp_path / n) for n in ("feeds", "store", "progress"))
     X.create_stream_store(spark, store, stored_row(spark))
+    indexes = history_indexes(str(tmp_path / "index"), f"stream_{files_per_batch}", 3) if indexed else None
+    if indexed:
+        X.index_store(spark, store, indexes)
     for i, (source, text) in enumerate(PAYLOADS):
         folder = tmp_path / "feeds" / f"source_name={source}"
         folder.mkdir(parents=True, exist_ok=True)
         (folder / f"{i}.xml").write_text(text)
     payloads = X.payload_files(spark, feeds, files_per_batch)
-    X.ingest_stream(payloads, store, progress, AS_OF).awaitTermination()
+    X.ingest_stream(payloads, store, progress, AS_OF, indexes=indexes).awaitTermination()
     want = values(batch_result(spark, tmp_path).filter("accepted"), "content_hash")
     got = values(X.stored_articles(spark, store).filter("id != 'a0'"), "content_hash")
     if files_per_batch is None:
@@ -143,12 +147,20 @@ def test_stream_stores_what_the_batch_stores(spark, tmp_path, files_per_batch):
         # One file at a time: which of the two rows under one id comes first depends on the files' order.
         assert len(got) == len(set(got)) and len(set(got) ^ set(want)) <= 2
     # Nothing new: nothing changes.
-    X.ingest_stream(X.payload_files(spark, feeds, files_per_batch), store, progress, AS_OF).awaitTermination()
+    X.ingest_stream(X.payload_files(spark, feeds, files_per_batch), store, progress, AS_OF, indexes=indexes).awaitTermination()
     assert X.stored_articles(spark, store).count() == len(got) + 1
     # A later file is held against everything stored, however long ago.
     (tmp_path / "feeds" / "source_name=B" / "late.xml").write_text(feed(item(20, "ONE "), item(21, "fresh")))
-    X.ingest_stream(X.payload_files(spark, feeds, files_per_batch), store, progress, AS_OF).awaitTermination()
+    X.ingest_stream(X.payload_files(spark, feeds, files_per_batch), store, progress, AS_OF, indexes=indexes).awaitTermination()
     assert X.stored_articles(spark, store).count() == len(got) + 2
+    if indexed:
+        # A batch that is run again finds only what was there before it.
+        hashes, _ = indexes
+        batches = {r["batch"] for r in spark.table(hashes.name).select("batch").distinct().collect()}
+        assert -1 in batches and len(batches) > 1
+        assert hashes.known(spark, 0).count() == 1
+        stored = {r["content_hash"] for r in X.stored_articles(spark, store).collect()}
+        assert {r["content_hash"] for r in hashes.known(spark).collect()} == stored
 
 
 def test_stream_leaves_out_disabled_sources(spark, tmp_path):
