@@ -316,7 +316,15 @@ def _rejects() -> str:
         UNION ALL
         SELECT 'translations', id, 'enum:language' FROM translations WHERE language NOT IN {one_of(list(LANGUAGES))}
         UNION ALL
-        SELECT 'api_logs', id, 'enum:operation' FROM logs WHERE operation NOT IN ('summarize', 'translate')""")
+        SELECT 'api_logs', id, 'enum:operation' FROM logs WHERE operation NOT IN ('summarize', 'translate')
+        UNION ALL
+        SELECT 'publications', id || '_again', 'unique:date+language' FROM publications WHERE language = 'hi'
+        UNION ALL
+        SELECT 'publication_stories', 'pub_' || date || '_' || language || '/' || translation_id, 'range:position'
+        FROM ranked WHERE position = 6
+        UNION ALL
+        SELECT 'sources', source_name, 'range:priority'
+        FROM (SELECT source_name, count(*) AS n FROM docs GROUP BY source_name) WHERE n % 5 NOT BETWEEN 1 AND 3""")
 
 
 def _glossary() -> str:
@@ -359,6 +367,8 @@ _BRIEF_COLUMNS = ", ".join(TABLES["briefs"].required)
 _TRANSLATION_COLUMNS = ", ".join(TABLES["translations"].required)
 _OPEN_20 = f"SELECT * FROM good WHERE id NOT IN (SELECT article_id FROM briefs) {_RANK} LIMIT 20"
 
+_ESCAPED = "replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
 ORACLE = {
     "active_sources": sql(
         "SELECT s.name, s.url, s.priority, s.expected_articles, count(a.id) AS articles FROM (VALUES "
@@ -373,6 +383,15 @@ ORACLE = {
     "feed_report": sql(
         "SELECT payload_id, CAST(count(*) AS INTEGER) AS entries, false AS malformed FROM delivered GROUP BY payload_id"
     ),
+    "feed_forms": sql(
+        "SELECT source_name, CASE lang WHEN 'en' THEN 'rdf' WHEN 'de' THEN 'prefixed' ELSE 'elements' END AS form, title, "
+        "source_url AS link, published_at, CAST(CASE WHEN lang IN ('en', 'de') "
+        f"THEN length({trimmed('content')}) ELSE length('<p>' || {_ESCAPED} || '</p>') END AS INTEGER) AS content_chars FROM docs"
+    ),
+    "feed_file_entries": sql("SELECT source_name, title, source_url AS link, published_at, content_hash FROM articles"),
+    "indexed_duplicates": sql(
+        "SELECT id, doc_id AS batch_seq, dup_reason IS NOT NULL AS is_duplicate, dup_reason FROM marked"
+    ),
     "normalized_articles": sql(
         f"SELECT id, source_url, source_name, source_type, title, published_at, {NOW} AS fetched_at, content_hash, "
         "false AS is_duplicate FROM articles"

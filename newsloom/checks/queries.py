@@ -19,6 +19,7 @@ from newsloom.reference_data import SOURCES, SUMMARY_WORDS, TOP_STORIES
 from newsloom.schemas import ARTICLES, BRIEFS, TRANSLATIONS
 from newsloom.sources import feeds
 from newsloom.sources import registry as sources
+from newsloom.sources.key_index import history_indexes
 from newsloom.sources.store import shared_folder, staged
 from newsloom.streaming.incremental import (
     create_stream_store,
@@ -68,6 +69,33 @@ def feed_report(spark, sf):
     return report.select("payload_id", "entries", F.col("parse_error").isNotNull().alias("malformed"))
 
 
+@query
+def feed_forms(spark, sf):
+    """Entries of RSS 1.0, of Atom with a prefix, and of Atom whose texts are elements."""
+    entries = feeds.feed_entries(S.odd_feed_payloads(spark, sf))
+    text = F.coalesce(F.get("content", F.lit(0))["value"], F.col("summary"))
+    return entries.select(
+        "source_name", "form", "title", "link", F.col("published").alias("published_at"),
+        F.length(stripped(text)).alias("content_chars"),
+    )
+
+
+@query
+def feed_file_entries(spark, sf):
+    """All payloads as files, one per source and dialect, read entry by entry."""
+    root = shared_folder(spark)
+    is_atom = F.col("payload").startswith("<feed")
+    named = S.feed_payloads(spark, sf).select(F.when(is_atom, "atom").otherwise("rss").alias("dialect"), "source_name", "payload")
+    named.write.partitionBy("dialect", "source_name").text(root)
+    parts = [feeds.feed_file_entries(spark, f"{root}/dialect={d}", d) for d in ("rss", "atom")]
+    entries = parts[0].union(parts[1])
+    text = F.coalesce(F.get("content", F.lit(0))["value"], F.col("summary"))
+    return entries.select(
+        "source_name", "title", "link", F.col("published").alias("published_at"),
+        F.sha2(F.lower(stripped(text)).cast("binary"), 256).alias("content_hash"),
+    )
+
+
 def _collected(spark, sf):
     registry = sources.source_registry(spark)
     return collect_articles(S.feed_payloads(spark, sf), registry, S.AS_OF)
@@ -181,13 +209,19 @@ def content_hash(spark, sf):
 
 @query
 def constraint_rejects(spark, sf):
+    """All six tables and the registry; days have six stories, and Hindi days come in a second edition."""
     news = S.Stored(spark, sf)
+    news.publish()
+    again = news.publications.filter("language = 'hi'").withColumn("id", F.concat("id", F.lit("_again")))
     return validation.constraint_rejects(
         {
             "articles": news.articles,
             "briefs": news.candidates,
             "translations": news.translations,
+            "publications": news.publications.unionByName(again),
+            "publication_stories": staged(publication.daily_stories(news.translations, news.briefs, 6)),
             "api_logs": S.candidate_logs(spark, sf),
+            "sources": S.candidate_sources(spark, sf),
         }
     )
 
@@ -242,6 +276,17 @@ def known_duplicates(spark, sf):
     return marked.select("id", "content_hash", "is_known")
 
 
+@query
+def indexed_duplicates(spark, sf):
+    """The batch against the index of stored hashes, which is made first and not shuffled."""
+    root = shared_folder(spark)
+    hashes, _ = history_indexes(root, root.rsplit("-", 1)[-1])
+    hashes.opened(spark)
+    hashes.add(S.store(spark, sf))
+    batch = staged(S.batch(spark, sf).select("id", "batch_seq", "content_hash"))
+    return dedup.mark_duplicates(batch, hashes.known(spark)).select("id", "batch_seq", "is_duplicate", "dup_reason")
+
+
 @query
 def unprocessed_articles(spark, sf):
     narrow = S.stored_columns(spark, sf).select("id", "published_at", "source_name")

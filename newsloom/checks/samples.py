@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_id, content_hash, ntz
-from newsloom.operators.dedup import mark_duplicates
 from newsloom.operators.publication import daily_stories, publications
 from newsloom.operators.validation import valid_rows
 from newsloom.plans.article_feed import article_excerpts
@@ -90,17 +89,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as stored articles; of those with one hash, all but the first are flagged as duplicates.
 
-    The verdict is made on ids and hashes alone and only repeats are brought back, so
-    that no text is shuffled for it.
+    Texts are hashed in one pass, which leaves ids and hashes. Of those, only hashes that repeat are met again, and only
+    the repeats are brought back, so that no text is shuffled.
     """
     rows = documents(spark, sf_dir)
-    marked = mark_duplicates(staged(rows.select("doc_id", "content_hash")), seq="doc_id")
-    repeats = staged(marked.filter("is_duplicate").select("doc_id"))
+    hashes = staged(rows.select("doc_id", "content_hash"))
+    first = hashes.groupBy("content_hash").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    repeats = hashes.join(first, "content_hash").filter(F.col("doc_id") > F.col("_first")).select("doc_id")
     flagged = repeats.withColumn("_repeat", F.lit(True))
     joined = rows.join(flagged, "doc_id", "left")
     return joined.withColumn("is_duplicate", F.col("_repeat").isNotNull()).select(*ARTICLES.columns)
 
 
+def candidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry row for each source of the documents; the last digit of its count is its priority, which may be none."""
+    counts = _read(spark, sf_dir, "documents").select(_source_name().alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return counts.select(
+        "name",
+        F.concat(F.lit("https://news.example.com/"), F.replace("name", F.lit(" "), F.lit("-"))).alias("url"),
+        (F.col("n") % 5).cast("int").alias("priority"),
+        F.col("n").cast("int").alias("expected_articles"),
+    )
+
+
 def stored_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored articles for queries that do not ask for the flag."""
     return documents(spark, sf_dir).select(*[c for c in ARTICLES.columns if c != "is_duplicate"])
@@ -308,6 +319,50 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("source_name", "payload_id", payload.alias("payload"))
 
 
+def odd_feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in the rarer forms of a feed: RSS 1.0 for English, Atom with a prefix for German, texts as elements for the others.
+
+    Blocks bound a payload's entries as in ``feed_payloads``.
+    """
+    title, content, url = _escaped(F.col("title")), _escaped(F.col("content")), F.col("source_url")
+    time = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    old = _cat(
+        '<item rdf:about="', url, '"><title>', title, "</title><link>", url, "</link><description>", content,
+        "</description><dc:date>", time, "</dc:date></item>",
+    )
+    prefixed = _cat(
+        "<a:entry><a:title>", title, '</a:title><a:link href="', url, '"/><a:content type="text">', content,
+        "</a:content><a:published>", time, "</a:published></a:entry>",
+    )
+    elements = _cat(
+        "<entry><title>", title, '</title><link href="', url,
+        '"/><content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>', content, "</p></div></content><published>",
+        time, "</published></entry>",
+    )
+    form = F.when(F.col("lang") == "en", "rdf").when(F.col("lang") == "de", "prefixed").otherwise("elements")
+    entry = F.when(form == "rdf", old).when(form == "prefixed", prefixed).otherwise(elements)
+    block = F.floor(F.col("doc_id") / FEED_BLOCK).cast("string")
+    rows = documents(spark, sf_dir).select(
+        "source_name", form.alias("form"), block.alias("block"), F.struct("doc_id", entry.alias("entry")).alias("e")
+    )
+    joined = rows.groupBy("source_name", "form", "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "").alias("body")
+    )
+    heads = {
+        "rdf": (
+            '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+            'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="x"><title>feed</title></channel>',
+            "</rdf:RDF>",
+        ),
+        "prefixed": ('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>feed</a:title>', "</a:feed>"),
+        "elements": ('<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>', "</feed>"),
+    }
+    payload = F.lit(None).cast("string")
+    for name, (head, end) in heads.items():
+        payload = F.when(F.col("form") == name, _cat(head, F.col("body"), end)).otherwise(payload)
+    return joined.select("source_name", "form", payload.alias("payload"))
+
+
 def payload_order() -> Column:
     return F.concat_ws("#", "payload_id", F.lpad(F.col("position").cast("string"), 9, "0"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.keys import attach
-from newsloom.schemas import MAX_URL_CHARS, TABLES, Table
+from newsloom.schemas import MAX_URL_CHARS, SOURCE_REGISTRY, TABLES, Table
 
 WEB_URL = r"(?i)^https?://([^/?#\s]*@)?[^/?#@\s:]+(:\d+)?([/?#]\S*)?$"
 
@@ -36,11 +36,31 @@ def valid_rows(rows: DataFrame, table: Table) -> DataFrame:
     return check(rows, table).filter(F.size("broken_rules") == 0).drop("broken_rules")
 
 
+def unique_conflicts(rows: DataFrame, table: Table) -> DataFrame:
+    """Rows that cannot be kept beside others: ``row_key, rule, holder`` per broken rule of the whole table.
+
+    Of rows that are equal in the columns of a UNIQUE rule the one with the smallest key holds the place; rows with a null in
+    them are never in conflict. A key that occurs more than once is named once, as its own holder. One value may be in any share of the
+    rows: firsts are combined before the shuffle, and rows meet them dealt out.
+    """
+    row_key = F.concat_ws("/", *table.key)
+    keys = rows.groupBy(*table.key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    parts = [keys.select(row_key.alias("row_key"), F.lit("primary_key").alias("rule"), row_key.alias("holder"))]
+    for columns in table.unique:
+        named = rows.dropna(subset=list(columns)).select(F.struct(*columns).alias("_value"), row_key.alias("row_key"))
+        first = named.groupBy("_value").agg(F.min("row_key").alias("holder"), F.count("*").alias("_n"))
+        met = attach(named, first.filter("_n > 1").drop("_n"), "_value", "row_key", how="inner")
+        rule = F.lit(f"unique:{'+'.join(columns)}").alias("rule")
+        parts.append(met.filter(F.col("row_key") > F.col("holder")).select("row_key", rule, "holder"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def constraint_rejects(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per rejected row: table, key, rules broken."""
+    """One row per rejected row and kind of rule: table, key, rules broken by the row itself, or the rule it breaks beside others."""
     parts = []
     for name, rows in tables.items():
-        table = TABLES[name]
+        table = {**TABLES, SOURCE_REGISTRY.name: SOURCE_REGISTRY}[name]
+        parts.append(unique_conflicts(rows, table).select(F.lit(name).alias("table_name"), "row_key", F.col("rule").alias("broken_rules")))
         failed = check(rows, table).filter(F.size("broken_rules") > 0)
         parts.append(
             failed.select(

@@ -28,6 +28,8 @@ class Table:
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     max_chars: dict[str, int] = field(default_factory=dict)
     urls: tuple[str, ...] = ()
+    # Columns whose values may stand together once only, besides the key.
+    unique: tuple[tuple[str, ...], ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -108,6 +110,7 @@ PUBLICATIONS = Table(
         "created_at": NTZ,
     },
     enums={"language": list(LANGUAGES), "publish_status": PUBLISH_STATUSES},
+    unique=(("date", "language"),),
 )
 
 PUBLICATION_STORIES = Table(

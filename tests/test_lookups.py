@@ -7,7 +7,7 @@ from newsloom.operators import lookups as L
 from newsloom.operators import reports as R
 from newsloom.operators import validation as V
 from newsloom.operators.retention import cleanup_stats, retain_articles, retain_briefs, retain_translations
-from newsloom.schemas import ARTICLES, SOURCE_REGISTRY
+from newsloom.schemas import ARTICLES, PUBLICATIONS, SOURCE_REGISTRY
 from newsloom.sources.registry import source_registry
 from newsloom.sources.store import write_table
 
@@ -185,6 +185,23 @@ def test_constraints(spark):
     }
 
 
+def test_constraints_across_rows(spark):
+    from datetime import date
+
+    day = date(2026, 7, 4)
+    rows = [("p3", day, "or", "sent"), ("p1", day, "or", "sent"), ("p2", day, "hi", "sent"), ("p4", day, None, "sent"), ("p5", day, None, "sent"),
+            ("p2", date(2026, 7, 5), "hi", "sent")] + [(f"q{i:04}", date(2026, 1, 1), "bn", "sent") for i in range(1500)]
+    frame = spark.createDataFrame(rows, "id string, date date, language string, publish_status string")
+    got = values(V.unique_conflicts(frame, PUBLICATIONS), "row_key", "rule", "holder")
+    late = [(f"q{i:04}", "unique:date+language", "q0000") for i in range(1, 1500)]
+    assert sorted(got) == sorted([("p2", "primary_key", "p2"), ("p3", "unique:date+language", "p1"), *late])
+    assert V.unique_conflicts(frame.limit(0), PUBLICATIONS).count() == 0
+    bad = V.constraint_rejects({"publications": frame.filter("id < 'q'")})
+    assert sorted(values(bad, "row_key", "broken_rules")) == [
+        ("p2", "primary_key"), ("p3", "unique:date+language"), ("p4", "not_null:language"), ("p5", "not_null:language"),
+    ]
+
+
 def test_registry_constraints(spark):
     rows = [("ok", "https://a.b/c", 1, 30, True), ("bad", "https://a.b/c", 5, 0, True)]
     checked = V.check(source_registry(spark, rows), SOURCE_REGISTRY)
