@@ -174,6 +174,17 @@ def test_leaks_of_the_given_documents_against_every_pair(spark):
                 assert (d.doc_id, n) in found
 
 
+def test_pipeline_bears_odd_rows_and_an_empty_table(spark, tmp_path):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, docs in (("odd", odd_frame(spark)), ("empty", empty_frame(spark))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    lettered = {r[0] for r in odd_rows() if r[1] and any(c.isalpha() for c in r[1])}
+    assert rows and {r.doc_id for r in rows} <= lettered - {2}
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_pipeline_keeps_its_promises(spark):
     from newsloom.llm.mixing import mixed_sizes
     from newsloom.sources.store import staged
