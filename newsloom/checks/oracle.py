@@ -351,8 +351,16 @@ _MODEL_PAIR = "'or' AS language, CAST(0.8 AS DOUBLE) AS quality_score"
 _ROUTE = f"CASE WHEN source_name IN {one_of(GERMAN_SOURCES)} THEN 'transform' ELSE 'summarize' END"
 
 
+def _either(transform: str, summarize: str, **values: str) -> str:
+    return f"CASE WHEN {_ROUTE} = 'transform' THEN {filled(transform, **values)} ELSE {filled(summarize, **values)} END"
+
+
+def _key(purpose: str) -> str:
+    return f"substr(sha256(concat_ws(chr(10), {text(purpose)}, id, prompt)), 1, 16)"
+
+
 def _routed(transform: str, summarize: str, **values: str) -> str:
-    prompt = f"CASE WHEN {_ROUTE} = 'transform' THEN {filled(transform, **values)} ELSE {filled(summarize, **values)} END"
+    prompt = _either(transform, summarize, **values)
     return sql(f"""
         SELECT id, route, CAST(length(prompt) AS INTEGER) AS prompt_chars, sha256(prompt) AS prompt_hash
         FROM (SELECT id, {_ROUTE} AS route, {prompt} AS prompt FROM articles)""")
@@ -562,11 +570,18 @@ ORACLE = {
                CASE WHEN len(words) >= 10 THEN 1 ELSE 2 END AS attempts, len(words) >= 10 AS answered
         FROM cut"""),
     "run_logs": sql(f"""
-        SELECT 'summarize_' || id || '_{AS_OF:%Y%m%dT%H%M%S}' AS id, {NOW} AS timestamp, {text(MODEL)} AS model_used,
+        SELECT 'summarize_' || id || '_' || {_key('summarize')} AS about, {NOW} AS timestamp, {text(MODEL)} AS model_used,
                'summarize' AS operation, len(words) >= 10 AS success,
                CASE WHEN len(words) = 0 THEN 'ValueError: empty text'
                     WHEN len(words) < 10 THEN 'ValueError: text too short' END AS error_message
-        FROM cut"""),
+        FROM (SELECT id, words, {_either(P.TRANSFORM, P.SUMMARIZE)} AS prompt FROM cut)"""),
+    "repeated_run_logs": sql(f"""
+        SELECT 'translate_' || id || '_' || {_key('translate/' + MODEL)} AS about, {NOW} AS timestamp,
+               {text(MODEL)} AS model_used, 'translate' AS operation, success,
+               CASE WHEN NOT success THEN 'ValueError: text too short' END AS error_message
+        FROM (SELECT id, {filled(P.TRANSLATE, language="language")} AS prompt, run, len({words('summary_30')}) >= 30 AS success
+              FROM briefs, (VALUES (1, {_language('hi')}), (2, {_language('hi')}), (3, {_language('or')})) r(run, language))
+        WHERE run <> 2 OR NOT success"""),
     "parsed_summaries": sql("SELECT * FROM parsed", *parsed_ctes(SUMMARY_FIELDS, "article_id")),
     "parsed_translations": sql("SELECT * FROM parsed", *parsed_ctes(TRANSLATION_FIELDS, "id")),
     "parsed_combined": sql("SELECT * FROM parsed", *parsed_ctes(combined_fields(), "article_id")),

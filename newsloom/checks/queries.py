@@ -16,11 +16,11 @@ from newsloom.plans import article_feed as feed
 from newsloom.plans import editorial
 from newsloom.plans.ingest import collect_articles, ingest
 from newsloom.reference_data import SOURCES, SUMMARY_WORDS, TOP_STORIES
-from newsloom.schemas import ARTICLES, BRIEFS, TRANSLATIONS
+from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TRANSLATIONS
 from newsloom.sources import feeds
 from newsloom.sources import registry as sources
 from newsloom.sources.key_index import history_indexes
-from newsloom.sources.store import shared_folder, staged
+from newsloom.sources.store import read_table, shared_folder, staged
 from newsloom.streaming.incremental import (
     create_stream_store,
     ingest_stream,
@@ -31,6 +31,8 @@ from newsloom.streaming.incremental import (
 # The stand-in model travels with its functions, so workers need not be able to import it.
 cloudpickle.register_pickle_by_value(stub)
 
+_QUICK = {"attempts": 1, "wait_seconds": (0, 0)}
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 
@@ -527,13 +529,34 @@ def complete_batch(spark, sf):
     )
 
 
+def _log_lines(logs: DataFrame) -> DataFrame:
+    """Lines of the usage log; the time of a call, at the end of its id, differs from run to run."""
+    about = F.regexp_replace("id", "_[0-9]+$", "")
+    return logs.select(about.alias("about"), "timestamp", "model_used", "operation", "success", "error_message")
+
+
 @query
 def run_logs(spark, sf):
     """The usage log of a run in which some prompts fail, by outcome."""
     prompts = inference.summary_prompts(S.stored_columns(spark, sf))
-    answers = inference.complete_batch(prompts, stub.terse, attempts=1, wait_seconds=(0, 0))
-    logs = inference.as_api_logs(answers, "summarize", S.MODEL, S.AS_OF)
-    return logs.select("id", "timestamp", "model_used", "operation", "success", "error_message")
+    answers = inference.complete_batch(prompts, stub.terse, purpose="summarize", **_QUICK)
+    return _log_lines(inference.as_api_logs(answers, "summarize", S.MODEL, S.AS_OF))
+
+
+@query
+def repeated_run_logs(spark, sf):
+    """The usage log after three runs with one folder of answers: Hindi, Hindi again, Odia.
+
+    What failed is asked again in the second run, what was answered is not; short briefs fail.
+    """
+    root, made = shared_folder(spark), S.Stored(spark, sf)
+    kept = {"answers_path": f"{root}/answers", "logs_root": f"{root}/store", **_QUICK}
+    untranslated = spark.createDataFrame([], TRANSLATIONS.schema)
+    for language in ("hi", "hi", "or"):
+        editorial.fill_missing_translations(
+            made.briefs, untranslated, stub.translate_longer, S.AS_OF, S.MODEL, language, **kept
+        )
+    return _log_lines(read_table(spark, f"{root}/store", API_LOGS))
 
 
 @query
@@ -642,9 +665,6 @@ def ingest_batch(spark, sf):
     )
 
 
-_QUICK = {"attempts": 1, "wait_seconds": (0, 0)}
-
-
 @query
 def editorial_run(spark, sf):
     """Two runs with one folder of answers; the second selects what the first has left."""

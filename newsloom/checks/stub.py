@@ -47,3 +47,10 @@ def terse(prompt: str) -> str:
     if len(_content(prompt).split()) < 10:
         raise ValueError("text too short")
     return summarize(prompt)
+
+
+def translate_longer(prompt: str) -> str:
+    """Refuses briefs whose short summary has fewer than thirty words."""
+    if len(_between(prompt, "summary_30").split()) < 30:
+        raise ValueError("text too short")
+    return translate(prompt)

@@ -64,8 +64,13 @@ RESPONSE_SCHEMA = (
 )
 
 
-_RESPONSE = [field.split()[0] for field in RESPONSE_SCHEMA.split(", ")]
+# ``prompt_key`` stands for id, whole prompt and purpose; ``asked`` is when the call began, in nanoseconds.
 ANSWER_SCHEMA = f"{RESPONSE_SCHEMA}, prompt_key string, asked long"
+_ANSWER = [field.split()[0] for field in ANSWER_SCHEMA.split(", ")]
+
+
+def _prompt_key(purpose: str) -> Column:
+    return F.sha2(F.concat_ws("\n", F.lit(purpose), F.col("id"), F.col("prompt")), 256)
 
 
 def complete_batch(
@@ -75,9 +80,12 @@ def complete_batch(
     attempts: int = 3,
     wait_seconds: tuple[float, float] = (2.0, 10.0),
     calls_per_task: int = 1,
+    purpose: str = "",
 ) -> DataFrame:
     """Call ``fn`` once per prompt; a prompt that keeps failing costs its own row only.
 
+    Each row is one call, with the key of its prompt under ``purpose`` and the time it was made.
+
     ``parallel_calls`` sets the number of tasks; without it the prompts stay in the tasks they are in.
     Each task has ``calls_per_task`` calls under way at a time. ``wait_seconds`` are the first and the
     longest pause between attempts, which double in between. A lost executor repeats the
@@ -85,7 +93,8 @@ def complete_batch(
     """
     first_wait, longest_wait = wait_seconds
 
-    def answer(prompt: str) -> tuple[str | None, bool, str | None, int, int]:
+    def answer(prompt: str) -> tuple[str | None, bool, str | None, int, int, int]:
+        asked = time.time_ns()
         for attempt in range(1, attempts + 1):
             started = time.monotonic()
             try:
@@ -96,20 +105,22 @@ def complete_batch(
             if error is None or attempt == attempts:
                 break
             time.sleep(min(longest_wait, first_wait * 2 ** (attempt - 1)))
-        return text, error is None, error, attempt, latency
+        return text, error is None, error, attempt, latency, asked
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["response", "success", "error_message", "attempts", "latency_ms"]
+        names = ["response", "success", "error_message", "attempts", "latency_ms", "asked"]
         with ThreadPoolExecutor(calls_per_task) as callers:
             for batch in batches:
                 answers = pd.DataFrame(list(callers.map(answer, batch["prompt"])), columns=names)
-                answers.insert(0, "id", batch["id"].to_numpy())
-                yield answers
+                for column in ("id", "prompt_key"):
+                    answers[column] = batch[column].to_numpy()
+                yield answers[names_in_order]
 
-    narrow = prompts.select("id", "prompt")
+    names_in_order = _ANSWER
+    narrow = prompts.select("id", "prompt", _prompt_key(purpose).alias("prompt_key"))
     if parallel_calls is not None:
         narrow = narrow.repartition(parallel_calls)
-    return narrow.mapInPandas(run, RESPONSE_SCHEMA)
+    return narrow.mapInPandas(run, ANSWER_SCHEMA)
 
 
 def complete_once(
@@ -122,25 +133,29 @@ def complete_once(
     may use the same folder. Returned is one row per prompt of this run, failures included: the newest success, or
     else the newest failure.
     """
+    return ask_once(prompts, fn, answers_path, purpose, **options)[0]
+
+
+def ask_once(
+    prompts: DataFrame, fn: Callable[[str], str], answers_path: str, purpose: str = "", **options
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``complete_once``, and those of the calls that were made for them in this run."""
     spark = prompts.sparkSession
-    key = F.sha2(F.concat_ws("\n", F.lit(purpose), F.col("id"), F.col("prompt")), 256)
-    asked = staged(prompts.select("id", "prompt", key.alias("prompt_key")))
+    asked = staged(prompts.select("id", "prompt", _prompt_key(purpose).alias("prompt_key")))
     # Appending nothing makes the folder exist for the first read.
     spark.createDataFrame([], ANSWER_SCHEMA).write.mode("append").parquet(answers_path)
     stored = spark.read.schema(ANSWER_SCHEMA).parquet(answers_path)
     open_prompts = without(asked, ["prompt_key"], stored.filter("success").select("prompt_key"))
-    keys = asked.select("id", "prompt_key").distinct()
-    open_prompts = open_prompts.dropDuplicates(["prompt_key"]).select(F.col("prompt_key").alias("id"), "prompt")
-    answers = complete_batch(open_prompts, fn, **options).withColumnRenamed("id", "prompt_key")
-    answers = answers.join(keys, "prompt_key").withColumn("asked", F.lit(time.time_ns()))
-    answers.select(*_RESPONSE, "prompt_key", "asked").write.mode("append").parquet(answers_path)
+    calls = staged(complete_batch(open_prompts.dropDuplicates(["prompt_key"]), fn, purpose=purpose, **options))
+    calls.write.mode("append").parquet(answers_path)
     answered = spark.read.schema(ANSWER_SCHEMA).parquet(answers_path)
+    keys = asked.select("prompt_key").distinct()
     latest = (
-        answered.join(keys.select("prompt_key"), "prompt_key")
+        answered.join(keys, "prompt_key")
         .groupBy("prompt_key")
-        .agg(F.max_by(F.struct(*_RESPONSE), F.struct("success", "asked")).alias("_a"))
+        .agg(F.max_by(F.struct(*_ANSWER), F.struct("success", "asked")).alias("_a"))
     )
-    return latest.select("_a.*")
+    return latest.select("_a.*"), calls
 
 
 def run_counts(answers: DataFrame) -> DataFrame:
@@ -152,10 +167,15 @@ def run_counts(answers: DataFrame) -> DataFrame:
     )
 
 
-def as_api_logs(responses: DataFrame, operation: str, model: str, at: datetime) -> DataFrame:
-    """Call results in the layout of the usage log; token counts and cost are unknown here."""
-    return responses.select(
-        F.concat(F.lit(f"{operation}_"), F.col("id"), F.lit(f"_{at:%Y%m%dT%H%M%S}")).alias("id"),
+def as_api_logs(calls: DataFrame, operation: str, model: str, at: datetime) -> DataFrame:
+    """Calls in the layout of the usage log, one row each; token counts and cost are unknown here.
+
+    The id holds what was asked about, the beginning of the prompt's key (which differs by language and model) and
+    the time of the call, so that a prompt asked again gets a row of its own.
+    """
+    parts = [F.lit(operation), F.col("id"), F.left("prompt_key", F.lit(16)), F.col("asked").cast("string")]
+    return calls.select(
+        F.concat_ws("_", *parts).alias("id"),
         ntz(at).alias("timestamp"),
         F.lit(model).alias("model_used"),
         F.lit(operation).alias("operation"),

@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import ntz
 from newsloom.operators.inference import (
     as_api_logs,
+    ask_once,
     briefs_from_summaries,
     combined_outputs,
     combined_prompts,
     complete_batch,
-    complete_once,
     parsed_combined,
     parsed_summaries,
     parsed_translations,
@@ -74,7 +73,7 @@ def _ask(
     at_most: int | None,
     **options,
 ) -> DataFrame:
-    """One row per prompt, failures included; with ``logs_root``, each is written to that store's usage log.
+    """One row per prompt, failures included; with ``logs_root``, each call made is written to that store's usage log.
 
     A selection of at most ``at_most`` rows would stay strewn over the tasks of its scan, so it is dealt to
     a task per core at most, unless ``parallel_calls`` says otherwise.
@@ -82,16 +81,30 @@ def _ask(
     if at_most is not None:
         cores = prompts.sparkSession.sparkContext.defaultParallelism
         options.setdefault("parallel_calls", max(1, min(at_most, cores)))
+    purpose = f"{operation}/{model}"
     if answers_path is None:
-        answers = staged(complete_batch(prompts, fn, **options))
+        answers = calls = staged(complete_batch(prompts, fn, purpose=purpose, **options))
     else:
-        answers = staged(complete_once(prompts, fn, answers_path, f"{operation}/{model}", **options))
+        latest, calls = ask_once(prompts, fn, answers_path, purpose, **options)
+        answers = staged(latest)
     if logs_root is not None:
-        logs = as_api_logs(answers, operation, model, as_of).withColumn("created_at", ntz(as_of))
-        write_table(logs, logs_root, API_LOGS)
+        append_logs(as_api_logs(calls, operation, model, as_of), logs_root, as_of)
     return answers
 
 
+def append_logs(logs: DataFrame, root: str, as_of: datetime) -> None:
+    """Append rows to the usage log; those whose id is there already, or which break a rule, are refused.
+
+    A row's id is held against the rows from the day of ``as_of`` on, which is the time that new rows carry.
+    """
+    spark = logs.sparkSession
+    # Appending nothing makes the folder exist for the first read.
+    write_table(spark.createDataFrame([], API_LOGS.schema), root, API_LOGS)
+    ordered = staged(logs.withColumn("_seq", F.monotonically_increasing_id()))
+    fate = staged(admit(ordered, read_table(spark, root, API_LOGS, since=as_of), API_LOGS, "_seq"))
+    append_accepted(fate, root, API_LOGS, as_of)
+
+
 def _with_texts(selected: DataFrame, articles: DataFrame, count: int) -> DataFrame:
     """Selected stories with their texts. Written out first, so the articles are scored once."""
     picked = staged(selected.select("id", "published_at"))
@@ -116,7 +129,7 @@ def combined_run(
 
     The answers are written out before anything reads them. With ``answers_path`` they are
     kept there, and a later run with the same path asks only for what is missing. ``newest`` starts from
-    the most recent articles only. With ``logs_root``, every call goes to that store's usage log, as a
+    the most recent articles only. With ``logs_root``, every call made goes to that store's usage log, as a
     summary, which is what such a call replaces.
     """
     selected = select_stories(articles, as_of, briefs, min_score, count, newest)

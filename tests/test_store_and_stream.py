@@ -188,6 +188,17 @@ def test_runs_share_a_folder_of_answers_and_log_their_calls(spark, tmp_path):
         assert sorted(values(made, "id", "title")) == [(f"trans_brief_a{n}_{language}", word) for n in (0, 1)]
     logs = S.read_table(spark, root, API_LOGS)
     assert values(logs, "operation", "success") == [("translate", True)] * 4
+    # What is answered is not asked again, so a repeated run logs nothing; what fails is asked and logged each time.
+    editorial.fill_missing_translations(df, none, answer("three"), AS_OF, "m", "hi", **quick)
+    assert S.read_table(spark, root, API_LOGS).count() == 4
+    for _ in range(2):
+        editorial.fill_missing_translations(df, none, lambda p: 1 / 0, AS_OF, "m", "bn", **quick)
+    logs = S.read_table(spark, root, API_LOGS)
+    assert sorted(values(logs.groupBy("success").count(), "success", "count")) == [(False, 4), (True, 4)]
+    assert logs.select("id").distinct().count() == 8
+    # Rows that are there already are not written again.
+    editorial.append_logs(logs, root, AS_OF)
+    assert S.read_table(spark, root, API_LOGS).count() == 8
 
 
 def test_a_day_from_feeds_to_stored_translations(spark, tmp_path):
