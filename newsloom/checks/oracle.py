@@ -330,12 +330,13 @@ def _rejects() -> str:
 def _glossary() -> str:
     terms = list(dict.fromkeys(PROPER_NOUNS + TECHNICAL_TERMS + SPORTS_TERMS))
     whole = "concat_ws(chr(10), {0}.title, {0}.summary_30, {0}.summary_111, {0}.summary_250)"
-    values = ", ".join(f"({text(t)})" for t in terms)
+    outside = r"[^\p{Latin}\p{N}\x{300}-\x{36F}]"
+    values = ", ".join(f"({text(t)}, {text(f'(^|{outside}){t}($|{outside})')})" for t in terms)
     return sql(f"""
         SELECT t.brief_id, t.id AS translation_id, t.language, g.term
         FROM translations t JOIN briefs b ON b.id = t.brief_id
-             JOIN (VALUES {values}) g(term) ON contains({whole.format('b')}, g.term)
-        WHERE NOT contains({whole.format('t')}, g.term)""")
+             JOIN (VALUES {values}) g(term, pattern) ON regexp_matches({whole.format('b')}, g.pattern)
+        WHERE NOT regexp_matches({whole.format('t')}, g.pattern)""")
 
 
 def _flat_feed(page: str, source: str, category: str, at: str) -> str:

@@ -1,6 +1,8 @@
 """Daily publications, and checks of what would be published."""
 
+import unicodedata
 from datetime import datetime
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,22 +77,65 @@ def _all_text() -> Column:
     return F.concat_ws("\n", *_TEXTS)
 
 
-def glossary_retention(briefs: DataFrame, translations: DataFrame) -> DataFrame:
-    """Glossary terms that a brief uses and its translation has lost.
+# Runs of Latin letters (with their accents) and digits are words. Other scripts end a word, because they write
+# their endings onto names.
+_LATIN = r"\p{IsLatin}\p{N}\u0300-\u036F"
+_PIECES = f"[{_LATIN}]+|[^{_LATIN}]+"
 
-    The glossary is a few dozen literals tested in place, so every brief row is read
-    once and nothing is multiplied out.
+
+def _in_word(char: str) -> bool:
+    latin = unicodedata.name(char, "").startswith("LATIN ") or "\u0300" <= char <= "\u036f"
+    return latin or unicodedata.category(char).startswith("N")
+
+
+def pieces(text: Column) -> Column:
+    """A text cut into its words and what stands between them, which together are the text."""
+    return F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+
+
+def terms_among(parts: Column, terms: list[str]) -> Column:
+    """Those of ``terms`` that stand as whole words in a text cut into ``pieces``; null for a null text.
+
+    Each sequence of as many pieces as some term has is looked up in the set of the terms of that length, so the work
+    grows with the text and the longest term and not with the number of terms. Case counts. A term begins and ends
+    with a Latin letter or a digit; others are refused.
     """
-    terms = list(dict.fromkeys(PROPER_NOUNS + TECHNICAL_TERMS + SPORTS_TERMS))
-    found = F.array(*[F.when(F.col("_text").contains(t), F.lit(t)) for t in terms])
-    texts = settle(briefs.select(F.col("id").alias("brief_id"), *_TEXTS), ["brief_id"], _text=_all_text())
-    used = settle(texts, ["brief_id"], _terms=F.array_compact(found)).filter(F.size("_terms") > 0)
-    translated = translations.select("id", "brief_id", "language", _all_text().alias("_text"))
-    pairs = attach(translated, used, "brief_id", "id", how="inner")
-    each = pairs.select(
-        "brief_id", F.col("id").alias("translation_id"), "language", "_text", F.explode("_terms").alias("term")
-    )
-    return (
-        each.filter(~F.col("_text").contains(F.col("term")))
-        .drop("_text")
-    )
+    by_size: dict[int, list[str]] = {}
+    for term in terms:
+        if not (term and _in_word(term[0]) and _in_word(term[-1])):
+            raise ValueError(f"{term!r} does not begin and end with a Latin letter or a digit")
+        by_size.setdefault(sum(1 for _ in groupby(term, _in_word)), []).append(term)
+
+    def found(size: int, wanted: list[str]) -> Column:
+        if size == 1:
+            return F.filter(parts, lambda x: x.isin(wanted))
+        # Only where a term's first word stands is the rest of the sequence put together.
+        first_words = sorted({"".join(next(groupby(term, _in_word))[1]) for term in wanted})
+        places = F.when(F.size(parts) >= size, F.sequence(F.lit(1), F.size(parts) - (size - 1)))
+        begun = F.filter(places, lambda i: F.get(parts, i - 1).isin(first_words))
+        sequences = F.transform(begun, lambda i: F.array_join(F.slice(parts, i, F.lit(size)), ""))
+        return F.coalesce(F.filter(sequences, lambda x: x.isin(wanted)), F.array().cast("array<string>"))
+
+    if not by_size:
+        return F.when(parts.isNotNull(), F.array().cast("array<string>"))
+    all_found = F.concat(*[found(size, wanted) for size, wanted in sorted(by_size.items())])
+    return F.when(parts.isNotNull(), F.array_distinct(all_found))
+
+
+def glossary_retention(briefs: DataFrame, translations: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """Glossary terms that a brief uses as whole words and its translation has lost.
+
+    ``terms`` replaces the fixed glossary. Every brief and every translation is read once and reduced to its terms where
+    it is; the join then moves ids and terms, and no texts.
+    """
+    terms = list(dict.fromkeys(PROPER_NOUNS + TECHNICAL_TERMS + SPORTS_TERMS if terms is None else terms))
+
+    def reduced(rows: DataFrame, keep: list[str], name: str) -> DataFrame:
+        cut = settle(rows.select(*keep, *_TEXTS), keep, _pieces=pieces(_all_text()))
+        return settle(cut, keep, **{name: terms_among(F.col("_pieces"), terms)})
+
+    used = reduced(briefs.withColumnRenamed("id", "brief_id"), ["brief_id"], "_terms").filter(F.size("_terms") > 0)
+    kept = reduced(translations, ["id", "brief_id", "language"], "_kept")
+    pairs = attach(kept, used, "brief_id", "id", how="inner")
+    lost = F.array_except("_terms", "_kept")
+    return pairs.select("brief_id", F.col("id").alias("translation_id"), "language", F.explode(lost).alias("term"))

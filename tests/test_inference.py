@@ -224,6 +224,21 @@ def test_glossary(spark):
     assert values(got, "brief_id", "language", "term") == [("brief_a0", "or", "Tesla")]
 
 
+def test_glossary_terms_are_whole_words(spark):
+    text = "UNO und KAI, der EU-Rat. NATOର COVID-19\nWorld  Bank World Bank (AI)"
+    wanted = ["UN", "AI", "EU", "NATO", "COVID-19", "World Bank", "Bank World", "EU-Rat. NATO", "lost"]
+    row = spark.createDataFrame([(text,), ("",), ("UN",), (None,)], "t string")
+    got = [sorted(v) if v is not None else None for (v,) in row.select(P.terms_among(P.pieces(row.t), wanted)).collect()]
+    assert got == [["AI", "Bank World", "COVID-19", "EU", "EU-Rat. NATO", "NATO", "World Bank"], [], ["UN"], None]
+    made, lost = briefs(spark, [brief(0, title="UNO")]), translations(spark, [translation(0)])
+    assert P.glossary_retention(made, lost).count() == 0
+    many = [f"term{n} of {n}" for n in range(10_000)]
+    made = briefs(spark, [brief(0, summary_250="about term77 of 77 and term78 of 7")])
+    assert values(P.glossary_retention(made, lost, many), "term") == ["term77 of 77"]
+    with pytest.raises(ValueError):
+        P.glossary_retention(made, lost, ["ନାଟୋ"])
+
+
 def test_daily_publication(spark):
     made = briefs(spark, [brief(i, quality_score=i / 10) for i in range(8)])
     rows = [translation(i) for i in range(8)] + [translation(0, "hi")]
