@@ -638,6 +638,25 @@ ORACLE = {
                reason AS reject_reason
         FROM (SELECT *, CASE WHEN content_hash IN (SELECT content_hash FROM store) THEN 'duplicate:store'
                              WHEN copy > 1 THEN 'duplicate:batch' END AS reason FROM arrived)"""),
+    "ingest_rejects": sql(
+        """
+        SELECT source_name, payload_id, position,
+               CASE WHEN flaw IS NOT NULL THEN 'entry_rejected' WHEN reason IS NULL THEN 'accepted' ELSE 'duplicate' END AS outcome,
+               coalesce(flaw, reason) AS reject_reason
+        FROM (SELECT *, CASE WHEN content_hash IN (SELECT content_hash FROM store) THEN 'duplicate:store'
+                             WHEN copy > 1 THEN 'duplicate:batch' END AS reason FROM sound)
+        UNION ALL
+        SELECT DISTINCT source_name, payload_id, NULL, 'payload_error', 'malformed' FROM delivered WHERE lang = 'es'""",
+        (
+            "flawed",
+            "SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'missing_link' WHEN doc_id % 17 = 0 THEN 'missing_title' END AS flaw FROM delivered",
+        ),
+        (
+            "sound",
+            """SELECT *, row_number() OVER (PARTITION BY content_hash, flaw IS NULL
+                   ORDER BY payload_id || '#' || lpad(CAST(position AS VARCHAR), 9, '0')) AS copy FROM flawed""",
+        ),
+    ),
     "editorial_run": sql(
         f"""
         SELECT 'brief_' || id AS id, id AS article_id, {", ".join(TEXTS)}, {_MODEL_PAIR},

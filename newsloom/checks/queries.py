@@ -14,7 +14,7 @@ from newsloom.operators import dedup, inference, lookups, publication, reports,
 from newsloom.operators.keyed_append import admit
 from newsloom.plans import article_feed as feed
 from newsloom.plans import editorial
-from newsloom.plans.ingest import collect_articles, ingest
+from newsloom.plans.ingest import articles_of, collect_articles, deliver, ingest, outcomes
 from newsloom.reference_data import SOURCES, SUMMARY_WORDS, TOP_STORIES
 from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TRANSLATIONS
 from newsloom.sources import feeds
@@ -665,6 +665,16 @@ def ingest_batch(spark, sf):
     )
 
 
+@query
+def ingest_rejects(spark, sf):
+    """What becomes of every entry and every faulty payload when some entries lack link or title and some payloads are cut off."""
+    root, registry = shared_folder(spark), sources.source_registry(spark)
+    delivered = deliver(S.feed_payloads(spark, sf, faulty=True), registry, S.AS_OF, f"{root}/delivered")
+    articles = articles_of(delivered).withColumn("batch_seq", S.payload_order())
+    fate = ingest(articles, S.store(spark, sf), None)
+    return outcomes(delivered, fate, S.payload_order(), ["source_name", "payload_id", "position"])
+
+
 @query
 def editorial_run(spark, sf):
     """Two runs with one folder of answers; the second selects what the first has left."""

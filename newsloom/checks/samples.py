@@ -281,9 +281,11 @@ def _cat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_payloads(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
     """The documents as feed files: RSS for English and German, Atom for French and Spanish.
 
+    With ``faulty``, some entries have no link, some no title, and Spanish payloads lack their last tag.
+
     A payload covers one source and language within a block of document numbers, so it
     holds at most ``FEED_BLOCK`` entries whatever a source's share of the documents is.
     """
@@ -291,13 +293,14 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("published_at")
     rss_time = F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     atom_time = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    item = _cat(
-        "<item><title>", title, "</title><link>", url, "</link><description>", content,
-        "</description><pubDate>", rss_time, "</pubDate></item>",
-    )
+    head = _cat("<title>", title, "</title>")
+    link, links = _cat("<link>", url, "</link>"), _cat('<link rel="self" href="', url, '/atom"/><link rel="alternate" href="', url, '"/>')
+    if faulty:
+        head = F.when(F.col("doc_id") % 17 == 0, "").otherwise(head)
+        link, links = (F.when(F.col("doc_id") % 13 == 0, "").otherwise(x) for x in (link, links))
+    item = _cat("<item>", head, link, "<description>", content, "</description><pubDate>", rss_time, "</pubDate></item>")
     entry = _cat(
-        "<entry><title>", title, '</title><link rel="self" href="', url, '/atom"/><link rel="alternate" href="',
-        url, '"/><content type="text">', content, "</content><published>", atom_time, "</published></entry>",
+        "<entry>", head, links, '<content type="text">', content, "</content><published>", atom_time, "</published></entry>",
     )
     atom = F.col("lang").isin("fr", "es")
     block = F.floor(F.col("doc_id") / FEED_BLOCK)
@@ -313,8 +316,9 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))), lambda e: e["entry"]), ""
         ).alias("body")
     )
+    end = F.when(F.col("payload_id").contains("/es/") & F.lit(faulty), "").otherwise("</feed>")
     payload = F.when(
-        F.col("atom"), _cat('<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>', F.col("body"), "</feed>")
+        F.col("atom"), _cat('<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>', F.col("body"), end)
     ).otherwise(_cat('<rss version="2.0"><channel><title>feed</title>', F.col("body"), "</channel></rss>"))
     return joined.select("source_name", "payload_id", payload.alias("payload"))
 

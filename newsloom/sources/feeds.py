@@ -216,6 +216,26 @@ def feed_entries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def feed_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """What ``feed_entries`` gives, and a row without position and entry for each payload that has a ``parse_error``.
+
+    Payloads are parsed once for both. ``parse_error`` is null in the rows of entries.
+    """
+    kept = [c for c in payloads.columns if c != payload]
+    parsed = parse_feeds(payloads, payload)
+    entry_type = parsed.schema["entries"].dataType.elementType
+
+    def row(position: Column, entry: Column, error: Column) -> Column:
+        return F.struct(position.cast("int").alias("position"), entry.alias("entry"), error.alias("parse_error"))
+
+    nothing = F.lit(None)
+    entries = F.transform("entries", lambda e, i: row(i, e, nothing.cast("string")))
+    fault = F.when(F.col("parse_error").isNotNull(), F.array(row(nothing, nothing.cast(entry_type), F.col("parse_error"))))
+    none = F.array().cast(f"array<struct<position:int,entry:{entry_type.simpleString()},parse_error:string>>")
+    rows = F.concat(F.coalesce(entries, none), F.coalesce(fault, none))
+    return parsed.select(*kept, F.inline(rows)).select(*kept, "position", "parse_error", "entry.*")
+
+
 def feed_report(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Entries and parse errors per payload; a malformed payload without any stays visible."""
     kept = [c for c in payloads.columns if c != payload]

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.operators.keyed_append import accepted_rows
-from newsloom.plans.ingest import collect_articles, ingest
+from newsloom.plans.ingest import articles_of, deliver, ingest, outcomes
 from newsloom.schemas import ARTICLES
-from newsloom.sources.feeds import feed_entries, normalized_articles
 from newsloom.sources.key_index import KeyIndex
 
 # <payload_dir>/source_name=<name>/<file>: the folder says whose feed a file is.
@@ -32,6 +31,7 @@ def ingest_stream(
     as_of: datetime,
     registry: DataFrame | None = None,
     indexes: tuple[KeyIndex, KeyIndex] | None = None,
+    outcomes_dir: str | None = None,
 ) -> StreamingQuery:
     """Run the ingest job on each micro-batch against everything stored before it.
 
@@ -43,6 +43,9 @@ def ingest_stream(
     With ``indexes`` (see ``history_indexes``) a batch asks them instead of the store: what it costs goes with its own rows, and the
     history is neither listed nor shuffled. They are brought up to date with what was stored before the first batch by
     ``index_store``, and by each batch after it has written its articles.
+
+    With ``outcomes_dir``, what became of every entry and every faulty payload is written there, a folder per batch, which a
+    repeated batch overwrites.
     """
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ARTICLES.schema)}, batch long"
 
@@ -52,13 +55,12 @@ def ingest_stream(
             store, hashes, ids = spark.read.schema(schema).parquet(store_dir).filter(F.col("batch") < batch_id), None, None
         else:
             store, (hashes, ids) = None, (index.known(spark, batch_id) for index in indexes)
-        if registry is None:
-            articles = normalized_articles(feed_entries(batch), as_of)
-        else:
-            articles = collect_articles(batch, registry, as_of)
         order = F.concat_ws("#", "file", F.lpad(F.col("position").cast("string"), 9, "0"))
-        staging = f"{checkpoint_dir}-staged/batch={batch_id}"
-        fate = ingest(articles.withColumn("batch_seq", order), store, staging, hashes=hashes, ids=ids)
+        delivered = deliver(batch, registry, as_of, f"{checkpoint_dir}-staged/batch={batch_id}")
+        fate = ingest(articles_of(delivered).withColumn("batch_seq", order), store, None, hashes=hashes, ids=ids)
+        if outcomes_dir is not None:
+            told = outcomes(delivered, fate, order, ["source_name", "file", "position", "id", "source_url"])
+            told.write.mode("overwrite").parquet(f"{outcomes_dir}/batch={batch_id}")
         rows = accepted_rows(fate, ARTICLES, as_of)
         folder = f"{store_dir}/batch={batch_id}"
         rows.write.mode("overwrite").parquet(folder)

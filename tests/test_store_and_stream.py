@@ -174,6 +174,27 @@ def test_stream_leaves_out_disabled_sources(spark, tmp_path):
     assert values(X.stored_articles(spark, store), "source_name") == ["B"]
 
 
+def test_a_stream_tells_what_became_of_every_entry(spark, tmp_path):
+    (tmp_path / "feeds" / "source_name=A").mkdir(parents=True)
+    whole = feed(item(1, "one"), item(2, "one"), item(3, "two").replace("<title>", "<x>").replace("</title>", "</x>"))
+    for name, text in (("a.xml", whole), ("b.xml", whole[: whole.rindex("</item>")]), ("c.xml", "<html/>")):
+        (tmp_path / "feeds" / "source_name=A" / name).write_text(text)
+    store, feeds, told = (str(tmp_path / name) for name in ("store", "feeds", "told"))
+    X.create_stream_store(spark, store)
+    files = X.payload_files(spark, feeds)
+    X.ingest_stream(files, store, str(tmp_path / "p"), AS_OF, outcomes_dir=told).awaitTermination()
+    rows = spark.read.parquet(told)
+    assert sorted(values(rows.groupBy("outcome", "reject_reason").count(), "outcome", "reject_reason", "count"), key=str) == [
+        ("accepted", None, 1),
+        ("duplicate", "duplicate:batch", 3),
+        ("entry_rejected", "missing_title", 1),
+        ("payload_error", "malformed", 1),
+        ("payload_error", "unknown_format", 1),
+    ]
+    assert rows.filter("outcome = 'payload_error' and position is null").count() == 2
+    assert values(X.stored_articles(spark, store), "content") == ["one"]
+
+
 def test_runs_share_a_folder_of_answers_and_log_their_calls(spark, tmp_path):
     root, path = str(tmp_path / "store"), str(tmp_path / "answers")
     S.create_store(spark, root)
