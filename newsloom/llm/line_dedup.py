@@ -4,8 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import settle
-from newsloom.llm.frames import cleared
+from newsloom.llm.frames import BROADCAST_ROWS, bounded, cleared
 from newsloom.llm.text import lower_ascii, trimmed
+from newsloom.operators.keys import attach
+from newsloom.sources.store import staged
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -45,12 +47,29 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     return rows.groupBy("a", "b").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _of_common(each: DataFrame, common: DataFrame, most: int) -> DataFrame:
+    """The rows of ``each`` whose hash is in ``common``, a written table.
+
+    Up to ``most`` common hashes, counted first, go to the lines, so that no line is shuffled. Beyond that lines go
+    to the hashes, each hash's lines dealt into cells, since the line of all documents is as many rows as there are documents.
+    """
+    hashes = bounded(common, most)
+    if hashes is not common:
+        return each.join(hashes, ["a", "b"], "left_semi")
+    key = F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("_hash")
+    met = attach(each.select("*", key), common.select(key), "_hash", "_row_a", how="inner")
+    return met.drop("_hash")
+
+
+def drop_common_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``.
 
     Lines are exploded as (row, position, hash), met with the common hashes, and the
     positions to drop go back to their row, whose other lines are joined by position; line
-    texts themselves are never exploded.
+    texts themselves are never exploded. ``broadcast_rows`` says up to how many common hashes go to the lines instead of
+    the lines to them; the result is the same.
 
     * A null or empty text is one empty line, which has no key and stays.
     * Every row counts as a document of its own, also rows that are equal in all columns.
@@ -59,11 +78,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     * An empty table gives an empty table.
     """
     docs = cleared(docs, "kept_text", "n_lines", "n_dropped", "_row_a", "_row_b", "_drop", "_lines")
-    common = common_lines(docs, min_docs, min_chars).select("a", "b")
+    common = staged(common_lines(docs, min_docs, min_chars).select("a", "b"))
     keyed = _keyed(docs)
     each = keyed.select("_row_a", "_row_b", F.posexplode(F.transform(_lines(), _hashed)).alias("_pos", "_x"))
     each = each.select("_row_a", "_row_b", "_pos", F.col("_x.a").alias("a"), F.col("_x.b").alias("b"))
-    dropped = each.join(common, ["a", "b"], "left_semi")
+    dropped = _of_common(each, common, broadcast_rows)
     per_row = dropped.groupBy("_row_a", "_row_b").agg(F.collect_set("_pos").alias("_drop"))
     # Texts are split after the join, so that they are shuffled once and not beside their lines.
     joined = settle(keyed.join(per_row, ["_row_a", "_row_b"], "left"), [*docs.columns, "_drop"], _lines=_lines())
