@@ -12,7 +12,11 @@ WEIGHTS = (1, 2, 3)
 SEED = "mix"
 DIGITS = 3
 LEVELS = 4
-MADE = "size lot source_size target copies taken _source _whole _cut _copy".split()
+PASSES = 2
+FILLS = 4
+_BORDERS = [(f"_most{n}", f"_to{n}") for n in range(PASSES)]
+MADE = ["size", "lot", "source_size", "target", "copies", "taken", "_source", "_whole", "_extra", "_copy"]
+MADE += [name for border in _BORDERS for name in border]
 
 
 def text_size(text: Column) -> Column:
@@ -80,64 +84,113 @@ def _same_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(facts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
+def _border(lots: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` (``source, _left, _from`` and more) with ``_to``: how far in the order of lots the words left go.
+
+    Looked at are rows after ``_from`` that have at most ``_left`` words; those up to ``_to`` have so many together.
+    Rows with one lot are taken together.
+
+    The border is found by digits of the lot: words per first digits, then, within the digits
+    where the border lies, per next digits, and so on. Only what shares all the digits of a border
+    is ordered in one task.
+    """
+    in_source = Window.partitionBy("source").orderBy("_part")
+    facts = ["source", "_left", "_from"]
+    at = state.select(*facts, F.lit(0).cast("long").alias("_before"), F.lit("").alias("_cut"))
+
+    def inside() -> DataFrame:
+        fits = (F.col("lot") > F.col("_from")) & (F.col("size") <= F.col("_left"))
+        return _same_source(lots, at).filter(fits & F.col("lot").startswith(F.col("_cut")))
+
+    for level in range(LEVELS):
+        at = staged(at)
+        part = F.substring("lot", 1 + DIGITS * level, DIGITS)
+        words = inside().groupBy("source", part.alias("_part")).agg(
+            F.sum("size").alias("_words"), *[F.first(c).alias(c) for c in [*facts[1:], "_before", "_cut"]]
+        )
+        upto = words.withColumn("_upto", F.col("_before") + F.sum("_words").over(in_source))
+        past = upto.filter(F.col("_upto") > F.col("_left"))
+        place = F.struct("_part", (F.col("_upto") - F.col("_words")).alias("before"))
+        at = past.groupBy(*facts, F.col("_cut").alias("_so_far")).agg(F.min_by(place, "_part").alias("_at"))
+        at = at.select(*facts, F.col("_at.before").alias("_before"), F.concat("_so_far", "_at._part").alias("_cut"))
+    at = staged(at)
+    last = inside().groupBy("source", F.col("lot").alias("_part")).agg(
+        F.sum("size").alias("_words"), F.first("_before").alias("_before"), F.first("_left").alias("_left")
+    )
+    upto = F.col("_before") + F.sum("_words").over(in_source)
+    fitting = last.withColumn("_upto", upto).filter(F.col("_upto") <= F.col("_left"))
+    ends = fitting.groupBy(F.col("source").alias("_source")).agg(F.max("_part").alias("_end"))
+    found = at.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left")
+    found = found.select(F.col("source").alias("_source"), F.coalesce("_end", "_cut").alias("_to"))
+    # Where no border was found, all rows looked at fit. Lots are hexadecimal, so all come before a tilde.
+    beyond = F.when(F.col("_left") > 0, F.lit("~")).otherwise(F.col("_from"))
+    met = state.join(found, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    return met.withColumn("_to", F.coalesce("_to", beyond))
+
+
+def _between(after: Column, upto: str, most: str) -> Column:
+    return (F.col("lot") > after) & (F.col("lot") <= F.col(upto)) & (F.col("size") <= F.col(most))
+
+
+def _chosen() -> Column:
+    """Whether a row beside its source's plan is taken once more for the fraction."""
+    after, chosen = F.lit(""), F.array_contains("_extra", F.col("lot"))
+    for most, upto in _BORDERS:
+        chosen = chosen | _between(after, upto, most)
+        after = F.col(upto)
+    return chosen
+
+
 def plan_mix(
     lots: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS
 ) -> DataFrame:
-    """One row per source for rows of ``source, size, lot``: its target, whole passes and last lot.
+    """One row per source for rows of ``source, size, lot``: its target, whole passes and what is taken once more.
 
-    A source is taken whole as often as its target holds it. Of the fraction left over,
-    those documents are taken once more whose middle word comes before the fraction's last
-    word when the source is read in the order of lots; so its words come within half a document of
-    the target. Rows with one lot are taken together.
+    A source is taken whole as often as its target holds it. Of the fraction left over, documents are
+    taken in the order of lots as long as the next one that fits into the fraction still fits into what is left of it, and
+    from there on, once more, those that fit into what is left. What then remains is less than a document's words: it is filled
+    with the largest documents that fit, three times, and at last with the one that comes closest to
+    it, if the words are nearer to the target with it than without.
 
-    The border in that order is found by digits of the lot: words per first digits, then,
-    within the digits where the border lies, per next digits, and so on. Only what shares all
-    the digits of a border is ordered in one task.
+    So a source of many documents ends at its target or next to it; one of few large texts as near as these steps come.
     """
     filled = targets(lots.select("source", "size"), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = filled.select("source", "source_size", "target", whole.cast("long").alias("_whole"))
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
-    state = state.withColumns({"_quota": rest, "_before": F.lit(0).cast("long"), "_cut": F.lit("")})
-    facts = ["source", "source_size", "target", "_whole", "_quota"]
-    in_source = Window.partitionBy("source").orderBy("_part")
-    for level in range(LEVELS):
+    state = staged(state.withColumns({"_left": rest, "_from": F.lit("")}))
+    for most, upto in _BORDERS:
+        state = staged(_border(lots, state))
+        inside = _same_source(lots, state).filter(_between(F.col("_from"), "_to", "_left"))
+        words = inside.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_words"))
+        state = state.join(words, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        state = state.withColumnsRenamed({"_left": most, "_to": upto})
+        left = F.col(most) - F.coalesce("_words", F.lit(0))
+        state = staged(state.withColumns({"_left": left, "_from": F.col(upto)}).drop("_words"))
+    state = state.drop("_from").withColumn("_extra", F.array().cast("array<string>"))
+    for fill in range(FILLS):
         state = staged(state)
-        inside = _same_source(lots.select("source", "size", "lot"), state)
-        inside = inside.filter(F.col("lot").startswith(F.col("_cut")))
-        part = F.substring("lot", 1 + DIGITS * level, DIGITS)
-        words = inside.groupBy("source", part.alias("_part")).agg(
-            F.sum("size").alias("_words"), *[F.first(c).alias(c) for c in [*facts[1:], "_before", "_cut"]]
-        )
-        upto = words.withColumn("_upto", F.col("_before") + F.sum("_words").over(in_source))
-        past = upto.filter(F.col("_upto") > F.col("_quota"))
-        at = past.groupBy(*facts, F.col("_cut").alias("_so_far")).agg(
-            F.min_by(F.struct("_part", (F.col("_upto") - F.col("_words")).alias("before")), "_part").alias("_at")
-        )
-        state = at.select(
-            *facts, F.col("_at.before").alias("_before"), F.concat("_so_far", "_at._part").alias("_cut")
+        closest = fill == FILLS - 1
+        # What is closest to the words left without being twice as many is nearer to them than nothing.
+        fits = F.col("size") < 2 * F.col("_left") if closest else F.col("size") <= F.col("_left")
+        rows = _same_source(lots, state).filter((F.col("size") > 0) & fits & ~_chosen())
+        units = rows.groupBy("source", "lot").agg(F.sum("size").alias("size"), F.first("_left").alias("_left"))
+        rank = -F.abs(F.col("size") - F.col("_left")) if closest else F.col("size")
+        best = units.filter(fits).groupBy(F.col("source").alias("_source")).agg(
+            F.max(F.struct(rank.alias("rank"), "lot", "size")).alias("_best")
         )
-    state = staged(state)
-    inside = _same_source(lots.select("source", "size", "lot"), state)
-    last = inside.filter(F.col("lot").startswith(F.col("_cut"))).groupBy("source", F.col("lot").alias("_part")).agg(
-        F.sum("size").alias("_words"), F.first("_before").alias("_before"), F.first("_quota").alias("_quota")
-    )
-    middle = F.col("_before") + F.sum("_words").over(in_source) - F.col("_words") / 2
-    taken = last.withColumn("_middle", middle).filter(F.col("_middle") <= F.col("_quota"))
-    cuts = taken.groupBy(F.col("source").alias("_source")).agg(F.max("_part").alias("_last"))
-    found = state.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
-    found = found.select("source", F.coalesce("_last", "_cut").alias("_cut"))
-    everything = filled.select("source", "source_size", "target", whole.cast("long").alias("_whole"))
-    found = found.withColumnRenamed("source", "_source")
-    planned = everything.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
-    # No lot comes before the empty string: a source without words is not taken.
-    return staged(planned.select(*facts[:4], F.coalesce("_cut", F.lit("")).alias("_cut")))
+        state = state.join(best, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        more = F.when(F.col("_best").isNotNull(), F.array("_best.lot")).otherwise(F.array().cast("array<string>"))
+        state = state.withColumns(
+            {"_extra": F.concat("_extra", more), "_left": F.col("_left") - F.coalesce("_best.size", F.lit(0))}
+        ).drop("_best")
+    return staged(state.drop("_left"))
 
 
 def with_copies(lots: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with their source's ``source_size`` and ``target`` and with ``copies``, how often the mix takes them."""
-    copies = F.col("_whole") + (F.col("lot") <= F.col("_cut")).cast("long")
-    return _same_source(lots, plan).withColumn("copies", copies).drop("_whole", "_cut")
+    made = ["_whole", "_extra", *[name for border in _BORDERS for name in border]]
+    return _same_source(lots, plan).withColumn("copies", F.col("_whole") + _chosen().cast("long")).drop(*made)
 
 
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:

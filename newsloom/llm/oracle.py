@@ -1,7 +1,7 @@
 """DuckDB twins of the registered queries that SQL can express."""
 
 from newsloom.llm import line_quality as q
-from newsloom.llm.mixing import MAX_EPOCHS, SEED
+from newsloom.llm.mixing import FILLS, MAX_EPOCHS, PASSES, SEED
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -14,6 +14,48 @@ def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(line, {_quoted(pattern)}))"
 
 
+def _passes() -> str:
+    """Twice: the rows after the last border that fit into the words left, as far as these go."""
+    return "".join(
+        f"""), reach{n} as (
+  select u.source, u.lot, any_value(l.rest) as rest,
+    sum(sum(u.size)) over (partition by u.source order by u.lot rows unbounded preceding) as upto
+  from sized u join left{n} l on u.source is not distinct from l.source
+  where u.lot > l.border and u.size <= l.rest group by u.source, u.lot
+), border{n} as (
+  select source, max(lot) as border, max(upto) as words from reach{n} where upto <= rest group by source
+), left{n + 1} as (
+  select l.source, l.source_size, l.target, l.whole, l.rest - coalesce(b.words, 0) as rest, coalesce(b.border, l.border) as border
+  from left{n} l left join border{n} b on l.source is not distinct from b.source
+"""
+        for n in range(PASSES)
+    )
+
+
+def _fills() -> str:
+    """What is not taken yet, and from it the largest document that fits; at last the one that comes closest."""
+    once = " or ".join(
+        f"(s.lot > l{n}.border and s.lot <= l{n + 1}.border and s.size <= l{n}.rest)" for n in range(PASSES)
+    )
+    joins = " ".join(f"join left{n} l{n} on s.source is not distinct from l{n}.source" for n in range(PASSES + 1))
+    steps = f"""), open0 as (
+  select s.*, l{PASSES}.rest, {once} as once from sized s {joins}
+"""
+    for n in range(FILLS):
+        closest = n == FILLS - 1
+        fits, order = ("size < 2 * rest", "abs(size - rest)") if closest else ("size <= rest", "size desc")
+        steps += f"""), unit{n} as (
+  select source, lot, sum(size)::bigint as size, any_value(rest) as rest from open{n}
+  where not once and size > 0 and {fits} group by source, lot
+), best{n} as (
+  select * from unit{n} where {fits} qualify row_number() over (partition by source order by {order}, lot desc) = 1
+), open{n + 1} as (
+  select o.doc_id, o.source, o.size, o.lot, o.rest - coalesce(b.size, 0) as rest, o.once or coalesce(o.lot = b.lot, false) as once
+  from open{n} o left join best{n} b on o.source is not distinct from b.source
+"""
+    return steps
+
+
 # Round n of the pouring: the level with what the rounds before have clamped taken out.
 OP4 = f"""
 with recursive sized as (
@@ -40,16 +82,13 @@ with recursive sized as (
   select source, source_size, least(weight * level, source_size * {MAX_EPOCHS})::double as target from ranked, settled
 ), quotas as (
   select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from filled
-), units as (
-  select source, lot, sum(size)::bigint as size from sized group by source, lot
-), placed as (
-  select u.source, u.lot, q.source_size, q.target, q.whole,
-    sum(u.size) over (partition by u.source order by u.lot rows unbounded preceding) - u.size / 2.0 as middle
-  from units u join quotas q on u.source is not distinct from q.source
+), left0 as (
+  select *, target - whole * source_size as rest, '' as border from quotas
+{_passes()}
+{_fills()}
 )
-select s.doc_id, s.size, p.source_size, p.target,
-  (s.size * (p.whole + (p.middle <= p.target - p.whole * p.source_size)::int))::bigint as taken
-from sized s join placed p on s.lot = p.lot and s.source is not distinct from p.source
+select s.doc_id, s.size, q.source_size, q.target, (s.size * (q.whole + s.once::int))::bigint as taken
+from open{FILLS} s join quotas q on s.source is not distinct from q.source
 """
 
 OP5 = f"""

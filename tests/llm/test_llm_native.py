@@ -95,11 +95,31 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
         taken[r.source] += r.taken
         assert r.taken <= 3 * r.size
     for r in got:
-        assert abs(taken[r.source] - r.target) <= 180
+        assert abs(taken[r.source] - r.target) <= 0.02 * r.target
     again = Counter(x.doc_id for x in mix(frame.repartition(7)).collect())
     assert again == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mix_of_few_large_texts_ends_near_its_targets(spark, tmp_path):
+    """Sources of a dozen texts of very different sizes, one with an id that comes twice."""
+    sizes = [4000, 2500, 1900, 700, 400, 260, 130, 60, 31, 17, 9, 4]
+    rows = [(100 * s + i, "w " * n, "en", f"s{s}", 0) for s in range(6) for i, n in enumerate(sizes) if (s + i) % 7]
+    rows += [(100, "w " * 90, "en", "s1", 0), (None, "w w", "en", "s2", 0), (None, None, "en", "s3", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got, taken = mixed_sizes(frame).collect(), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    for source in {r.source for r in got}:
+        rows = [r for r in got if r.source == source and r.size]
+        left = min((r.size for r in rows if r.copies == min(x.copies for x in rows)), default=0)
+        # A source ends off its target only where the documents not taken once more are too large for what is missing.
+        gap = abs(taken[source] - rows[0].target)
+        assert gap <= 0.02 * rows[0].target or 2 * gap <= left
+    test_twin_over_odd_rows(spark, str(tmp_path), op4_mix_sources, oracle.OP4)
+
+
 def test_kept_digest_is_of_utf8(spark, odd_dir):
     got = {r.doc_id: r.kept_sha256 for r in op9_line_dedup(spark, odd_dir).collect()}
     assert got[8] == hashlib.sha256("Ärger über ÉTÉ\nund noch eine Zeile.\n\n".encode()).hexdigest()
