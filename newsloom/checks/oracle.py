@@ -688,3 +688,13 @@ ORACLE = {
         UNION ALL
         SELECT DISTINCT content_hash, false FROM articles WHERE content_hash NOT IN (SELECT content_hash FROM store)"""),
 }
+
+# What is read through the written store's folders and footers equals what the tables themselves give.
+ORACLE |= {
+    "stored_health": ORACLE["table_health"],
+    "stored_article_counts": ORACLE["article_counts"],
+    "stored_translation_counts": ORACLE["translations_by_language"],
+    "recent_stored_briefs": ORACLE["recent_briefs"],
+    "recent_stored_translations": ORACLE["recent_translations"],
+    "stored_article_by_id": ORACLE["article_by_id"],
+}

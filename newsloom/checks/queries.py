@@ -16,11 +16,11 @@ from newsloom.plans import article_feed as feed
 from newsloom.plans import editorial
 from newsloom.plans.ingest import articles_of, collect_articles, deliver, ingest, outcomes
 from newsloom.reference_data import SOURCES, SUMMARY_WORDS, TOP_STORIES
-from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TRANSLATIONS
-from newsloom.sources import feeds
+from newsloom.schemas import API_LOGS, ARTICLES, BRIEFS, TABLES, TRANSLATIONS
+from newsloom.sources import feeds, footers
 from newsloom.sources import registry as sources
 from newsloom.sources.key_index import history_indexes
-from newsloom.sources.store import read_table, shared_folder, staged
+from newsloom.sources.store import create_store, read_table, shared_folder, staged, write_table
 from newsloom.streaming.incremental import (
     create_stream_store,
     ingest_stream,
@@ -358,6 +358,54 @@ def table_health(spark, sf):
     return reports.table_health(S.Stored(spark, sf).tables())
 
 
+def _written_store(spark, sf, *names):
+    """The store of the tables named, or of all; the others are made and stay empty."""
+    root, made = shared_folder(spark), S.Stored(spark, sf)
+    create_store(spark, root)
+    rows = {name: getattr(made, name) for name in names} if names else made.tables()
+    for name, table in rows.items():
+        optional = [F.lit(None).alias(c) for c in TABLES[name].columns if c not in table.columns]
+        write_table(table.select("*", *optional), root, TABLES[name])
+    return root
+
+
+@query
+def stored_health(spark, sf):
+    """Row counts of the written store, from file footers."""
+    return footers.stored_health(spark, _written_store(spark, sf))
+
+
+@query
+def stored_article_counts(spark, sf):
+    return footers.stored_article_counts(spark, _written_store(spark, sf, "articles"))
+
+
+@query
+def stored_translation_counts(spark, sf):
+    return footers.stored_translation_counts(spark, _written_store(spark, sf, "translations"))
+
+
+@query
+def recent_stored_briefs(spark, sf):
+    """The newest briefs, found by going back through the day folders."""
+    rows = footers.newest_stored(spark, _written_store(spark, sf, "briefs"), BRIEFS, 50)
+    return rows.select("id", "title", "summary_30", "processed_at")
+
+
+@query
+def recent_stored_translations(spark, sf):
+    root = _written_store(spark, sf, "translations")
+    rows = footers.newest_stored(spark, root, TRANSLATIONS, 50, language="or")
+    return rows.select("id", "brief_id", "title", "translated_at")
+
+
+@query
+def stored_article_by_id(spark, sf):
+    """One article, looked up in the written store, whose files are sorted by id and carry Bloom filters."""
+    rows = read_table(spark, _written_store(spark, sf, "articles"), ARTICLES)
+    return lookups.by_id(rows, _first_id(rows))
+
+
 @query
 def dedup_stats(spark, sf):
     return dedup.dedup_stats(dedup.mark_duplicates(S.batch(spark, sf), S.store(spark, sf)))
