@@ -610,6 +610,12 @@ ORACLE = {
         FROM parsed WHERE reject_reason IS NULL AND {caps("english_")}""",
         *parsed_ctes(combined_fields(), "article_id"),
     ),
+    "combined_scored_briefs": sql(
+        f"""
+        SELECT 'brief_' || p.id AS id, p.id AS article_id, s.quality_score
+        FROM parsed p JOIN scored s ON s.id = p.id WHERE p.reject_reason IS NULL AND {caps("p.english_")}""",
+        *parsed_ctes(combined_fields(), "article_id"),
+    ),
     "summary_length_check": sql(
         "SELECT id, "
         + ", ".join(f"CAST(len({words(c)}) AS INTEGER) AS words_{n}, abs(len({words(c)}) - {n}) <= 5 AS ok_{n}" for c, n in SUMMARY_WORDS.items())

@@ -654,6 +654,15 @@ def combined_outputs(spark, sf):
     return _pair(inference.combined_outputs(parsed, "or", S.MODEL, S.AS_OF))
 
 
+@query
+def combined_scored_briefs(spark, sf):
+    """Briefs of combined answers with the quality of their articles as their score."""
+    parsed = _parsed(S.labelled_briefs(spark, sf), combined_fields())
+    scores = selection.score_articles(S.articles(spark, sf), S.AS_OF, keep=selection.NARROW)
+    out = inference.combined_outputs(parsed, "or", S.MODEL, S.AS_OF, scores=scores)
+    return inference.combined_briefs(out).select("id", "article_id", "quality_score")
+
+
 @query
 def summary_length_check(spark, sf):
     return publication.summary_length_check(S.briefs(spark, sf))

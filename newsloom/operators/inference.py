@@ -241,6 +241,14 @@ def parsed_combined(responses: DataFrame, target: str = "target") -> DataFrame:
 # --- rows for the stores -------------------------------------------------------------
 
 
+def _with_quality(parsed: DataFrame, scores: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Parsed answers, and the column that holds each one's score: its article's, or else the placeholder."""
+    if scores is None:
+        return parsed, F.lit(PLACEHOLDER_QUALITY)
+    met = parsed.join(scores.select("id", F.col("quality_score").alias("_quality")), "id", "left")
+    return met, F.coalesce("_quality", F.lit(PLACEHOLDER_QUALITY))
+
+
 def briefs_from_summaries(
     parsed: DataFrame, model: str, as_of: datetime, scores: DataFrame | None = None
 ) -> DataFrame:
@@ -248,11 +256,7 @@ def briefs_from_summaries(
 
     The score is the fixed placeholder unless ``scores`` (id, quality_score) is given.
     """
-    good = parsed.filter(F.col("reject_reason").isNull())
-    quality = F.lit(PLACEHOLDER_QUALITY)
-    if scores is not None:
-        good = good.join(scores.select("id", "quality_score"), "id", "left")
-        quality = F.coalesce("quality_score", quality)
+    good, quality = _with_quality(parsed.filter(F.col("reject_reason").isNull()), scores)
     briefs = good.select(
         F.concat(F.lit("brief_"), "id").alias("id"),
         F.col("id").alias("article_id"),
@@ -286,10 +290,19 @@ def translations_from_briefs(
 
 
 def combined_outputs(
-    parsed: DataFrame, language: str, model: str, as_of: datetime, target: str = "target"
+    parsed: DataFrame,
+    language: str,
+    model: str,
+    as_of: datetime,
+    target: str = "target",
+    scores: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per accepted response with a ``brief`` and a ``translation`` struct: both or neither."""
+    """One row per accepted response with a ``brief`` and a ``translation`` struct: both or neither.
+
+    The score is the fixed placeholder unless ``scores`` (id, quality_score; one row per article) is given.
+    """
     at = ntz(as_of)
+    accepted, quality = _with_quality(parsed.filter(F.col("reject_reason").isNull()), scores)
     brief_id = F.concat(F.lit("brief_"), F.col("id"))
     brief = F.struct(
         brief_id.alias("id"),
@@ -297,7 +310,7 @@ def combined_outputs(
         F.col("english_title").alias("title"),
         *[F.col(f"english_{n}").alias(f"summary_{n}") for n in ("30", "111", "250")],
         F.lit(DEFAULT_CATEGORY).alias("category"),
-        F.lit(PLACEHOLDER_QUALITY).alias("quality_score"),
+        quality.alias("quality_score"),
         F.lit(model).alias("model_used"),
         at.alias("processed_at"),
     )
@@ -310,9 +323,7 @@ def combined_outputs(
         F.lit(model).alias("model_used"),
         at.alias("translated_at"),
     )
-    pairs = parsed.filter(F.col("reject_reason").isNull()).select(
-        brief.alias("brief"), translation.alias("translation")
-    )
+    pairs = accepted.select(brief.alias("brief"), translation.alias("translation"))
     briefs_ok = F.size(broken_rules(BRIEFS)) == 0
     return (
         pairs.select("brief.*", "translation")

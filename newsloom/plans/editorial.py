@@ -105,10 +105,14 @@ def append_logs(logs: DataFrame, root: str, as_of: datetime) -> None:
     append_accepted(fate, root, API_LOGS, as_of)
 
 
-def _with_texts(selected: DataFrame, articles: DataFrame, count: int) -> DataFrame:
-    """Selected stories with their texts. Written out first, so the articles are scored once."""
-    picked = staged(selected.select("id", "published_at"))
-    return with_bodies(picked, articles, ["source_name", *_BODY], count, within="published_at")
+def _picked(selected: DataFrame) -> DataFrame:
+    """Selected stories, written out, so that the articles are scored once for texts and scores."""
+    return staged(selected.select("id", "published_at", "quality_score"))
+
+
+def _with_texts(picked: DataFrame, articles: DataFrame, count: int) -> DataFrame:
+    """Picked stories with their texts."""
+    return with_bodies(picked.select("id", "published_at"), articles, ["source_name", *_BODY], count, within="published_at")
 
 
 def combined_run(
@@ -123,6 +127,7 @@ def combined_run(
     answers_path: str | None = None,
     newest: int | None = None,
     logs_root: str | None = None,
+    computed_score: bool = False,
     **options,
 ) -> DataFrame:
     """Select, ask once per article, and split each answer into a brief and a translation.
@@ -130,13 +135,15 @@ def combined_run(
     The answers are written out before anything reads them. With ``answers_path`` they are
     kept there, and a later run with the same path asks only for what is missing. ``newest`` starts from
     the most recent articles only. With ``logs_root``, every call made goes to that store's usage log, as a
-    summary, which is what such a call replaces.
+    summary, which is what such a call replaces. With ``computed_score``, a brief gets its article's quality instead of
+    the placeholder.
     """
-    selected = select_stories(articles, as_of, briefs, min_score, count, newest)
-    stories = _with_texts(selected, articles, count)
+    picked = _picked(select_stories(articles, as_of, briefs, min_score, count, newest))
+    stories = _with_texts(picked, articles, count)
     where = (answers_path, logs_root, count)
     answers = _ask(combined_prompts(stories, language), fn, "summarize", model, as_of, *where, **options)
-    return combined_outputs(parsed_combined(answers.filter("success")), language, model, as_of)
+    scores = picked if computed_score else None
+    return combined_outputs(parsed_combined(answers.filter("success")), language, model, as_of, scores=scores)
 
 
 def summarise_then_translate(
@@ -150,15 +157,17 @@ def summarise_then_translate(
     answers_path: str | None = None,
     newest: int | None = None,
     logs_root: str | None = None,
+    computed_score: bool = False,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """The two-call way: briefs first, then a translation of each brief."""
     paths = (None, None) if answers_path is None else (f"{answers_path}/s", f"{answers_path}/t")
-    selected = select_stories(articles, as_of, min_score=min_score, count=count, newest=newest)
-    stories = _with_texts(selected, articles, count)
+    picked = _picked(select_stories(articles, as_of, min_score=min_score, count=count, newest=newest))
+    stories = _with_texts(picked, articles, count)
     where = (paths[0], logs_root, count)
     answers = _ask(summary_prompts(stories), fn, "summarize", model, as_of, *where, **options)
-    briefs = briefs_from_summaries(parsed_summaries(answers.filter("success")), model, as_of)
+    scores = picked if computed_score else None
+    briefs = briefs_from_summaries(parsed_summaries(answers.filter("success")), model, as_of, scores)
     where = (paths[1], logs_root, count)
     answers = _ask(translation_prompts(briefs, language), fn, "translate", model, as_of, *where, **options)
     translations = translations_from_briefs(

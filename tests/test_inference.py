@@ -183,6 +183,10 @@ def test_combined_gives_both_or_neither(spark):
     assert values(translated, "id") == ["trans_brief_a0_or", "trans_brief_a3_or"]
     assert values(made, "title", "summary_30")[0] == ("english_title", "english_30")
     assert values(translated, "brief_id", "title", "summary_250")[0] == ("brief_a0", "target_title", "target_250")
+    assert set(values(made, "quality_score")) == {0.8}
+    scores = spark.createDataFrame([("a0", 0.94), ("a7", 0.1)], "id string, quality_score double")
+    scored = I.combined_briefs(I.combined_outputs(parsed, "or", "m", AS_OF, scores=scores))
+    assert dict(values(scored, "id", "quality_score")) == {"brief_a0": 0.94, "brief_a3": 0.8}
 
 
 def test_runs_end_to_end(spark, tmp_path):
