@@ -1,15 +1,18 @@
 """Prompts out, responses in: the set-level steps around a caller-supplied function."""
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from sys import getsizeof
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import prompts as P
+from newsloom.functions.batches import small_batches
 from newsloom.functions.once import settle
 from newsloom.functions.responses import (
     SUMMARY_FIELDS,
@@ -67,6 +70,10 @@ RESPONSE_SCHEMA = (
 # ``prompt_key`` stands for id, whole prompt and purpose; ``asked`` is when the call began, in nanoseconds.
 ANSWER_SCHEMA = f"{RESPONSE_SCHEMA}, prompt_key string, asked long"
 _ANSWER = [field.split()[0] for field in ANSWER_SCHEMA.split(", ")]
+# Calls begun beyond the oldest that is still waited for, per call under way, so that a slow one keeps no other waiting.
+CALLS_AHEAD = 64
+# Answers leave a worker some megabytes at a time, as prompts enter it, however much longer than those they are.
+FRAME_BYTES, FRAME_ROWS = 4 << 20, 10_000
 
 
 def _prompt_key(purpose: str) -> Column:
@@ -89,11 +96,12 @@ def complete_batch(
     ``parallel_calls`` sets the number of tasks; without it the prompts stay in the tasks they are in.
     Each task has ``calls_per_task`` calls under way at a time. ``wait_seconds`` are the first and the
     longest pause between attempts, which double in between. A lost executor repeats the
-    calls of its task, so tasks should be small; ``complete_once`` keeps finished ones.
+    calls of its task, so tasks should be small; ``complete_once`` keeps finished ones. A worker holds a few
+    megabytes of prompts and of answers at a time, whatever the size of its task.
     """
     first_wait, longest_wait = wait_seconds
 
-    def answer(prompt: str) -> tuple[str | None, bool, str | None, int, int, int]:
+    def answer(row_id: str, prompt: str, prompt_key: str) -> tuple:
         asked = time.time_ns()
         for attempt in range(1, attempts + 1):
             started = time.monotonic()
@@ -105,18 +113,35 @@ def complete_batch(
             if error is None or attempt == attempts:
                 break
             time.sleep(min(longest_wait, first_wait * 2 ** (attempt - 1)))
-        return text, error is None, error, attempt, latency, asked
+        return row_id, text, error is None, error, attempt, latency, prompt_key, asked
+
+    def answered(batches: Iterator[pd.DataFrame], callers: ThreadPoolExecutor) -> Iterator[tuple]:
+        begun = deque()
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                begun.append(callers.submit(answer, *row))
+                if len(begun) > most_begun:
+                    yield begun.popleft().result()
+        while begun:
+            yield begun.popleft().result()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["response", "success", "error_message", "attempts", "latency_ms", "asked"]
-        with ThreadPoolExecutor(calls_per_task) as callers:
-            for batch in batches:
-                answers = pd.DataFrame(list(callers.map(answer, batch["prompt"])), columns=names)
-                for column in ("id", "prompt_key"):
-                    answers[column] = batch[column].to_numpy()
-                yield answers[names_in_order]
-
-    names_in_order = _ANSWER
+        callers = ThreadPoolExecutor(calls_per_task)
+        try:
+            rows, size = [], 0
+            for row in answered(batches, callers):
+                rows.append(row)
+                size += getsizeof(row[1]) + getsizeof(row[3])
+                if size >= FRAME_BYTES or len(rows) == FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=names_in_order)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names_in_order)
+        finally:
+            callers.shutdown(cancel_futures=True)
+
+    names_in_order, most_begun = _ANSWER, calls_per_task * CALLS_AHEAD
+    small_batches(prompts)
     narrow = prompts.select("id", "prompt", _prompt_key(purpose).alias("prompt_key"))
     if parallel_calls is not None:
         narrow = narrow.repartition(parallel_calls)

@@ -1,11 +1,13 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from conftest import AS_OF, article, articles, brief, briefs, translation, translations, values
 from pyspark.sql import functions as F
 
 from newsloom.checks import stub
+from newsloom.functions.batches import BATCH_BYTES
 from newsloom.functions.responses import SUMMARY_FIELDS, combined_fields
 from newsloom.operators import inference as I
 from newsloom.operators import publication as P
@@ -155,6 +157,42 @@ def test_calls_of_a_task_run_side_by_side(spark):
     assert time.monotonic() - started < 2.5
 
 
+def test_a_task_holds_few_answers_at_a_time(spark):
+    class Answer(str):
+        held = 0
+
+        def __del__(self):
+            Answer.held -= 1
+
+    def fn(prompt):
+        Answer.held += 1
+        return Answer(f"{Answer.held} {prompt} " + "x" * 100_000)
+
+    answers = I.complete_batch(prompts(spark, *map(str, range(1000))), fn, parallel_calls=1, **QUICK)
+    said = [(i, *r.split()) for i, r in values(answers.withColumn("response", F.left("response", F.lit(20))), "id", "response")]
+    assert sorted(i for i, *_ in said) == sorted(f"a{prompt}" for _, _, prompt, *_ in said) == sorted(f"a{n}" for n in range(1000))
+    assert all(i == f"a{prompt}" for i, _, prompt, *_ in said)
+    assert max(int(held) for _, held, *_ in said) < 300
+
+
+@pytest.mark.parametrize("wanted,most", [(None, 5_000_000), ("1m", 2_000_000)])
+def test_prompts_reach_a_worker_some_megabytes_at_a_time(spark, wanted, most):
+    own = spark.newSession()
+    if wanted:
+        own.conf.set(BATCH_BYTES, wanted)
+    long = F.concat(F.col("id"), F.lit(" "), F.repeat(F.lit("x"), F.lit(100_000)))
+    asked = own.range(0, 300, 1, 1).select(F.concat(F.lit("a"), "id").alias("id")).withColumn("prompt", long)
+
+    def chars(batches):
+        for batch in batches:
+            yield pd.DataFrame({"chars": [batch["prompt"].str.len().sum()]})
+
+    answers = I.complete_batch(asked, lambda p: p.split()[0], calls_per_task=8, **QUICK)
+    assert values(answers, "id", "response") == [(f"a{n}", f"a{n}") for n in range(300)]
+    read = values(asked.mapInPandas(chars, "chars long"), "chars")
+    assert sum(read) > 30_000_000 and max(read) < most
+
+
 def test_briefs_and_translations_from_parsed(spark):
     long = json.dumps({**TEXTS, "summary_30": "x" * 301})
     title = json.dumps({**TEXTS, "summary_30": "y" * 200})
