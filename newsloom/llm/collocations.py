@@ -1,8 +1,6 @@
 """Phrase collocations: candidates level by level, exact counts by double-array tries."""
 
 import hashlib
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.bytewords import Words, mixed, pieces, windows, words_of
-from newsloom.llm.double_array import NONE, ROOT, DoubleArray, build
+from newsloom.llm.double_array import NONE, ROOT, build
 from newsloom.llm.frames import small_batches
 from newsloom.operators.keys import attach
 from newsloom.sources.store import staged
@@ -27,7 +25,13 @@ BLOCK_PHRASES = 200_000
 # One bit per hash of a frequent phrase, in a table that is as large for any input.
 TABLE_BITS = 27
 PACK_BITS = 16
-KEYS_AT_ONCE = 1_000_000
+# Keys that a task holds before it gives them out; windows, which are wider, are a quarter of it.
+KEYS_AT_ONCE = 1 << 22
+# Words of the texts for one bucket of keys, and keys or windows that are sent at a time.
+BUCKET_WORDS = 1_000_000
+# Buckets for one partition of a shuffle, so that partitions are about even.
+BUCKETS = 8
+SENT_AT_ONCE = 1 << 17
 LONGEST_PATH = 16
 
 _PIECE_END = np.zeros(256, bool)
@@ -57,6 +61,31 @@ class Pieces:
         total, at, _ = windows(self.words, size)
         return mixed(total ^ self.seed[self.lang[self.text[at]]]), at
 
+    def may(self, size: int, table: np.ndarray) -> np.ndarray:
+        """Whether a phrase of ``size`` words that may be frequent begins with each word, and False behind the last."""
+        may = np.zeros(len(self.text) + 1, bool)
+        keys, at = self.phrases(size)
+        may[at] = _in_table(table, keys)
+        return may
+
+    def within(self, size: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases of ``size`` words both of whose parts of one word less may be frequent."""
+        may = self.may(size - 1, table)
+        keys, at = self.phrases(size)
+        both = may[at] & may[at + 1]
+        return keys[both], at[both]
+
+    def reach(self, longest: int, table: np.ndarray) -> np.ndarray:
+        """The size of the longest phrase from each word on that may be frequent; less than 2 is none."""
+        size = np.ones(len(self.text), np.int64)
+        may = self.may(1, table) if longest == 2 else None
+        for k in range(2, longest):
+            may = self.may(k, table)
+            size[may[:-1] & (size == k - 1)] = k
+        left = np.repeat(self.words.offsets[1:], np.diff(self.words.offsets)) - np.arange(len(size))
+        size[may[:-1] & may[1:] & (left >= longest)] = longest
+        return size
+
     def joined(self, at: np.ndarray, size: int) -> pa.Array:
         """The phrases of ``size`` words from the words ``at`` on, joined by single spaces, A-Z in lower case."""
         words = (at[:, None] + np.arange(size)).ravel()
@@ -81,102 +110,132 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
         yield Pieces(piece)
 
 
-class Tally:
-    """Counts by key, summed within the task and given out when they are many."""
+def _runs(*ordered: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ in some column from the row before."""
+    n = len(ordered[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for column in ordered:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def _hashed(columns: np.ndarray) -> np.ndarray:
+    total = np.zeros(columns.shape[1], np.uint64)
+    for column in columns:
+        total = mixed(total + column)
+    return total
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes, in the order of these."""
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.held += len(self.parts[-1][0])
-        if self.held > 2 * KEYS_AT_ONCE:
-            self.parts = [self.summed()]
-            self.held = len(self.parts[0][0])
+def _dealt(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows that stand in the order of their buckets, as one row of bytes for each bucket."""
+    for at in range(0, len(bucket), SENT_AT_ONCE):
+        part = bucket[at : at + SENT_AT_ONCE]
+        first = _runs(part)
+        packed = {name: _packed(column[at : at + SENT_AT_ONCE], first) for name, column in columns.items()}
+        yield _rows(bucket=pa.array(part[first].astype(np.int64)), **packed)
 
-    @property
-    def full(self) -> bool:
-        return self.held > KEYS_AT_ONCE and len(self.parts) == 1
 
-    def summed(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _packed(column: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The bytes of the rows from each place of ``first`` to the next."""
+    held = np.ascontiguousarray(column)
+    offsets = (np.r_[first, len(held)] * (held.nbytes // max(len(held), 1))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
 
-    def given_out(self) -> tuple[pa.Array, pa.Array]:
-        keys, counts = self.summed()
-        self.__init__()
-        return pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))
 
+def _gathered(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), kind)
 
-_LEVEL_SCHEMA = "key long, f long, lang string, phrase string, head long, tail long"
 
+_DEALT = pa.schema(
+    [("bucket", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("seed", pa.int64())]
+    + [(name, pa.binary()) for name in ("keys", "counts", "windows", "hashes")]
+    + [("words", pa.string()), ("key", pa.int64()), ("hash", pa.int64()), ("word", pa.string())]
+)
+_DEALT_SCHEMA = (
+    "bucket long, lang string, n long, seed long, keys binary, counts binary, windows binary, hashes binary, "
+    "words string, key long, hash long, word string"
+)
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _DEALT], schema=_DEALT)
+
+
+class Tally:
+    """Keys of a task, given out with their numbers when they are many, a row for each bucket of keys."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.parts: list[np.ndarray] = []
+        self.held = 0
 
-def _row(keys=(), counts=(), langs=(), phrases=(), heads=(), tails=()) -> pa.RecordBatch:
-    n = max(len(keys), len(langs))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-    columns = [
-        c if isinstance(c, pa.Array) else pa.array(c, kind) if len(c) else pa.nulls(n, kind)
-        for c, kind in zip((keys, counts, langs, phrases, heads, tails), kinds, strict=True)
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "f", "lang", "phrase", "head", "tail"])
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(keys)
+        self.held += len(keys)
+        if self.held >= KEYS_AT_ONCE:
+            yield from self.given_out()
 
+    def given_out(self) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([*self.parts, np.empty(0, np.uint64)])
+        self.__init__(self.buckets)
+        keys.sort()
+        first = _runs(keys)
+        counts = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+        keys = keys[first]
+        yield from _dealt(_bucket(keys, self.buckets), keys=keys, counts=counts)
 
-def _level(size: int, table, spell: bool, ends: bool):
+
+def _level(size: int, table, buckets: int):
     """Counts by key of phrases of ``size`` words both of whose parts of one word less may be frequent.
 
-    ``table`` has the bits of these parts. With ``spell`` their words are given out with their keys, once per task; with
-    ``ends`` each new key comes once per task with the keys of its parts. For single words,
-    every word is counted, and the words of each language.
+    ``table`` has the bits of these parts. For single words, every word is counted, and the words of each language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, total = Tally(), {}
-        known, known_ends = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        tally, total = Tally(buckets), {}
         for piece in _pieces(batches):
             if size == 1:
-                keys, at = piece.phrases(1)
                 langs = np.bincount(piece.lang[piece.text], minlength=len(piece.langs))
                 for lang, n in zip(piece.langs, langs.tolist(), strict=True):
                     total[lang] = total.get(lang, 0) + n
-            else:
-                part, at = piece.phrases(size - 1)
-                hit = _in_table(table.value, part)
-                part, at = part[hit], at[hit]
-                may, part_at = np.zeros(len(piece.text) + 1, bool), np.zeros(len(piece.text) + 1, np.uint64)
-                may[at], part_at[at] = True, part
-                if spell:
-                    first, known = _new(known, part)
-                    langs = pa.array(np.array(piece.langs, object)[piece.lang[piece.text[at[first]]]], pa.string())
-                    spelled = piece.joined(at[first], size - 1)
-                    yield _row(part[first].view(np.int64), np.zeros(len(first), np.int64), langs, spelled)
-                keys, at = piece.phrases(size)
-                both = may[at] & may[at + 1]
-                keys, at = keys[both], at[both]
-                if ends:
-                    first, known_ends = _new(known_ends, keys)
-                    parts = (part_at[at[first] + k].view(np.int64) for k in (0, 1))
-                    yield _row(keys[first].view(np.int64), np.zeros(len(first), np.int64), (), (), *parts)
-            tally.add(keys)
-            if tally.full:
-                yield _row(*tally.given_out())
-        yield _row(*tally.given_out())
-        yield _row([None] * len(total), list(total.values()), list(total))
+            keys, _ = piece.phrases(1) if size == 1 else piece.within(size, table.value)
+            yield from tally.add(keys)
+        yield from tally.given_out()
+        places = pa.array([_number(lang) % buckets for lang in total], pa.int64())
+        yield _rows(bucket=places, lang=pa.array(total, pa.string()), n=pa.array(total.values(), pa.int64()))
 
     return count
 
 
+def _frequent(least: int):
+    """The keys of a bucket that occur ``least`` times or more, and the languages that were counted with them."""
+
+    def summed(rows: pa.Table) -> pa.Table:
+        keys, counts = _gathered(rows["keys"], np.uint64), _gathered(rows["counts"], np.uint32)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        first = _runs(keys)
+        counts = np.add.reduceat(counts, first) if len(first) else counts
+        often = counts >= least
+        langs = rows.filter(pc.is_valid(rows["lang"])).select(["lang", "n"])
+        found = pa.table({"key": keys[first][often].view(np.int64), "f": counts[often]})
+        return pa.concat_tables([found, langs], promote_options="default").select(["key", "f", "lang", "n"])
+
+    return summed
+
+
 def _new(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where keys stand first that are not ``known``, and what is known with them; that starts anew when it is much."""
     new, first = np.unique(keys, return_index=True)
     fresh = ~_among(known, new)
-    held = np.sort(np.r_[known, new[fresh]]) if len(known) < KEYS_AT_ONCE else new
+    held = np.sort(np.r_[known, new[fresh]]) if len(known) < KEYS_AT_ONCE // 4 else new
     return first[fresh], held
 
 
@@ -210,119 +269,231 @@ def _table(keys: DataFrame) -> np.ndarray:
     return table
 
 
-def _candidates(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """``lang, n`` and the candidates ``lang, phrase``: all phrases of 2 to ``longest`` words that may be frequent.
+# A window is a column of numbers: how often it occurs, the language, the number of its words, their hashes, 0 behind the last.
+_F, _LANG, _SIZE, _WORDS = 0, 1, 2, 3
+
+
+def _summed(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal windows as one, with their number, behind their hashes, by which they are ordered.
 
-    A phrase is counted by a hash of its words, which can only be too much, and only where both its
-    parts of one word less were found frequent before; so no frequent phrase is missed.
+    Windows of one hash are equal only if all their words are.
     """
-    context = texts.sparkSession.sparkContext
-    found, table, sizes = [], None, None
-    for size in range(1, longest + 1):
-        level = texts.mapInArrow(_level(size, table, size > 2 or size == longest, size == longest), _LEVEL_SCHEMA)
-        sums = [F.sum("f").alias("f"), F.min("head").alias("head"), F.min("tail").alias("tail")]
-        summed = level.groupBy("key", "lang", "phrase").agg(*sums)
-        level = staged(summed.filter((F.col("f") >= least) | F.col("lang").isNotNull()))
-        if table is not None:
-            table.destroy()
-        if size == 1:
-            sizes = level.filter(F.col("key").isNull()).select("lang", F.col("f").alias("n"))
-        else:
-            spelled = level.filter(F.col("phrase").isNotNull()).select("key", "lang", "phrase")
-            parts = spelled.join(frequent.select("key"), "key", "left_semi")
-            if size > 2:
-                found.append(parts.select("lang", "phrase"))
-        frequent = level.filter(F.col("key").isNotNull() & F.col("phrase").isNull()).select("key", "f", "head", "tail")
-        if size < longest:
-            table = context.broadcast(_table(frequent))
-    # The longest ones are put together from their parts.
-    heads = parts.select(F.col("key").alias("head"), "lang", F.col("phrase").alias("begin"))
-    tails = parts.select(F.col("key").alias("tail"), F.element_at(F.split("phrase", " "), -1).alias("last"))
-    whole = frequent.select("head", "tail").join(heads, "head").join(tails, "tail")
-    found.append(whole.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase")))
-    phrases = found[0]
-    for part in found[1:]:
-        phrases = phrases.union(part)
-    return sizes, phrases
-
-
-def _trie(rows: pd.DataFrame) -> bytes:
-    """The trie of the phrases of one block, numbered by their places, and what maps texts to its words."""
-    split = [p.split(" ") for p in rows["phrase"]]
-    words = sorted({w for p in split for w in p})
-    langs = sorted(set(rows["lang"]))
-    hashes = words_of(pa.array(words, pa.string()), _BREAK).hashes
-    order = np.argsort(hashes, kind="stable")
-    number = dict(zip([words[i] for i in order], range(len(words)), strict=True))
-    lang_number = {lang: i for i, lang in enumerate(langs)}
-    sequences = np.full((len(split), LONGEST_PATH), NONE, np.int64)
-    for i, (lang, p) in enumerate(zip(rows["lang"], split, strict=True)):
-        sequences[i, : len(p) + 1] = [lang_number[lang], *[number[w] for w in p]]
-    depth = int((sequences != NONE).sum(axis=1).max())
-    trie = build(sequences[:, :depth])
-    # Most slots of a trie are free, so it is a small part of its size when packed.
-    return zlib.compress(pickle.dumps((trie.base, trie.check, trie.accepts, hashes[order], langs, len(rows))), 1)
-
-
-def _counted_by(shared, block: int):
-    """Occurrences of each phrase of a block in a task's texts."""
+    hashes = _hashed(windows[_LANG:])
+    order = np.argsort(hashes)
+    hashes, windows = hashes[order], windows[:, order]
+    first = _runs(hashes, *windows[_LANG:])
+    out = windows[:, first]
+    out[_F] = np.add.reduceat(windows[_F], first) if len(first) else out[_F]
+    return hashes[first], out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *arrays, vocabulary, langs, phrases = pickle.loads(zlib.decompress(shared.value))
-        trie = DoubleArray(*arrays)
-        counts = np.zeros(phrases, np.int64)
+
+def _windows(longest: int, table, buckets: int):
+    """The longest phrase from each word on that may be frequent, and each word of these once per task.
+
+    Equal ones of a task are summed, and dealt out by all their words, so that a common beginning goes to many buckets.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known, most = np.empty((_WORDS + longest, 0), np.uint64), np.empty(0, np.uint64), KEYS_AT_ONCE // 4
+        parts, waiting = [held], 0
+        spelled, langs = [], {}
         for piece in _pieces(batches):
-            words = piece.words
-            word = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
-            word = np.where(vocabulary[word] == words.hashes, word, NONE)
-            lang = np.array([langs.index(x) if x in langs else NONE for x in piece.langs], np.int64)
-            at = np.arange(len(word))
-            end = np.repeat(words.offsets[1:], np.diff(words.offsets))
-            go, state = trie.step(np.full(len(at), ROOT), lang[piece.lang[piece.text]])
-            at = at[go]
-            place = at
-            while len(at):
-                go, state = trie.step(state, word[place])
-                at, place = at[go], place[go] + 1
-                ended = trie.accepts[state]
-                counts += np.bincount(ended[ended != NONE], minlength=phrases)
-                inside = place < end[at]
-                at, place, state = at[inside], place[inside], state[inside]
-        number = np.flatnonzero(counts)
-        arrays = [pa.array(np.full(len(number), block)), pa.array(number), pa.array(counts[number])]
-        yield pa.RecordBatch.from_arrays(arrays, names=["block", "number", "f"])
+            size = piece.reach(longest, table.value)
+            at = np.flatnonzero(size > 1)
+            size = size[at]
+            windows = np.zeros((_WORDS + longest, len(at)), np.uint64)
+            windows[_F], windows[_LANG], windows[_SIZE] = 1, piece.seed[piece.lang[piece.text[at]]], size
+            inside = np.zeros(len(piece.text), bool)
+            for k in range(longest):
+                has = size > k
+                windows[_WORDS + k, has] = piece.words.hashes[at[has] + k]
+                inside[at[has] + k] = True
+            keys, _ = piece.phrases(1)
+            word = np.flatnonzero(inside)
+            first, known = _new(known, keys[word])
+            word = word[first]
+            spelled.append((piece.seed[piece.lang[piece.text[word]]], keys[word], piece.words.hashes[word], piece.joined(word, 1)))
+            langs |= dict(zip(piece.seed.tolist(), piece.langs, strict=True))
+            if sum(len(x[0]) for x in spelled) >= most:
+                yield _spelled(spelled, langs, buckets)
+                spelled = []
+            parts.append(windows)
+            waiting += len(at)
+            if waiting >= most:
+                hashes, held = _summed(np.concatenate(parts, axis=1))
+                if len(hashes) >= most // 2:
+                    yield from _dealt(_bucket(hashes, buckets), windows=held.T)
+                    held = held[:, :0]
+                parts, waiting = [held], held.shape[1]
+        hashes, held = _summed(np.concatenate(parts, axis=1))
+        yield from _dealt(_bucket(hashes, buckets), windows=held.T)
+        if spelled:
+            yield _spelled(spelled, langs, buckets)
+
+    return found
+
+
+def _spelled(parts: list[tuple], langs: dict[int, str], buckets: int) -> pa.RecordBatch:
+    """Words with their keys and hashes, a row for each bucket and language; words are parted by spaces, which none holds."""
+    seed, key, word_hash = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+    bucket = _bucket(key, buckets)
+    order = np.lexsort((seed, bucket))
+    seed, bucket = seed[order], bucket[order]
+    first = _runs(bucket, seed)
+    words = pa.concat_arrays([x[3] for x in parts]).take(pa.array(order))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(seed)].astype(np.int32)), words)
+    return _rows(
+        bucket=pa.array(bucket[first].astype(np.int64)), seed=pa.array(seed[first].view(np.int64)), words=pc.binary_join(lists, " "),
+        lang=pa.array([langs[x] for x in seed[first].tolist()], pa.string()), keys=_packed(key[order], first), hashes=_packed(word_hash[order], first),
+    )
 
-    return count
+
+def _words(rows: pa.Table) -> pa.Table:
+    """The different words of what ``_spelled`` has made, a row each."""
+    rows = rows.filter(pc.is_valid(rows["words"]))
+    lists = pc.split_pattern(rows["words"], " ")
+    row = pc.list_parent_indices(lists)
+    words = pa.table(
+        {
+            "lang": rows["lang"].take(row), "seed": rows["seed"].take(row), "word": pc.list_flatten(lists),
+            "key": _gathered(rows["keys"], np.int64), "hash": _gathered(rows["hashes"], np.int64),
+        }
+    )
+    return words.group_by(words.column_names).aggregate([])
+
+
+def _met(longest: int, least: int, blocks: int):
+    """The windows of a bucket summed over all tasks, and dealt out anew in blocks by the language and the first two words.
+
+    One of ``longest`` words that is too rare to be a candidate goes on without its last word.
+    """
+
+    def met(rows: pa.Table) -> pa.Table:
+        _, windows = _summed(_gathered(rows["windows"], np.uint64).reshape(-1, _WORDS + longest).T)
+        rare = (windows[_SIZE] == longest) & (windows[_F] < least)
+        windows[_SIZE, rare] = longest - 1
+        windows[-1, rare] = 0
+        _, windows = _summed(windows[:, windows[_SIZE] > 1])
+        block = _hashed(windows[[_LANG, _WORDS, _WORDS + 1]]) % np.uint64(blocks)
+        order = np.argsort(block, kind="stable")
+        dealt = [pa.Table.from_batches([x]) for x in _dealt(block[order], windows=windows[:, order].T)]
+        words = _words(rows)
+        bucket = pa.array((words["key"].to_numpy().view(np.uint64) % np.uint64(blocks)).astype(np.int64))
+        words = words.append_column("bucket", bucket)
+        return pa.concat_tables([_DEALT.empty_table(), *dealt, words], promote_options="default")
+
+    return met
 
 
-def _occurrences(texts: DataFrame, candidates: DataFrame, block_phrases: int) -> DataFrame:
-    """``lang, phrase, k, f`` of the candidates and of the single words in them, counted in the whole texts."""
-    context = texts.sparkSession.sparkContext
-    word = candidates.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
-    wanted = staged(candidates.union(word).distinct())
-    blocks = wanted.count() // block_phrases + 1
-    block = F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)).alias("block")
-    place = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1
-    numbered = staged(wanted.select("lang", "phrase", block).withColumn("number", place.cast("long")))
-
-    def made(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "trie": [_trie(rows.sort_values("number"))]})
-
-    tries = staged(numbered.groupBy("block").applyInPandas(made, "block long, trie binary"))
-    parts = []
-    for k in range(blocks):
-        one = tries.filter(F.col("block") == k).first()
-        if one is None:
+_COUNTED_SCHEMA = "seed long, hashes array<long>, f long, lang string, key long, hash long, word string"
+
+
+def _counted(longest: int, least: int):
+    """The phrases of a block with their numbers, and its words."""
+
+    def counted(rows: pa.Table) -> pa.Table:
+        words = rows.filter(pc.is_valid(rows["word"])).select(["lang", "seed", "key", "hash", "word"])
+        _, windows = _summed(_gathered(rows["windows"], np.uint64).reshape(-1, _WORDS + longest).T)
+        phrases, counts = _by_trie(windows, least)
+        size = (phrases["word"] != NONE).sum(axis=1)
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+        hashes = phrases["hash"][phrases["word"] != NONE].view(np.int64)
+        found = {"seed": phrases["lang"].view(np.int64), "hashes": pa.ListArray.from_arrays(offsets, hashes), "f": counts}
+        names = ["seed", "hashes", "f", "lang", "key", "hash", "word"]
+        return pa.concat_tables([pa.table(found), words], promote_options="default").select(names)
+
+    return counted
+
+
+def _by_trie(windows: np.ndarray, least: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The phrases of two words and more that windows begin with ``least`` times or more.
+
+    Sums by hash, which can only be too much, tell which phrases go into the trie. Then all windows step through it at
+    once, a word a step, and add their numbers to the states that end a phrase.
+    """
+    f, langs, hashes = windows[_F].astype(np.int64), windows[_LANG], windows[_WORDS:]
+    candidates = [np.empty((0, 1 + len(hashes)), np.uint64)]
+    sizes = [np.empty(0, np.int64)]
+    for k in range(2, len(hashes) + 1):
+        has = np.flatnonzero(windows[_SIZE] >= k)
+        part = windows[_LANG : _WORDS + k, has]
+        part[_SIZE - _LANG] = k
+        key = _hashed(part)
+        order = np.argsort(key)
+        key, part = key[order], part[:, order]
+        first = _runs(key)
+        if not len(first):
             continue
-        shared = context.broadcast(bytes(one["trie"]))
-        counted = texts.mapInArrow(_counted_by(shared, k), "block long, number long, f long")
-        parts.append(staged(counted.groupBy("block", "number").agg(F.sum("f").alias("f"))))
-        shared.destroy()
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.union(part)
-    k = F.size(F.split("phrase", " ")).alias("k")
-    return numbered.join(counts, ["block", "number"]).select("lang", "phrase", k, "f")
+        often = np.repeat(np.add.reduceat(f[has[order]], first) >= least, np.diff(np.r_[first, len(key)]))
+        first = _runs(key, *part)
+        first = first[often[first]]
+        one = np.zeros((len(first), 1 + len(hashes)), np.uint64)
+        one[:, 0], one[:, 1 : 1 + k] = part[0, first], part[_WORDS - _LANG :, first].T
+        one = np.unique(one, axis=0)
+        candidates.append(one)
+        sizes.append(np.full(len(one), k))
+    held, size = np.concatenate(candidates), np.concatenate(sizes)
+    inside = np.arange(len(hashes)) < size[:, None]
+    lang_of, word_of = np.unique(held[:, 0]), np.unique(held[:, 1:][inside])
+    word = np.where(inside, np.searchsorted(word_of, held[:, 1:]), NONE)
+    counts = np.zeros(len(held), np.int64)
+    if len(held):
+        trie = build(np.c_[np.searchsorted(lang_of, held[:, 0]), word])
+        at = np.arange(len(f))
+        go, state = trie.step(np.full(len(at), ROOT), _placed(lang_of, langs))
+        at = at[go]
+        for k in range(len(hashes)):
+            inner = windows[_SIZE, at] > k
+            at, state = at[inner], state[inner]
+            go, state = trie.step(state, _placed(word_of, hashes[k, at]))
+            at = at[go]
+            ended = trie.accepts[state]
+            np.add.at(counts, ended[ended != NONE], f[at[ended != NONE]])
+    often = counts >= least
+    return {"lang": held[often, 0], "hash": held[often, 1:], "word": word[often]}, counts[often]
+
+
+def _placed(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The places of keys in ``ordered``, NONE for others."""
+    return np.where(_among(ordered, keys), np.searchsorted(ordered, keys), NONE)
+
+
+def _occurrences(texts: DataFrame, longest: int, least: int, block_phrases: int) -> tuple[DataFrame, DataFrame]:
+    """``lang, n``, and ``lang, phrase, k, f`` of the frequent phrases of 2 to ``longest`` words and of their words."""
+    spark = texts.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, table, bits = BUCKETS * partitions, None, np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    held = 0
+    for size in range(1, longest):
+        level = texts.mapInArrow(_level(size, table, buckets), _DEALT_SCHEMA).select("bucket", "keys", "counts", "lang", "n")
+        level = staged(level.groupBy("bucket").applyInArrow(_frequent(least), "key long, f long, lang string, n long"))
+        if table is not None:
+            table.destroy()
+        frequent = level.filter(F.col("key").isNotNull()).select("key", "f")
+        if size == 1:
+            words = frequent
+            sizes = staged(level.filter(F.col("key").isNull()).groupBy("lang").agg(F.sum("n").alias("n")))
+            buckets = max(buckets, (sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
+        else:
+            held += frequent.count()
+        bits |= _table(frequent)
+        table = spark.sparkContext.broadcast(bits)
+    blocks = max(buckets, held // block_phrases + 1)
+    windows = texts.mapInArrow(_windows(longest, table, buckets), _DEALT_SCHEMA)
+    windows = windows.select("bucket", "windows", "lang", "seed", "keys", "hashes", "words")
+    windows = windows.groupBy("bucket").applyInArrow(_met(longest, least, blocks), _DEALT_SCHEMA)
+    windows = windows.select("bucket", "windows", "lang", "seed", "key", "hash", "word")
+    found = windows.groupBy("bucket").applyInArrow(_counted(longest, least), _COUNTED_SCHEMA)
+    found = staged(found)
+    table.destroy()
+    # Within a language a word's key is a bijection of its hash, so the first level has counted the words.
+    spelled = found.filter(F.col("word").isNotNull()).select("seed", "lang", "key", "hash", "word")
+    spelled = staged(spelled.join(words, "key").select("seed", "lang", "hash", "word", "f"))
+    parts = found.filter(F.col("hashes").isNotNull()).select("seed", "hashes", "f", F.posexplode("hashes").alias("at", "hash"))
+    parts = parts.join(spelled.drop("f"), ["seed", "hash"]).groupBy("lang", "seed", "hashes", "f")
+    phrases = parts.agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+    phrases = phrases.select("lang", F.array_join("words.word", " ").alias("phrase"), F.size("hashes").alias("k"), "f")
+    return sizes, phrases.union(spelled.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f"))
 
 
 def collocations(
@@ -341,9 +512,13 @@ def collocations(
     that has at least ``inside_percent`` of its occurrences.
 
     * Candidates are found level by level: a phrase is counted, by a 64-bit hash, only where both its parts of one word
-      less may be frequent, which a table of 2**27 bits tells, the same size for any input. Sums are made in the tasks before rows are shuffled.
-    * Their exact counts come from double-array tries of at most about ``block_phrases`` phrases, one pass over the texts each:
-      all places of a text step through the trie at once, one word a step, and the states that end a phrase are counted.
+      less may be frequent, which a table of 2**27 bits tells, the same size for any input. Sums are made in the tasks before
+      they are shuffled, a row of bytes for each bucket of keys.
+    * The last pass takes from each word on the longest phrase that may be frequent, as the hashes of its words, and sums equal
+      ones in the task and then in buckets by all their words. Those then go to blocks by their first two words, each with a
+      double-array trie of about ``block_phrases`` phrases at most: all step through it at once, one word a step, and their
+      numbers are added to the states that end a phrase.
+      So the texts are read ``longest`` times, however many phrases there are.
     * A null text is empty; a null language is ``und``, like that language itself.
     * Every row counts, repeated rows too; ids are not looked at, nor are columns besides ``text`` and ``lang``.
     * Equal scores go by ``a``, then by the phrase's bytes. An empty table gives an empty table.
@@ -352,13 +527,11 @@ def collocations(
         raise ValueError(f"longest must be from 2 to {LONGEST_PATH - 1}")
     small_batches(docs)
     texts = docs.select("text", F.col("lang").cast("string"))
-    sizes, candidates = _candidates(texts, longest, least)
-    candidates = staged(candidates)
-    if candidates.isEmpty():
+    sizes, counts = _occurrences(texts, longest, least, block_phrases)
+    counts = staged(counts)
+    if counts.filter("k > 1").isEmpty():
         schema = "lang string, rank int, phrase string, a long, l long, r long, n long, score long"
         return docs.sparkSession.createDataFrame([], schema)
-    counts = _occurrences(texts, candidates, block_phrases)
-    counts = staged(counts.filter((F.col("k") == 1) | (F.col("f") >= least)))
     scored = _scored(counts).join(_covered(counts, inside_percent), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import SF
 from llm_cases import empty_frame, lower_ascii, odd_frame, odd_rows
+from pyspark.sql import functions as F
 
 from newsloom.llm import bytewords, collocations, double_array, ranked_search, vector_search
 from newsloom.llm.registered import op11_ranked_search, op12_nearest_vectors, op13_collocations
@@ -196,6 +197,22 @@ def test_collocations_of_odd_rows_in_small_blocks(spark, monkeypatch, block_phra
     assert collocations.collocations(odd_frame(spark).limit(3)).count() == 0
 
 
+def test_collocations_read_the_texts_as_often_for_many_phrases_as_for_few(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rng = np.random.default_rng(12)
+    rows = [(" ".join(rng.choice(["a", "b", "c", "d", "e"], 50)), "en") for _ in range(40)]
+    frame = spark.createDataFrame(rows, "text string, lang string").withColumn("text", seen("text"))
+    got = found(collocations.collocations(frame, longest=3, least=4, block_phrases=10))
+    assert got == plain_collocations(rows, 3, 4, 80, 2000) and len(got) > 50
+    assert read.value == 3 * len(rows)
+
+
 def test_trie_holds_its_sequences_and_no_others():
     rng = np.random.default_rng(11)
     held = {tuple(int(x) for x in rng.zipf(1.4, rng.integers(1, 5)) % 60) for _ in range(800)}
